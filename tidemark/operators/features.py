@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +37,10 @@ def vector_name(column: str) -> str:
     return f"{column}_vec"
 
 
+def index_name(column: str) -> str:
+    return f"{column}_index"
+
+
 def encode(
     dim: DataFrame, columns: Sequence[str], invalid: str = "error", keep_index: bool = False
 ) -> tuple[DataFrame, list[str]]:
@@ -46,14 +49,14 @@ def encode(
     All columns are fitted together: one job for the indexes, none for the encoder. A column with a single value has
     no vector; it is skipped and not in the returned list.
     """
-    index_names = [f"{c}_index" for c in columns]
+    index_names = [index_name(c) for c in columns]
     indexer = StringIndexer(inputCols=list(columns), outputCols=index_names, handleInvalid=invalid).fit(dim)
     extra = 1 if invalid == "keep" else 0
     usable = [c for c, labels in zip(columns, indexer.labelsArray) if len(labels) + extra > 1]
     encoded = indexer.transform(dim)
     if usable:
         encoder = OneHotEncoder(
-            inputCols=[f"{c}_index" for c in usable], outputCols=[vector_name(c) for c in usable]
+            inputCols=[index_name(c) for c in usable], outputCols=[vector_name(c) for c in usable]
         )
         encoded = encoder.fit(encoded).transform(encoded)
     return (encoded if keep_index else encoded.drop(*index_names)), usable
@@ -66,30 +69,28 @@ def hash_categories(df: DataFrame, columns: Sequence[str], width: int = 1024, ou
     ).transform(df)
 
 
-def scaling_pipeline(inputs: Sequence[str], out: str = "features") -> Pipeline:
-    """Assemble and scale to unit standard deviation, without centring so that sparse vectors stay sparse.
+def unit_scaler(column: str, out: str = "features") -> StandardScaler:
+    """Scale to unit standard deviation, without centring so that sparse vectors stay sparse.
 
     Scaling is per vector position, so one scaler over the assembled vector equals one scaler per column and takes
     one pass over the data.
     """
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(inputs), outputCol=f"{out}_raw"),
-            StandardScaler(inputCol=f"{out}_raw", outputCol=out, withMean=False, withStd=True),
-        ]
-    )
+    return StandardScaler(inputCol=column, outputCol=out, withMean=False, withStd=True)
 
 
 def scale_columns(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """``<c>_scaled`` = c over its sample standard deviation in ``fit_on`` (default: ``df``); 0 for a constant column."""
     source = df if fit_on is None else fit_on
-    spread = source.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in columns])
-    stds = spread.select(F.struct(*columns).alias("s")).scalar()
+
+    def std(c):
+        value = F.col(c).cast("double")
+        # merged partial deviations of a constant column need not come out as exactly 0
+        return F.when(F.min(value) < F.max(value), F.stddev_samp(value)).alias(c)
+
+    stds = source.agg(*[std(c) for c in columns]).select(F.struct(*columns).alias("s")).scalar()
     return df.withColumns(
         {
-            f"{c}_scaled": F.when(stds[c] > 0, F.col(c).cast("double") / stds[c]).otherwise(
-                F.when(F.col(c).isNotNull(), F.lit(0.0))
-            )
+            f"{c}_scaled": F.when(F.col(c).isNotNull(), F.coalesce(F.col(c).cast("double") / stds[c], F.lit(0.0)))
             for c in columns
         }
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import lookup_join
 from tidemark.runtime import freeze
 
 # monotonically_increasing_id keeps the partition number above this bit and the row number below it
@@ -28,14 +29,14 @@ def number_rows(df: DataFrame, within: Sequence[str], order: Sequence, name: str
     place = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     ranked = (
         slices.withColumn("_slice", slice_no)
-        .join(offsets, "_slice")
+        .join(F.broadcast(offsets), "_slice")  # one row per partition of the sort
         .withColumn("_rank", F.col("_offset") + place)
     )
     if not within:
         return ranked.withColumn(name, F.col("_rank")).drop("_at", "_slice", "_offset", "_rank")
     starts = ranked.groupBy(*within).agg(F.min("_rank").alias("_first"))
     return (
-        ranked.join(starts, list(within))
+        lookup_join(ranked, starts, within)
         .withColumn(name, F.col("_rank") - F.col("_first"))
         .drop("_at", "_slice", "_offset", "_rank", "_first")
     )
@@ -71,7 +72,7 @@ def one_hot_slots(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
         ),
     )
     return (
-        long.join(index, ["feature", "value"])
-        .join(widths, "feature")
+        lookup_join(long, index, ["feature", "value"])
+        .join(F.broadcast(widths), "feature")  # one row per column
         .select(key, "feature", F.when(F.col("idx") < F.col("_width") - 1, F.col("idx")).alias("slot"))
     )

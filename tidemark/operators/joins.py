@@ -1,0 +1,25 @@
+"""Joins of large rows to a lookup table."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def lookup_join(
+    rows: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join ``table`` to ``rows``, broadcast only if it has been counted to have at most ``limit`` rows.
+
+    Counting stops past the limit. It matters since Spark's own size estimate of a joined or encoded dimension can
+    be far too high, and the large side would then be shuffled by a possibly very uneven key. Beyond the limit there
+    is no hint: a sort-merge join, whose oversized partitions adaptive execution splits.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    if table.limit(limit + 1).count() <= limit:
+        table = F.broadcast(table)
+    return rows.join(table, keys, how)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import date_parts, month_end, month_start, years_open
+from tidemark.operators.joins import lookup_join
 
 PANEL_KEYS = ("date", "store_id", "product_id")
 
@@ -27,7 +28,7 @@ def monthly_totals(sales: DataFrame, keys: Sequence[str] = (), measures: Sequenc
 
 def monthly_store_totals(sales: DataFrame, stores: DataFrame) -> DataFrame:
     """Monthly quantity per store with the store's columns; stores without a dimension row are left out."""
-    return monthly_totals(sales, ["store_id"]).join(stores, "store_id", "inner")
+    return lookup_join(monthly_totals(sales, ["store_id"]), stores, "store_id")
 
 
 def daily_totals(sales: DataFrame, keys: Sequence[str] = (), measures: Sequence[str] = ("qty",)) -> DataFrame:
@@ -40,22 +41,15 @@ def daily_panel(sales: DataFrame) -> DataFrame:
 
 
 def enrich(panel: DataFrame, stores: DataFrame, products: DataFrame, as_of_year: int | None = None) -> DataFrame:
-    """Panel rows with date parts, store and product columns; inner joins on the two keys.
-
-    No broadcast hint: Spark broadcasts a dimension under its size threshold, and splits skewed partitions of a
-    sort-merge join beyond it.
-    """
+    """Panel rows with date parts, store and product columns; inner joins on the two keys."""
     if as_of_year is not None:
         stores = stores.withColumn("years_open", years_open("opened_year", as_of_year))
-    return (
-        panel.withColumns(date_parts(F.col("date")))
-        .join(stores, "store_id", "inner")
-        .join(products, "product_id", "inner")
-    )
+    rows = panel.withColumns(date_parts(F.col("date")))
+    return lookup_join(lookup_join(rows, stores, "store_id"), products, "product_id")
 
 
 def with_calendar(panel: DataFrame, calendar: DataFrame, on: str = "date") -> DataFrame:
     """Left join of an outside table (holidays, unemployment) by ``date`` or by ``month_start``."""
     if on == "month_start" and on not in panel.columns:
         panel = panel.withColumn(on, month_start(F.col("date")))
-    return panel.join(calendar, on, "left")
+    return lookup_join(panel, calendar, on, "left")

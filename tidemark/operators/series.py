@@ -163,7 +163,7 @@ def autocorrelation(
         *keys,
         (F.row_number().over(whole.orderBy(at)) - 1).alias("i"),
         F.count("*").over(whole).alias("n"),
-        (y - F.avg(y).over(whole)).alias("z"),
+        F.when(F.min(y).over(whole) < F.max(y).over(whole), y - F.avg(y).over(whole)).otherwise(0.0).alias("z"),
     )
     block = F.floor(F.col("i") / max_lag)
     own = F.struct(block.alias("block"), F.lit(1).alias("head"))

@@ -21,13 +21,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     def pearson(a, b):
         both = values[a].isNotNull() & values[b].isNotNull()
         x, y = F.when(both, values[a]), F.when(both, values[b])
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        return F.try_divide(F.covar_pop(x, y), spread)
+        # merged partial deviations of a constant column need not come out as exactly 0
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
     pairs = list(combinations(columns, 2))
     wide = df.agg(
         *[pearson(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.when(F.stddev_pop(values[c]) > 0, F.lit(1.0)).alias(f"self_{i}") for i, c in enumerate(columns)],
+        *[F.when(F.min(values[c]) < F.max(values[c]), F.lit(1.0)).alias(f"self_{i}") for i, c in enumerate(columns)],
     )
     cells = []
     for i, (a, b) in enumerate(pairs):

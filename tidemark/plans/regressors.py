@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -10,7 +11,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import FeatureSpec, encode, hash_categories, scaling_pipeline, vector_name
+from tidemark.operators.features import FeatureSpec, encode, hash_categories, index_name, unit_scaler, vector_name
 from tidemark.operators.lags import demand_ahead, lag_features, trailing_means
 from tidemark.operators.panel import daily_totals, enrich
 from tidemark.operators.series import fill_calendar
@@ -20,28 +21,45 @@ from tidemark.plans.baseline import predict
 from tidemark.runtime import stage
 
 
-def model_table(
-    panel: DataFrame,
+def model_rows(
+    flagged: DataFrame,
     stores: DataFrame,
     products: DataFrame,
     spec: FeatureSpec = FeatureSpec(),
     as_of_year: int | None = None,
-    share: float = 0.8,
-) -> tuple[DataFrame, list[str]]:
-    """Panel rows with ``is_train``, the target, the ids and every feature input; and the inputs' names.
+) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Panel rows (with ``is_train``) joined to encoded dimensions, and the feature inputs by kind.
 
-    Categories are encoded on the dimensions, before the join, so the fits see each store and product once.
+    Kinds: ``one_hot`` (numeric columns and a vector per category) and ``indexed`` (numeric columns and an index per
+    category, for trees). Categories are encoded on the dimensions, before the join, so the fits see each store and
+    product once.
     """
     store_cols = [c for c in spec.store_categories if c not in spec.hashed]
     product_cols = [c for c in spec.product_categories if c not in spec.hashed]
-    stores, store_vecs = encode(stores, store_cols, spec.invalid)
-    products, product_vecs = encode(products, product_cols, spec.invalid)
-    rows = enrich(flag_split(panel, share), stores, products, as_of_year)
-    inputs = [*spec.numeric, *map(vector_name, store_vecs + product_vecs)]
+    stores, store_used = encode(stores, store_cols, spec.invalid, keep_index=True)
+    products, product_used = encode(products, product_cols, spec.invalid, keep_index=True)
+    used = store_used + product_used
+    rows = enrich(flagged, stores, products, as_of_year)
+    extra = []
     if spec.hashed:
         rows = hash_categories(rows, spec.hashed, spec.hash_width)
-        inputs.append("hashed_vec")
-    return rows.select(*spec.ids, F.col(spec.target).cast("double").alias(spec.target), "is_train", *inputs), inputs
+        extra.append("hashed_vec")
+    inputs = {
+        "one_hot": [*spec.numeric, *map(vector_name, used), *extra],
+        "indexed": [*spec.numeric, *map(index_name, used), *extra],
+    }
+    needed = dict.fromkeys(inputs["one_hot"] + inputs["indexed"])
+    target = F.col(spec.target).cast("double").alias(spec.target)
+    return rows.select(*spec.ids, target, "is_train", *needed), inputs
+
+
+ROWS_PER_PARTITION = 1_000_000
+
+
+def fit_partitions(staged: DataFrame) -> int:
+    """Partitions for rows about to become feature vectors: by row count, since vectors are far larger than the
+    columns they come from and splitting by file size would leave too much in one task."""
+    return max(staged.sparkSession.sparkContext.defaultParallelism, -(-staged.count() // ROWS_PER_PARTITION))
 
 
 def linear(label: str = "qty", features: str = "features", prediction: str = "linear") -> LinearRegression:
@@ -57,15 +75,56 @@ def forest(
     )
 
 
-def train(table: DataFrame, inputs: Sequence[str], models: Sequence, scale_on: str = "train") -> PipelineModel:
-    """Assembler, scaler and regressors as one savable pipeline, fitted on the train rows.
+def indexed_forest(prediction: str = "forest_indexed", **params) -> RandomForestRegressor:
+    """The forest on category indexes. Trees split index columns by category, so a row is one number per column
+    instead of one per category; for wide categories that is the difference between fitting and not fitting."""
+    return forest(features="tree_features", prediction=prediction, **params)
 
-    ``scale_on="all"`` takes the standard deviations from all rows, test rows included.
+
+def _widest_category(rows: DataFrame, columns: Sequence[str]) -> int:
+    attributes = [rows.schema[c].metadata.get("ml_attr", {}) for c in columns]
+    return max((len(a["vals"]) for a in attributes if "vals" in a), default=0)
+
+
+@dataclass
+class Trained:
+    """``table``: the staged model rows; ``pipeline``: from model rows to predictions, savable."""
+
+    table: DataFrame
+    pipeline: PipelineModel
+
+
+def train(
+    flagged: DataFrame,
+    stores: DataFrame,
+    products: DataFrame,
+    models: Sequence,
+    spec: FeatureSpec = FeatureSpec(),
+    as_of_year: int | None = None,
+    scale_on: str = "train",
+    partitions: int | None = None,
+) -> Trained:
+    """Fit regressors on the train rows of a staged, flagged panel.
+
+    Each input vector is assembled once and written; the scaler and every fit then read one column. The standard
+    deviations come from the train rows, or from all rows with ``scale_on="all"``.
     """
-    rows = table.where("is_train")
-    scaler = scaling_pipeline(inputs).fit(rows if scale_on == "train" else table)
-    scaled = scaler.transform(rows)
-    return PipelineModel(stages=[*scaler.stages, *[m.fit(scaled) for m in models]])
+    spread = flagged.repartition(partitions or fit_partitions(flagged), *spec.ids)
+    rows, inputs = model_rows(spread, stores, products, spec, as_of_year)
+    assemblers = [VectorAssembler(inputCols=inputs["one_hot"], outputCol="features_raw")]
+    if any(m.getFeaturesCol() == "tree_features" for m in models):
+        assemblers.append(VectorAssembler(inputCols=inputs["indexed"], outputCol="tree_features"))
+        bins = max(32, _widest_category(rows, inputs["indexed"]))
+        models = [m.copy({m.maxBins: bins}) if m.getFeaturesCol() == "tree_features" else m for m in models]
+    names = [a.getOutputCol() for a in assemblers]
+    table = stage(
+        Pipeline(stages=assemblers).fit(rows).transform(rows).select(*spec.ids, spec.target, "is_train", *names),
+        "model-table",
+    )
+    known = table.where("is_train")
+    scaler = unit_scaler("features_raw").fit(known if scale_on == "train" else table)
+    scaled = scaler.transform(known)
+    return Trained(table, PipelineModel(stages=[scaler, *[m.fit(scaled) for m in models]]))
 
 
 def model_errors(predicted: DataFrame, models: Sequence[str], label: str = "qty") -> DataFrame:
@@ -85,22 +144,21 @@ def compare_models(
     panel: DataFrame,
     stores: DataFrame,
     products: DataFrame,
+    models: Sequence | None = None,
     spec: FeatureSpec = FeatureSpec(),
     as_of_year: int | None = None,
-    models: Sequence | None = None,
     scale_on: str = "train",
+    share: float = 0.8,
 ) -> DataFrame:
-    """Baseline and regressors side by side on the same split.
-
-    The feature table is written once and read by every fit and by the scoring.
-    """
+    """Baseline and regressors side by side on the same split, scored on train and test rows."""
     models = list(models) if models is not None else [linear(spec.target), forest(spec.target)]
-    table, inputs = model_table(panel, stores, products, spec, as_of_year)
-    table = stage(table, "model-table")
-    fitted = train(table, inputs, models, scale_on)
-    names = [m.getPredictionCol() for m in models]
-    scored = predict(fitted.transform(table).select(*spec.ids, spec.target, "is_train", *names))
-    return model_errors(scored.withColumnRenamed("prediction", "baseline"), ["baseline", *names], spec.target)
+    flagged = stage(flag_split(panel, share), "panel")
+    trained = train(flagged, stores, products, models, spec, as_of_year, scale_on)
+    scored = trained.pipeline.transform(trained.table)
+    baseline = predict(flagged).withColumnRenamed("prediction", "baseline")
+    return model_errors(baseline, ["baseline"], spec.target).unionByName(
+        model_errors(scored, [m.getPredictionCol() for m in models], spec.target)
+    )
 
 
 # -- one model per horizon -------------------------------------------------------------------------------------
@@ -152,11 +210,14 @@ def fit_horizons(
     return table, inputs, fitted
 
 
-def _with_predictions(rows: DataFrame, fitted: dict[int, PipelineModel]) -> DataFrame:
+def _with_predictions(rows: DataFrame, inputs: Sequence[str], fitted: dict[int, PipelineModel]) -> DataFrame:
     """``ahead_<h>`` from each model; NULL where a lag is missing."""
+    complete = F.lit(True)
+    for c in inputs:
+        complete = complete & F.col(c).isNotNull()
     for h, model in fitted.items():
-        known = F.when(~F.isnan(f"ahead_{h}"), F.col(f"ahead_{h}"))
-        rows = model.transform(rows).drop("features").withColumn(f"ahead_{h}", known)
+        rows = model.transform(rows).drop("features")
+        rows = rows.withColumn(f"ahead_{h}", F.when(complete, F.col(f"ahead_{h}")))
     return rows
 
 
@@ -165,9 +226,9 @@ def horizon_errors(
 ) -> DataFrame:
     """``(horizon, split, n_rows, n_scored, rmse)``; origins between the last trainable and the split date count to
     neither split."""
-    table, _, fitted = fit_horizons(sales, keys, horizons, share)
+    table, inputs, fitted = fit_horizons(sales, keys, horizons, share)
     cutoff = table.where("is_train").agg(F.max("date").alias("cutoff")).scalar()
-    scored = _with_predictions(table, fitted)
+    scored = _with_predictions(table, inputs, fitted)
     cases = F.array(
         *[
             F.struct(
@@ -194,7 +255,7 @@ def horizon_forecast(
     """
     table, inputs, fitted = fit_horizons(sales, keys, horizons, share)
     latest = table.groupBy(*keys).agg(F.max_by(F.struct("date", *inputs), "date").alias("end")).select(*keys, "end.*")
-    return _with_predictions(latest, fitted).select(
+    return _with_predictions(latest, inputs, fitted).select(
         *keys, "date", *[F.col(f"ahead_{h}").alias(f"demand_{h}") for h in horizons]
     )
 

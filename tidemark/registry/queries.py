@@ -328,6 +328,10 @@ def forest_rmse(spark, folder):
     return _errors(spark, folder, [regressors.forest()]).where("model = 'forest'")
 
 
+def forest_indexed_rmse(spark, folder):
+    return _errors(spark, folder, [regressors.indexed_forest()]).where("model = 'forest_indexed'")
+
+
 def model_comparison(spark, folder):
     return _errors(spark, folder, None)
 
@@ -479,6 +483,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lr_single_feature,
         linear_rmse,
         forest_rmse,
+        forest_indexed_rmse,
         model_comparison,
         horizon_models,
         horizon_model_forecast,

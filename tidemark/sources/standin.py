@@ -3,8 +3,9 @@
 Two grains: ``sparse`` is supplier x part, ``dense`` is nation x brand. City, state, opening year, district halves
 and sub-category have no column in the test data and are made from keys.
 
-Joins carry no hint: Spark broadcasts a side below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts
-and merges, with adaptive execution splitting skewed partitions.
+Joins of plain tables carry no hint: their sizes are known from the files, so Spark broadcasts a side below
+``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts and merges, with adaptive execution splitting skewed
+partitions.
 """
 
 from __future__ import annotations

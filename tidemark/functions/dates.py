@@ -36,7 +36,7 @@ def date_parts(day: Column) -> dict[str, Column]:
 DATE_PART_NAMES = ("year", "month", "day_of_month", "day_of_week", "day_of_year", "week_of_year")
 
 
-def years_open(opened_year: str, as_of_year: int) -> Column:
+def years_open(opened_year: str, as_of_year: int | Column) -> Column:
     return F.lit(as_of_year) - F.col(opened_year)
 
 

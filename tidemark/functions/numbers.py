@@ -14,10 +14,8 @@ def decimal_comma(name: str, to: str = QTY_TYPE, thousands: str | None = None, s
     Text that is no number becomes NULL, or fails the query with ``strict``. ``thousands`` names a grouping mark
     to remove first; without it ``'1.234,56'`` is no number.
     """
-    text = F.col(name)
-    if thousands:
-        text = F.replace(text, F.lit(thousands), F.lit(""))
-    text = F.regexp_replace(text, ",", ".")
+    # the comma becomes a point; a grouping mark has no counterpart and is dropped
+    text = F.translate(name, "," + (thousands or ""), ".")
     return text.cast(to) if strict else text.try_cast(to)
 
 

@@ -41,9 +41,12 @@ def daily_panel(sales: DataFrame) -> DataFrame:
 
 
 def enrich(panel: DataFrame, stores: DataFrame, products: DataFrame, as_of_year: int | None = None) -> DataFrame:
-    """Panel rows with date parts, store and product columns; inner joins on the two keys."""
-    if as_of_year is not None:
-        stores = stores.withColumn("years_open", years_open("opened_year", as_of_year))
+    """Panel rows with date parts, store and product columns; inner joins on the two keys.
+
+    ``years_open`` is counted to ``as_of_year``, by default the year of the panel's last date.
+    """
+    as_of = panel.agg(F.year(F.max("date")).alias("y")).scalar() if as_of_year is None else as_of_year
+    stores = stores.withColumn("years_open", years_open("opened_year", as_of))
     rows = panel.withColumns(date_parts(F.col("date")))
     return lookup_join(lookup_join(rows, stores, "store_id"), products, "product_id")
 

@@ -6,6 +6,7 @@ month of the horizon, and spread over days last.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,9 @@ HORIZON = 90
 HORIZONS = (30, 60, 90)
 
 
-def last_sale_date(sales: DataFrame) -> Column:
-    """The last date of the table, as a one-value subquery Spark runs once per plan."""
-    return sales.agg(F.max("date").alias("last")).scalar()
+def last_sale_date(sales: DataFrame, known: dt.date | None = None) -> Column:
+    """The last date of the table, as a one-value subquery Spark runs once per plan. A ``known`` date saves the scan."""
+    return F.lit(known) if known else sales.agg(F.max("date").alias("last")).scalar()
 
 
 def future_calendar(sales: DataFrame, horizon: int = HORIZON) -> DataFrame:
@@ -121,10 +122,11 @@ def forecast_daily(
     products: DataFrame,
     level: str = "product_id",
     horizon: int = HORIZON,
+    last_date: dt.date | None = None,
     **options,
 ) -> DataFrame:
     """``(date, level, prediction)``: daily demand per product over all stores, or per store over all products."""
-    last = last_sale_date(sales)
+    last = last_sale_date(sales, last_date)
     return _by_day(_rolled(sales, stores, products, level, last, horizon, options), [level])
 
 
@@ -134,10 +136,11 @@ def forecast_horizons(
     products: DataFrame,
     level: str = "product_id",
     horizons: Sequence[int] = HORIZONS,
+    last_date: dt.date | None = None,
     **options,
 ) -> DataFrame:
     """``demand_<h>`` per entity: total over the first h days, as month mean times days, without a row per day."""
-    last = last_sale_date(sales)
+    last = last_sale_date(sales, last_date)
     months = _rolled(sales, stores, products, level, last, max(horizons), options)
 
     def days_within(h):

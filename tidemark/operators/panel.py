@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import date_parts, month_end, month_start, years_open
 from tidemark.operators.joins import lookup_join
+from tidemark.runtime import stage
 
 PANEL_KEYS = ("date", "store_id", "product_id")
 
@@ -40,6 +41,11 @@ def daily_panel(sales: DataFrame) -> DataFrame:
     return totals(sales, PANEL_KEYS, ["qty"])
 
 
+def staged_panel(sales: DataFrame) -> DataFrame:
+    """The daily panel written once, for steps that read it several times; each file is in date order."""
+    return stage(daily_panel(sales), "panel", sort=["date"])
+
+
 def enrich(panel: DataFrame, stores: DataFrame, products: DataFrame, as_of_year: int | None = None) -> DataFrame:
     """Panel rows with date parts, store and product columns; inner joins on the two keys.
 

@@ -26,7 +26,7 @@ def rolling_predictions(
 
     A train window grows from fold to fold. Instead of a copy of the past for each fold, one fit table holds the
     mean of every (month, store, product) once per fold. Only the months the test windows look back to are fitted,
-    and both sides are date filters on the panel, so neither reads the whole history.
+    and both sides are date filters on the panel, so on a staged panel neither reads the whole history.
     """
     last = panel.agg(F.max("date").alias("last")).scalar()
     back = LOOKBACK_MONTHS[key]

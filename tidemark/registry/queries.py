@@ -1,6 +1,7 @@
 """The named queries. Each takes (spark, folder of the test tables) and returns a DataFrame over whole tables.
 
-Doubles are rounded to six places at the end, since a sum's last bits depend on the order of its terms.
+Decimals, which are exact, are shown as doubles. Doubles are rounded to six places at the end, since a sum's last bits
+depend on the order of its terms.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from tidemark.functions.dates import date_parts, month_end, month_label, month_s
 from tidemark.functions.numbers import rounded
 from tidemark.operators import cleaning, features, indexing, lags, panel, series, split, stats
 from tidemark.plans import baseline, forecast, regressors, validation
-from tidemark.runtime import scratch_path
+from tidemark.runtime import scratch_path, stage
 from tidemark.sources import sinks, standin
 from tidemark.sources.tables import load_table
 
@@ -26,7 +27,12 @@ MEASURE_TYPES = {"qty": "decimal(12,2)", "revenue": "decimal(18,4)", "tax": "dec
 
 
 def _out(df: DataFrame, *doubles: str) -> DataFrame:
-    return df.withColumns({c: rounded(F.col(c)) for c in doubles})
+    kinds = dict(df.dtypes)
+
+    def plain(c):
+        return F.col(c).cast("double") if kinds[c].startswith("decimal") else rounded(F.col(c))
+
+    return df.withColumns({c: plain(c) for c in doubles})
 
 
 def _trio(spark, folder, grain="dense"):
@@ -41,8 +47,8 @@ def _dense_panel(spark, folder):
     return panel.daily_panel(standin.sales(spark, folder))
 
 
-def _sparse_panel(spark, folder):
-    return panel.daily_panel(standin.sales(spark, folder, "sparse"))
+def _staged_panel(spark, folder):
+    return panel.staged_panel(standin.sales(spark, folder))
 
 
 # -- sources, cleaning -----------------------------------------------------------------------------------------
@@ -241,7 +247,7 @@ def onehot_product(spark, folder):
 
 def scaled_features(spark, folder):
     """Scaling fitted on the train rows, as the models use it."""
-    flagged = split.flag_split(_dense_panel(spark, folder)).withColumns(date_parts(F.col("date")))
+    flagged = split.flag_split(_staged_panel(spark, folder)).withColumns(date_parts(F.col("date")))
     names = ["year", "month", "day_of_week"]
     scaled = features.scale_columns(flagged, names, flagged.where("is_train"))
     keep = [f"{n}_scaled" for n in names]
@@ -262,7 +268,7 @@ def split_cutoff(spark, folder):
 
 
 def chrono_split(spark, folder):
-    train, test = split.chrono_split(_dense_panel(spark, folder))
+    train, test = split.chrono_split(_staged_panel(spark, folder))
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     return _out(both, "qty")
 
@@ -303,8 +309,9 @@ def baseline_rmse_seasonal(spark, folder):
 
 def lr_single_feature(spark, folder):
     """Daily total quantity against the day number, by the linear-regression estimator."""
-    first = standin.sales(spark, folder, "sparse").agg(F.min("date").alias("d")).scalar()
-    days = panel.daily_totals(standin.sales(spark, folder, "sparse")).select(
+    days = stage(panel.daily_totals(standin.sales(spark, folder, "sparse")), "days")
+    first = days.agg(F.min("date").alias("d")).scalar()
+    days = days.select(
         "date", F.datediff("date", first).cast("double").alias("day_no"), F.col("qty").cast("double").alias("qty")
     )
     rows = VectorAssembler(inputCols=["day_no"], outputCol="features").transform(days)
@@ -428,7 +435,7 @@ def rolling_folds(spark, folder):
 
 
 def rolling_scores(spark, folder):
-    return _out(validation.rolling_scores(_dense_panel(spark, folder), **FOLDS), "rmse")
+    return _out(validation.rolling_scores(_staged_panel(spark, folder), **FOLDS), "rmse")
 
 
 def calendar_join(spark, folder):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,12 +52,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, sort: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
-    For inputs that several jobs read (model fits, scoring): columnar, so each reader takes only its columns, and
-    safe against the loss of executors, which a cached copy is not.
+    For inputs that several jobs read (splits, model fits, scoring): columnar, so each reader takes only its columns,
+    and safe against the loss of executors, which a cached copy is not. ``sort`` orders the rows of each file, so
+    that later filters on those columns skip row groups.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

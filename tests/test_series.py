@@ -125,3 +125,18 @@ def test_fill_calendar(spark):
     filled = series.fill_calendar(gap, ["series"], "month_start", "qty").orderBy("month_start").toPandas()
     assert len(filled) == 6 and list(filled.qty[2:4]) == [0, 0]
     assert pd.to_datetime(filled.month_start).dt.day.eq(1).all()
+
+
+def test_fill_calendar_keeps_series_without_a_key(spark):
+    rows = [(None, dt.date(2020, 1, d), float(d)) for d in (1, 3)] + [("b", dt.date(2020, 1, 1), 5.0)]
+    df = spark.createDataFrame(rows, "series string, date date, qty double")
+    filled = series.fill_calendar(df, ["series"], "date", "qty", unit="day", fill=None)
+    got = {(r.series, r.date.day): r.qty for r in filled.collect()}
+    assert got == {(None, 1): 1.0, (None, 2): None, (None, 3): 3.0, ("b", 1): 5.0}
+
+
+def test_fill_calendar_over_a_year_end(spark):
+    rows = [("a", dt.date(2019, 11, 1), 1.0), ("a", dt.date(2020, 3, 1), 4.0), ("a", dt.date(2020, 4, 1), 5.0)]
+    df = spark.createDataFrame(rows, "series string, month_start date, qty double")
+    filled = series.fill_calendar(df, ["series"], "month_start", "qty").orderBy("month_start").collect()
+    assert [(r.month_start.month, r.qty) for r in filled] == [(11, 1), (12, 0), (1, 0), (2, 0), (3, 4), (4, 5)]

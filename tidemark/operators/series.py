@@ -19,11 +19,17 @@ from tidemark.functions.dates import period_number, period_step
 def fill_calendar(
     df: DataFrame, keys: Sequence[str], at: str, value: str, unit: str = "month", fill: float | None = 0.0
 ) -> DataFrame:
-    """Every period between a series' first and last row; missing ones get ``fill``."""
-    spans = df.groupBy(*keys).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
-    grid = spans.select(*keys, F.explode(F.sequence("_first", "_last", period_step(unit))).alias(at))
-    filled = grid.join(df.select(*keys, at, value), [*keys, at], "left")
-    return filled if fill is None else filled.withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
+    """Every period between a series' first and last row; missing ones get ``fill``. Months are given by their first day.
+
+    Each row stands for itself and the periods up to the next row, so this is one window over the series and no join.
+    """
+    following = F.lead(at).over(Window.partitionBy(*keys).orderBy(at))
+    last_before = F.greatest(F.col(at), F.coalesce(F.date_sub(following, 1), F.col(at)))
+    return (
+        df.select(*keys, F.col(at).alias("_own"), value, last_before.alias("_until"))
+        .withColumn(at, F.explode(F.sequence("_own", "_until", period_step(unit))))
+        .select(*keys, at, F.when(F.col(at) == F.col("_own"), F.col(value)).otherwise(F.lit(fill)).alias(value))
+    )
 
 
 def series_issues(

@@ -51,6 +51,11 @@ def test_forest_repeats_with_its_seed(trio, flagged, make):
     assert runs[0] == pytest.approx(runs[1], rel=1e-12)
 
 
+def test_indexed_forest_splits_by_category(trio, flagged):
+    trained = regressors.train(flagged, *trio[1:], [regressors.indexed_forest(numTrees=3)], as_of_year=2002)
+    assert " in {" in trained.pipeline.stages[-1].toDebugString
+
+
 def test_hashed_categories(trio, flagged):
     spec = FeatureSpec(hashed=("product_name", "store_code"), hash_width=64)
     trained = regressors.train(flagged, *trio[1:], [regressors.linear()], spec)

@@ -137,6 +137,27 @@ def test_autoregression_equals_plain_recursion(spark, difference):
         assert mine.date.iloc[0] == rows[len(rows) // 2 - 1][1] + dt.timedelta(days=1)
 
 
+def test_spans_of_days_equal_direct_sums(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for key in (None, "a", "b"):
+        for i in sorted(rng.choice(120, 60, replace=False)):
+            rows.append((key, dt.date(2020, 1, 1) + dt.timedelta(days=int(i)), round(float(rng.uniform(0, 9)), 2)))
+    df = spark.createDataFrame(rows, "k string, date date, qty double")
+    for kind in ("double", "decimal(12,2)"):
+        typed = df.withColumn("qty", F.col("qty").cast(kind))
+        got = lags.demand_ahead(lags.trailing_means(typed, ["k"], [7, 28]), ["k"], [5, 30]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            def total(first, last):
+                return sum(q for k, d, q in rows if k == r.k and first <= (d - r.date).days <= last)
+
+            assert r.qty_mean_7 == pytest.approx(total(-6, 0) / 7, abs=1e-9)
+            assert r.qty_mean_28 == pytest.approx(total(-27, 0) / 28, abs=1e-9)
+            assert r.qty_next_5 == pytest.approx(total(1, 5), abs=1e-9)
+            assert r.qty_next_30 == pytest.approx(total(1, 30), abs=1e-9)
+
+
 def test_lag_by_day_sees_gaps(spark):
     rows = [(1, dt.date(2020, 1, d), float(d)) for d in (1, 2, 4)]
     df = spark.createDataFrame(rows, "k int, date date, qty double")

@@ -34,27 +34,34 @@ def first_difference(df: DataFrame, keys: Sequence[str], at: str = "date", value
     return df.withColumn(f"{value}_diff", F.col(value) - before)
 
 
+def _running(df: DataFrame, keys: Sequence[str], at: str, value: str):
+    """``df`` with the running total ``_sum``, and a function giving the total up to ``shift`` days from each row.
+
+    A total over any span of days is a difference of two running totals. These frames only ever grow, so the cost of
+    a row does not depend on the length of the span; decimals stay exact.
+    """
+    ordered = Window.partitionBy(*keys).orderBy(F.unix_date(at))
+    zero = F.lit(0).cast(df.schema[value].dataType)
+    total = F.sum(F.coalesce(F.col(value), zero)).over(ordered.rangeBetween(Window.unboundedPreceding, 0))
+
+    def up_to(shift):
+        reached = F.last("_sum").over(ordered.rangeBetween(Window.unboundedPreceding, shift))
+        return F.coalesce(reached.cast("double"), F.lit(0.0)) if shift else F.col("_sum").cast("double")
+
+    return df.withColumn("_sum", total), up_to
+
+
 def trailing_means(
     df: DataFrame, keys: Sequence[str], days: Sequence[int], at: str = "date", value: str = "qty"
 ) -> DataFrame:
     """``<value>_mean_<d>``: total of the ``d`` days up to and including the row's, over ``d``."""
-    ordered = Window.partitionBy(*keys).orderBy(F.unix_date(at))
-    return df.withColumns(
-        {
-            f"{value}_mean_{d}": F.sum(value).over(ordered.rangeBetween(1 - d, 0)).cast("double") / d
-            for d in days
-        }
-    )
+    rows, up_to = _running(df, keys, at, value)
+    return rows.withColumns({f"{value}_mean_{d}": (up_to(0) - up_to(-d)) / d for d in days}).drop("_sum")
 
 
 def demand_ahead(
     df: DataFrame, keys: Sequence[str], days: Sequence[int], at: str = "date", value: str = "qty"
 ) -> DataFrame:
     """``<value>_next_<d>``: total of the ``d`` days after the row's; days without a row count as zero."""
-    ordered = Window.partitionBy(*keys).orderBy(F.unix_date(at))
-    return df.withColumns(
-        {
-            f"{value}_next_{d}": F.coalesce(F.sum(value).over(ordered.rangeBetween(1, d)).cast("double"), F.lit(0.0))
-            for d in days
-        }
-    )
+    rows, up_to = _running(df, keys, at, value)
+    return rows.withColumns({f"{value}_next_{d}": up_to(d) - up_to(0) for d in days}).drop("_sum")

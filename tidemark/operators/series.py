@@ -23,12 +23,13 @@ def fill_calendar(
 
     Each row stands for itself and the periods up to the next row, so this is one window over the series and no join.
     """
+    filler = F.lit(fill).cast(df.schema[value].dataType)
     following = F.lead(at).over(Window.partitionBy(*keys).orderBy(at))
     last_before = F.greatest(F.col(at), F.coalesce(F.date_sub(following, 1), F.col(at)))
     return (
         df.select(*keys, F.col(at).alias("_own"), value, last_before.alias("_until"))
         .withColumn(at, F.explode(F.sequence("_own", "_until", period_step(unit))))
-        .select(*keys, at, F.when(F.col(at) == F.col("_own"), F.col(value)).otherwise(F.lit(fill)).alias(value))
+        .select(*keys, at, F.when(F.col(at) == F.col("_own"), F.col(value)).otherwise(filler).alias(value))
     )
 
 

@@ -168,19 +168,20 @@ ORIGIN_MEANS = (7, 28, 91)
 
 
 def origin_table(
-    sales: DataFrame, keys: Sequence[str] = ("store_id",), horizons: Sequence[int] = (30, 60, 90)
+    sales: DataFrame, keys: Sequence[str] = ("store_id",), horizons: Sequence[int] = (30, 60, 90), share: float = 0.8
 ) -> tuple[DataFrame, list[str]]:
-    """One row per series and day: what is known that day, and the demand of the next h days.
+    """One row per series and day: what is known that day, the demand of the next h days, and ``is_train``.
 
     ``ready_<h>`` marks days whose h days ahead are all observed. The features never look past their day; on the
     first days of a series the lags are NULL.
     """
     keys = list(keys)
     series = fill_calendar(daily_totals(sales, keys), keys, "date", "qty", unit="day")
-    series = series.withColumn("qty", F.col("qty").cast("double"))
-    rows = lag_features(series, keys, ORIGIN_LAGS)
+    # split here, where a day's rows are still cheap to count
+    rows = lag_features(flag_split(series, share), keys, ORIGIN_LAGS)
     rows = trailing_means(rows, keys, ORIGIN_MEANS)
     rows = demand_ahead(rows, keys, horizons)
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in ["qty", *[f"qty_lag_{k}" for k in ORIGIN_LAGS]]})
     last = sales.agg(F.max("date").alias("last")).scalar()
     rows = rows.withColumns({f"ready_{h}": F.date_add("date", h) <= last for h in horizons})
     inputs = ["qty", *[f"qty_lag_{k}" for k in ORIGIN_LAGS], *[f"qty_mean_{d}" for d in ORIGIN_MEANS]]
@@ -194,8 +195,8 @@ def fit_horizons(
 
     An origin trains model h only if its h days ahead end by the split date, so no test demand is seen in training.
     """
-    table, inputs = origin_table(sales, keys, horizons)
-    table = stage(flag_split(table, share), "origins")
+    table, inputs = origin_table(sales, keys, horizons, share)
+    table = stage(table, "origins")
     cutoff = table.where("is_train").agg(F.max("date").alias("cutoff")).scalar()
     known = table.na.drop(subset=inputs)
     fitted = {}

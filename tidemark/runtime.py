@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,23 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for tables that must outlive an executor.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) is a
-    temporary folder chosen.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the master is local is a temporary
+    folder chosen; elsewhere executors do not see each other's disks, so it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+        if not is_local(context.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {context.master})")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
@@ -61,4 +69,33 @@ def stage(df: DataFrame, label: str, sort: Sequence[str] = ()) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`stage` returned, once nothing reads it any more. Other frames: no effect."""
+    path = getattr(df, "staged_path", None)
+    if path is None:
+        return
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+    df.staged_path = None
+
+
+@contextmanager
+def staging() -> Iterator[Callable[..., DataFrame]]:
+    """``with staging() as keep: t = keep(df, "label")`` stages tables and deletes them at the end of the block."""
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame, label: str, sort: Sequence[str] = ()) -> DataFrame:
+        held.append(stage(df, label, sort))
+        return held[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in held:
+            unstage(df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import mixing, neardup, sharding, winnow
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,4 +21,18 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op8_mixing": op8_mixing}
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return winnow.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+
+def op6_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "documents"))
+
+
+QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op6_neardup": op6_neardup,
+    "op8_mixing": op8_mixing,
+    "op10_decontamination": op10_decontamination,
+}

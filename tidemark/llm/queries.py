@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, neardup, sharding, winnow
+from tidemark.llm import mixing, neardup, ordinal, sharding, toxicity, winnow
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,12 +26,22 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return ordinal.quality_grades(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op6_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"))
 
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_neardup": op6_neardup,
     "op8_mixing": op8_mixing,
     "op10_decontamination": op10_decontamination,

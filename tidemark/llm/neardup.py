@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm import bloom
 from tidemark.llm.graph import components
 from tidemark.llm.text import WordHashes, gram_hashes, spaced_words
 from tidemark.runtime import stage, unstage
@@ -36,7 +37,8 @@ SHINGLE = 5
 COORDINATES, MATCHES = 256, 165
 POSTED, SHARED = 24, 8
 BLOCK = 256
-READ = "doc_id long, n_shingles long, key binary, posted array<long>, signature binary, shingles array<long>"
+READ = "doc_id long, n_shingles long, key binary, posted array<long>, signature binary"
+LIVE_BITS = 23  # of the Bloom filter of documents that may have partners: 1 MB
 
 
 def shingle_set(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -55,6 +57,10 @@ def signature(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) ->
     return out
 
 
+def _key(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
@@ -70,14 +76,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for first in range(0, len(ids), 500):
-            counts, keys, posted, signatures, sets = [], [], [], [], []
+            counts, keys, posted, signatures = [], [], [], []
             for text in texts.slice(first, 500):
                 shingles = shingle_set(seen.of(spaced_words(text.as_py())))
                 counts.append(len(shingles))
-                sets.append(shingles)
                 if len(shingles):
                     least = signature(shingles, factors, shifts)
-                    keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                    keys.append(_key(shingles))
                     posted.append(places | least[:POSTED].astype(np.uint64))
                     signatures.append((least ^ (least >> np.uint32(16))).astype(np.uint16).tobytes())
                 else:
@@ -91,9 +96,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(keys, pa.binary()),
                     _lists(posted),
                     pa.array(signatures, pa.binary()),
-                    _lists(sets),
                 ],
-                names=["doc_id", "n_shingles", "key", "posted", "signature", "shingles"],
+                names=["doc_id", "n_shingles", "key", "posted", "signature"],
             )
 
 
@@ -154,6 +158,35 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield paired([held])
 
 
+def shingle_sets(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """``node, n_shingles, shingles`` of the documents in ``live`` (node, key), from a second pass over the texts.
+
+    Keeping every document's set from the first pass would take more room than the texts, and few are needed.
+    """
+    hashes = live.select(F.xxhash64("node").alias("hash"))
+    table = docs.sparkSession.sparkContext.broadcast(bloom.build(hashes, "hash", LIVE_BITS))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHashes()
+        for batch in batches:
+            batch = batch.filter(pa.array(bloom.passes(table.value, LIVE_BITS, batch.column(2).to_numpy().view(np.uint64))))
+            for first in range(0, batch.num_rows, 500):
+                rows = [shingle_set(seen.of(spaced_words(t.as_py()))) for t in batch.column(1).slice(first, 500)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, 500),
+                        pa.array([_key(r) for r in rows], pa.binary()),
+                        pa.array([len(r) for r in rows], pa.int64()),
+                        _lists(rows),
+                    ],
+                    names=["node", "key", "n_shingles", "shingles"],
+                )
+
+    read = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("hash"))
+    read = read.mapInArrow(sets, "node long, key binary, n_shingles long, shingles array<long>")
+    return read.join(live.select("node", "key"), ["node", "key"]).select("node", "n_shingles", "shingles")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets (``node, n_shingles, shingles``) overlap in at least 75 of 100 of their union."""
     side = lambda k: sets.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("shingles").alias(f"s_{k}"))
@@ -195,7 +228,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prefix = stage(ranked.select("_doc", "node", "key", "_weight"), "dup-prefix")
     unstage(posts)
     live = prefix.groupBy("_doc").agg(F.first("node").alias("node"), F.array_sort(F.collect_list("key")).alias("prefix"))
-    live = stage(live.join(usable.select("_doc", "n_shingles", "signature", "shingles"), "_doc"), "dup-live")
+    live = stage(live.join(usable.select("_doc", "key", "n_shingles", "signature"), "_doc"), "dup-live")
+
+    sets = stage(shingle_sets(docs, live), "dup-sets")
 
     centre = prefix.groupBy("key").agg(F.max(F.struct("_weight", (-F.col("node")).alias("_o"), "node")).alias("_c"), F.count(F.lit(1)).alias("n"))
     stars = (
@@ -206,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     marks = lambda k: live.select(F.col("node").alias(k), F.col("signature").alias(f"m_{k}"))
     stars = stars.join(marks("a"), "a").join(marks("b"), "b").select("a", "b", "m_a", "m_b").mapInArrow(_enough, "a long, b long")
-    links = stage(confirmed(stars.distinct(), live), "dup-links")
+    links = stage(confirmed(stars.distinct(), sets), "dup-links")
     first = stage(components(links, "dup-first"), "dup-first")
 
     named = prefix.join(first, "node", "left").select("_doc", "node", "key", F.coalesce("component", "node").alias("component"))
@@ -232,9 +267,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     cells = blocks.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
     rest = stage(cells.mapInArrow(_cells, "a long, b long").distinct(), "dup-rest")
-    more = stage(confirmed(rest, live), "dup-more")
+    more = stage(confirmed(rest, sets), "dup-more")
     grouped = stage(components(links.union(more), "dup-groups"), "dup-groups")
-    for t in (prefix, live, links, first, named, rest, more):
+    for t in (prefix, live, sets, links, first, named, rest, more):
         unstage(t)
 
     copies = classes.where("_n > 1").select("key", F.col("class_id").alias("_class"))

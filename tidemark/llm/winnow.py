@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm import bloom
 from tidemark.llm.text import WordHashes, alphanumeric_words, gram_hashes
 from tidemark.runtime import stage, unstage
 
@@ -53,11 +54,6 @@ def fingerprints(words: list[bytes], hashes: np.ndarray, lengths: list[int], win
             yield fp, n, pos, pos - first, [w.decode("utf-8", "replace") for w in around]
 
 
-def _slots(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(64 - bits)
-    return fps >> shift, (fps * np.uint64(0xD6E8FEB86659FD93)) >> shift
-
-
 def _hits_of(rows: list[list[tuple]]) -> pa.Array:
     flat = [{"fp": a, "n": b, "pos": c, "lead": d, "words": e} for hits in rows for a, b, c, d, e in hits]
     kind = pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("lead", pa.int32()), ("words", pa.list_(pa.string()))])
@@ -72,13 +68,8 @@ def _reader(lengths: list[int], window: int, gram: int, filtered, bits: int, who
         seen = WordHashes()
         table = None if filtered is None else filtered.value
 
-        def passes(fps: np.ndarray) -> np.ndarray:
-            if table is None:
-                return np.ones(len(fps), bool)
-            a, b = _slots(fps, bits)
-            low, six = np.uint64(63), np.uint64(6)
-            one = np.uint64(1)
-            return ((table[a >> six] >> (a & low)) & (table[b >> six] >> (b & low)) & one).astype(bool)
+        def through(fps: np.ndarray) -> np.ndarray:
+            return np.ones(len(fps), bool) if table is None else bloom.passes(table, bits, fps)
 
         for batch in batches:
             counts, rows = [], []
@@ -86,7 +77,7 @@ def _reader(lengths: list[int], window: int, gram: int, filtered, bits: int, who
                 words = alphanumeric_words(text.as_py())
                 counts.append(len(words))
                 runs = ([len(words)] if 0 < len(words) < window else []) if whole else lengths
-                rows.append(list(fingerprints(words, seen.of(words), runs, window, gram, passes)))
+                rows.append(list(fingerprints(words, seen.of(words), runs, window, gram, through)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), _hits_of(rows)], names=[batch.schema.names[0], "n_words", "hits"]
             )
@@ -94,27 +85,6 @@ def _reader(lengths: list[int], window: int, gram: int, filtered, bits: int, who
     return read
 
 
-def _filter(prints: DataFrame, bits: int) -> np.ndarray:
-    """The Bloom filter as 64-bit words, put together by Spark: at most 2 ** (bits - 6) rows reach the driver."""
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            both = np.concatenate(_slots(fps, bits)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both)], names=["slot"])
-
-    words = (
-        prints.select("fp")
-        .mapInArrow(slots, "slot long")
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("value"))
-        .collect()
-    )
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    for r in words:
-        table[r["word"]] = np.int64(r["value"]).astype(np.uint64)
-    return table
-
-
 def _extended(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep: list[tuple] = []
@@ -162,7 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     """
     prints, ids = item_fingerprints(items, window, gram)
     lengths = sorted(-r["n"] for r in prints.where("n < 0").select("n").distinct().collect())  # at most window - 1
-    table = docs.sparkSession.sparkContext.broadcast(_filter(prints, bits))
+    table = docs.sparkSession.sparkContext.broadcast(bloom.build(prints, "fp", bits))
     read = docs.select("doc_id", "text").mapInArrow(
         _reader(lengths, window, gram, table, bits, False),
         f"doc_id long, n_words long, hits {HITS}",

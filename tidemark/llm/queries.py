@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, neardup, ordinal, sharding, toxicity, winnow
+from tidemark.llm import lm, mixing, neardup, ordinal, sharding, toxicity, winnow
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_documents(_table(spark, folder, "documents"))
+
+
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     out = sharding.shard_documents(_table(spark, folder, "documents"), 8)
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
@@ -39,6 +43,7 @@ def op6_neardup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,

@@ -1,11 +1,12 @@
 """Near duplicates by an inverted join of MinHash signatures.
 
-1. One pass over the texts writes each document's shingle set and its signature. Documents with equal sets are one class
-   and go on as its representative, so copies are never paired.
-2. Representatives are posted under their ``POSTED`` first coordinates. Values that nobody shares are dropped, and with
+1. One pass over the texts writes the first ``POSTED`` coordinates of each document's signature and a key of its shingle
+   set. Documents with equal sets are one class and go on as its representative, so copies are never paired.
+2. Representatives are posted under these coordinates. Values that nobody shares are dropped, and with
    them every document left with fewer than ``SHARED`` coordinates: it can match nobody often enough (skip). Of the
    others the ``SHARED - 1`` most frequent coordinates are dropped: two documents that agree in ``SHARED`` still meet
-   under their rarest common value (prefix). Boilerplate that many documents contain falls away here.
+   under their rarest common value (prefix). Boilerplate that many documents contain falls away here. A second pass
+   writes the sets and the whole signatures of the documents that are left.
 3. Every posting list elects the member whose values are the most common, which is the centre of a group of edited
    copies, and each other member is paired with it alone. Pairs that agree in ``MATCHES`` of ``COORDINATES`` are confirmed
    on the full sets, and the links joined into first components.
@@ -13,7 +14,7 @@
    ``BLOCK`` documents, inside a task: counted on the signatures, and only pairs from two components that reach
    ``MATCHES`` leave it, each under its least common value. They are confirmed alike, and all links give the components.
 
-At a similarity of 0.75 a pair agrees in 192 of 256 coordinates on average with a deviation of 6.9, so one in 20,000
+At a similarity of 0.75 a pair agrees in 576 of 768 coordinates on average with a deviation of 12, so about one in 20,000
 such pairs misses ``MATCHES``; one in 200,000 misses ``SHARED``. More similar pairs miss far less often.
 """
 
@@ -34,10 +35,10 @@ from tidemark.llm.text import WordHashes, gram_hashes, spaced_words
 from tidemark.runtime import stage, unstage
 
 SHINGLE = 5
-COORDINATES, MATCHES = 256, 165
+COORDINATES, MATCHES = 768, 529
 POSTED, SHARED = 24, 8
 BLOCK = 256
-READ = "doc_id long, n_shingles long, key binary, posted array<long>, signature binary"
+READ = "doc_id long, n_shingles long, key binary, posted array<long>"
 LIVE_BITS = 23  # of the Bloom filter of documents that may have partners: 1 MB
 
 
@@ -46,17 +47,25 @@ def shingle_set(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(hashes, min(width, len(hashes)))) if len(hashes) else np.empty(0, np.uint64)
 
 
-def signature(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The least of each hash function over the set, in slices so that long texts take no more memory."""
+    factors, shifts = functions
     high = (shingles >> np.uint64(32)).astype(np.uint32)
     out = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(high), 2048):
-        values = factors[:, None] * high[None, at : at + 2048]
+    for at in range(0, len(high), 1024):
+        values = factors[:, None] * high[None, at : at + 1024]
         values += shifts[:, None]
         np.minimum(out, values.min(axis=1), out=out)
     return out
 
 
+def hash_functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` of one fixed row of hash functions."""
+    dice = np.random.default_rng(75)
+    factors = dice.integers(0, 2**31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return factors[:n], dice.integers(0, 2**32, COORDINATES, dtype=np.uint32)[:n]
+
+
 def _key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -68,36 +77,21 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    dice = np.random.default_rng(75)
-    factors = dice.integers(0, 2**31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    shifts = dice.integers(0, 2**32, COORDINATES, dtype=np.uint32)
+    functions = hash_functions(POSTED)
     places = np.arange(POSTED, dtype=np.uint64) << np.uint64(32)
     seen = WordHashes()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for first in range(0, len(ids), 500):
-            counts, keys, posted, signatures = [], [], [], []
+            counts, keys, posted = [], [], []
             for text in texts.slice(first, 500):
                 shingles = shingle_set(seen.of(spaced_words(text.as_py())))
                 counts.append(len(shingles))
-                if len(shingles):
-                    least = signature(shingles, factors, shifts)
-                    keys.append(_key(shingles))
-                    posted.append(places | least[:POSTED].astype(np.uint64))
-                    signatures.append((least ^ (least >> np.uint32(16))).astype(np.uint16).tobytes())
-                else:
-                    keys.append(None)
-                    posted.append(np.empty(0, np.uint64))
-                    signatures.append(None)
+                keys.append(_key(shingles) if len(shingles) else None)
+                posted.append(places | signature(shingles, functions) if len(shingles) else np.empty(0, np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(first, 500),
-                    pa.array(counts, pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    _lists(posted),
-                    pa.array(signatures, pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "key", "posted", "signature"],
+                [ids.slice(first, 500), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), _lists(posted)],
+                names=["doc_id", "n_shingles", "key", "posted"],
             )
 
 
@@ -159,7 +153,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sets(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """``node, n_shingles, shingles`` of the documents in ``live`` (node, key), from a second pass over the texts.
+    """``node, n_shingles, signature, shingles`` of the documents in ``live`` (node, key), from a second pass over the texts.
 
     Keeping every document's set from the first pass would take more room than the texts, and few are needed.
     """
@@ -167,7 +161,12 @@ def shingle_sets(docs: DataFrame, live: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(bloom.build(hashes, "hash", LIVE_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
+        seen, functions = WordHashes(), hash_functions(COORDINATES)
+
+        def short(shingles: np.ndarray) -> bytes:
+            least = signature(shingles, functions)
+            return (least ^ (least >> np.uint32(16))).astype(np.uint16).tobytes()
+
         for batch in batches:
             batch = batch.filter(pa.array(bloom.passes(table.value, LIVE_BITS, batch.column(2).to_numpy().view(np.uint64))))
             for first in range(0, batch.num_rows, 500):
@@ -177,14 +176,16 @@ def shingle_sets(docs: DataFrame, live: DataFrame) -> DataFrame:
                         batch.column(0).slice(first, 500),
                         pa.array([_key(r) for r in rows], pa.binary()),
                         pa.array([len(r) for r in rows], pa.int64()),
+                        pa.array([short(r) for r in rows], pa.binary()),
                         _lists(rows),
                     ],
-                    names=["node", "key", "n_shingles", "shingles"],
+                    names=["node", "key", "n_shingles", "signature", "shingles"],
                 )
 
-    read = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("hash"))
-    read = read.mapInArrow(sets, "node long, key binary, n_shingles long, shingles array<long>")
-    return read.join(live.select("node", "key"), ["node", "key"]).select("node", "n_shingles", "shingles")
+    node = F.col("doc_id").cast("long")
+    read = docs.where(node.isNotNull()).select(node.alias("node"), "text", F.xxhash64(node).alias("hash"))
+    read = read.mapInArrow(sets, "node long, key binary, n_shingles long, signature binary, shingles array<long>")
+    return read.join(live.select("node", "key"), ["node", "key"]).drop("key")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,7 +229,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prefix = stage(ranked.select("_doc", "node", "key", "_weight"), "dup-prefix")
     unstage(posts)
     live = prefix.groupBy("_doc").agg(F.first("node").alias("node"), F.array_sort(F.collect_list("key")).alias("prefix"))
-    live = stage(live.join(usable.select("_doc", "key", "n_shingles", "signature"), "_doc"), "dup-live")
+    live = stage(live.join(usable.select("_doc", "key"), "_doc"), "dup-live")
 
     sets = stage(shingle_sets(docs, live), "dup-sets")
 
@@ -239,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where("a != b")
         .distinct()
     )
-    marks = lambda k: live.select(F.col("node").alias(k), F.col("signature").alias(f"m_{k}"))
+    marks = lambda k: sets.select(F.col("node").alias(k), F.col("signature").alias(f"m_{k}"))
     stars = stars.join(marks("a"), "a").join(marks("b"), "b").select("a", "b", "m_a", "m_b").mapInArrow(_enough, "a long, b long")
     links = stage(confirmed(stars.distinct(), sets), "dup-links")
     first = stage(components(links, "dup-first"), "dup-first")
@@ -251,7 +252,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = (
         named.join(mixed, "key")
         .withColumn("block", F.pmod(F.xxhash64("key", "_doc"), F.col("_blocks")).cast("int"))
-        .join(live.select("_doc", "n_shingles", "signature", "prefix"), "_doc")
+        .join(live.select("_doc", "prefix"), "_doc")
+        .join(sets.select("node", "n_shingles", "signature"), "node")
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select(
             "key",

@@ -1,3 +1,15 @@
 """DuckDB SQL of the corpus queries that SQL can state."""
 
-ORACLE: dict[str, str] = {}
+TOPK = """
+WITH codes AS (
+  SELECT vec_id AS id, list_reduce(list_transform(embedding[1:64], lambda x, i: CASE WHEN x > 0 THEN 1::UBIGINT << (i - 1)::UBIGINT ELSE 0::UBIGINT END), lambda a, b: a | b) AS code
+  FROM embeddings
+), pairs AS (
+  SELECT q.id AS query_id, r.id, bit_count(xor(q.code, r.code))::BIGINT AS distance
+  FROM codes q JOIN codes r ON q.id % 20 = 0 AND q.id <> r.id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank, id, distance
+FROM pairs QUALIFY rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op7_topk": TOPK}

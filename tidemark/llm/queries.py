@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm, mixing, neardup, ordinal, sharding, toxicity, winnow
+from tidemark.llm import chat, hamming, lm, mixing, neardup, ordinal, sharding, toxicity, winnow
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
+    return hamming.top_k(rows, rows.where("id % 20 = 0"), 10)
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
@@ -30,6 +35,13 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
+    trap = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.format_conversations(rows))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return ordinal.quality_grades(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -45,9 +57,11 @@ def op6_neardup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
+    "op3_chat": op3_chat,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_neardup": op6_neardup,
+    "op7_topk": op7_topk,
     "op8_mixing": op8_mixing,
     "op10_decontamination": op10_decontamination,
 }

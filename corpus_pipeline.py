@@ -1,9 +1,88 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-STAGES: list = []
-ORACLE_SQL = None
+Toxic documents go, one document of each group of near duplicates stays, documents that contain benchmark passages go,
+sources are mixed to target weights, and what is left is cut into shards. Each stage takes (spark, docs, sf_dir), works on
+all its predecessor kept, and returns the columns of ``docs``; the last adds ``shard`` and ``slot``. Extra columns pass
+through, whatever their names.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.llm import mixing, neardup, sharding, toxicity, winnow
+from tidemark.runtime import stage
+
+SHARDS = 8
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or the same with underscores before it if the table has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose probability of toxicity is below one half; NULL and wordless texts stay. Learned from ``labels``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(toxicity.train_part(docs), toxicity.train_part(labels))
+    name = _free(docs, "toxicity")
+    return toxicity.score(spark, docs, model, name).where(F.col(name) < 0.5).drop(name)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group; of rows that repeat an id, the one whose text sorts first.
+
+    Rows with a NULL id are no one's copies and stay.
+    """
+    keep = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    name = _free(docs, "copy")
+    once = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    chosen = docs.join(keep, "doc_id", "left_semi").withColumn(name, once).where(F.col(name) == 1)
+    return chosen.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window. Rows that share an id, NULL included, go together."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    read, spans = winnow.decontaminate(docs, items)
+    hit = stage(read.join(spans.select("_doc").distinct(), "_doc", "left_semi").select("doc_id").distinct(), "contaminated")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, to the nearest whole copy; none of it if that is 0."""
+    mixed = mixing.mix(docs, carry=True)
+    times = mixing.copies(F.col("taken"), F.col("size"))
+    copies = mixed.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy"))
+    return copies.select("row.*")
+
+
+def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with ``shard`` and ``slot``, equal texts together."""
+    placed = sharding.shard_documents(docs, SHARDS, carry=True)
+    new = [F.col(n).alias(_free(docs, n)) for n in ("shard", "slot")]
+    return placed.select("row.*", *new)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", cut_shards),
+]
+
+ORACLE_SQL = None  # a trained classifier and signatures have no SQL; the tests run a brute-force version beside it
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, work in STAGES:
+        docs = stage(work(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -12,4 +12,59 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)
 FROM pairs QUALIFY rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op7_topk": TOPK}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+URL_FILTERS = r"""
+WITH parts AS (
+  SELECT page_id, url, DATE '2024-01-01' + (page_id * 7919 % 366)::INTEGER AS fetched,
+    lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[1:3] AS steps
+  FROM pages
+), keyed AS (
+  SELECT page_id, url, fetched, host, unnest(list_distinct(list_concat(
+      list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+      list_transform(range(1, len(steps) + 1), lambda i: host || '/' || array_to_string(steps[1:i], '/'))))) AS pattern
+  FROM parts WHERE host <> ''
+), named AS (
+  SELECT pattern, min(page_id) AS f FROM keyed
+  WHERE pattern = host OR len(regexp_replace(pattern, '[^/]', '', 'g')) = 1 GROUP BY pattern HAVING min(page_id) % 3 = 0
+), dates AS (
+  SELECT pattern, f, DATE '2024-01-01' + (f * 31 % 366)::INTEGER AS on_day,
+    DATE '2024-01-01' + (f * 31 % 366)::INTEGER + (f * 17 % 90 + 1)::INTEGER AS off_day FROM named
+), spans AS (
+  SELECT pattern, on_day AS since, CASE WHEN f % 2 = 0 THEN off_day END AS until FROM dates
+  UNION ALL SELECT pattern, off_day + 60, NULL FROM dates WHERE f % 4 = 0
+), hits AS (
+  SELECT k.page_id, k.pattern, s.since FROM keyed k JOIN spans s USING (pattern)
+  WHERE s.since <= k.fetched AND (s.until IS NULL OR k.fetched < s.until)
+  QUALIFY row_number() OVER (PARTITION BY k.page_id ORDER BY length(k.pattern) DESC, k.pattern) = 1
+)
+SELECT p.page_id, p.url, p.fetched, h.pattern IS NOT NULL AS blocked, h.pattern, h.since
+FROM parts p LEFT JOIN hits h USING (page_id)
+"""
+
+DECONTAMINATION = rf"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+        FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM doc_words CROSS JOIN (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), met AS (SELECT doc_id, item_id, i, n FROM grams JOIN windows USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM met) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM met) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op7_topk": TOPK, "op9_url_filters": URL_FILTERS, "op10_decontamination": DECONTAMINATION}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, hamming, lm, mixing, neardup, ordinal, sharding, toxicity, winnow
+from tidemark.llm import chat, hamming, lm, mixing, neardup, ordinal, sharding, toxicity, urllists, winnow
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,29 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """``pages`` has neither dates nor lists, so Spark derives both from it.
+
+    Page i was fetched on day ``i * 7919 % 366`` of 2024. With f the smallest page id of a host or of a host's first path
+    segment: it is listed on day ``f * 31 % 366`` if ``f % 3 = 0``, taken off ``f * 17 % 90 + 1`` days later if f is even,
+    and listed again 60 days after that if ``f % 4 = 0``.
+    """
+    pages = _table(spark, folder, "pages")
+    start = F.lit("2024-01-01").cast("date")
+    captures = pages.select("page_id", "url", F.date_add(start, (F.col("page_id") * 7919 % 366).cast("int")).alias("fetched"))
+    keys = F.filter(urllists.url_keys(F.col("url")), lambda k: (k == urllists.host(F.col("url"))) | (F.length(F.regexp_replace(k, "[^/]", "")) == 1))
+    named = pages.select("page_id", F.explode(keys).alias("pattern")).groupBy("pattern").agg(F.min("page_id").alias("f"))
+    on = F.date_add(start, (F.col("f") * 31 % 366).cast("int"))
+    off = F.date_add(on, (F.col("f") * 17 % 90 + 1).cast("int"))
+    dated = F.array(
+        F.struct(on.alias("day"), F.lit("add").alias("action"), F.lit(True).alias("real")),
+        F.struct(off.alias("day"), F.lit("remove").alias("action"), (F.col("f") % 2 == 0).alias("real")),
+        F.struct(F.date_add(off, 60).alias("day"), F.lit("add").alias("action"), (F.col("f") % 4 == 0).alias("real")),
+    )
+    entries = named.where("f % 3 = 0").select("pattern", F.inline(dated)).where("real")
+    return urllists.judge(captures, entries)
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -63,5 +86,6 @@ QUERIES = {
     "op6_neardup": op6_neardup,
     "op7_topk": op7_topk,
     "op8_mixing": op8_mixing,
+    "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
 }

@@ -93,7 +93,7 @@ def read_back(tokens: np.ndarray, mask: np.ndarray, encoding, reserved: int) ->
     """A role that was NULL reads as an empty one, a NULL text as an empty text."""
     marks = np.flatnonzero(tokens >= reserved)
     text, turns, loss, role, name = [], [], [], "", ""
-    for at, after in zip(marks, [*marks[1:], len(tokens)], strict=True):
+    for at, after in zip(marks, np.append(marks, len(tokens))[1:], strict=True):
         mark = int(tokens[at]) - reserved
         body = encoding.decode_bytes(tokens[at + 1 : after].tolist()).decode()
         text += [MARKS[mark], body]

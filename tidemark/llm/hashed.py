@@ -93,8 +93,13 @@ def remainder(doc_id: Column, of: int) -> Column:
 
 
 def bounded_sample(ids: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` rows, those whose ``doc_id`` hashes lowest: the same rows whatever the partitioning."""
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    """At most ``limit`` rows, those whose ``doc_id`` hashes lowest: the same rows whatever the partitioning.
+
+    Rows that hash too high to be among them are dropped where they lie, so no task gets ``limit`` rows from each other.
+    """
+    share = min(1.0, (1.2 * limit + 1000) / max(ids.count(), 1))
+    low = ids.where(F.xxhash64("doc_id") <= int(-(2**63) + share * (2**64 - 2**11)))
+    return low.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def collect_rows(docs: DataFrame, wanted: DataFrame, bits: int, with_shapes: bool) -> dict:

@@ -215,9 +215,22 @@ def score_documents(
     return out
 
 
+def _frequent(values: DataFrame) -> int:
+    """The least count that no more than ``TOP`` words reach, from a histogram with eight steps to each doubling."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = values.where("c > 0").groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # some hundred rows
+    words, least = 0, None
+    for r in sizes:
+        words += r["count"]
+        if words > TOP:
+            break
+        least = r["step"]
+    return 2**62 if least is None else int(np.ceil(2 ** (least / 8) - 1e-9))
+
+
 def _added_up(docs: DataFrame, values: DataFrame, totals: Counts) -> DataFrame:
     spark, classes = docs.sparkSession.sparkContext, len(totals.docs)
-    top = values.where("c > 0").orderBy(F.desc("c"), "hash").limit(TOP).toArrow()
+    top = values.where(F.col("c") >= _frequent(values)).select("hash", "c", "logs").toArrow()  # at most TOP rows
     order = np.argsort(top["hash"].to_numpy().view(np.uint64))
     hashes, c = top["hash"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order]
     logs = top["logs"].combine_chunks().flatten().to_numpy().reshape(-1, classes)[order]

@@ -49,3 +49,18 @@ def test_dates_and_audit(spark):
     assert (audit.n_rows, audit.n_complete) == (3, 1)
     assert (audit.null_date, audit.null_qty, audit.null_other) == (1, 1, 1)
     assert cleaning.drop_incomplete(cleaned).count() == audit.n_complete
+
+
+def test_default_type_keeps_digits_and_large_values(spark):
+    raw = spark.createDataFrame([("0,125",), ("12345678901,5",), (None,), ("x",)], "qty string")
+    got = [r.qty for r in cleaning.clean_sales(raw, ["qty"], date=None).collect()]
+    assert got == [0.125, 12345678901.5, None, None]
+
+
+def test_parse_audit_counts_what_is_lost(spark):
+    rows = [("0,125", "1,5"), ("12345678901,5", "2"), ("1,25", None), ("x", "0,1"), (None, "0,2")]
+    raw = spark.createDataFrame(rows, "qty string, cost string")
+    small = {r.column: (r.n_text, r.n_null_after, r.n_digits_lost) for r in cleaning.parse_audit(raw, ["qty", "cost"], "decimal(12,2)").collect()}
+    assert small == {"qty": (4, 2, 1), "cost": (4, 0, 0)}
+    wide = {r.column: (r.n_null_after, r.n_digits_lost) for r in cleaning.parse_audit(raw, ["qty", "cost"]).collect()}
+    assert wide == {"qty": (1, 0), "cost": (0, 0)}

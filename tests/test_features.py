@@ -5,7 +5,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, indexing, stats
-from tidemark.operators.joins import lookup_join
 from tidemark.sources import standin
 
 
@@ -112,13 +111,3 @@ def test_rmse_counts_coverage(spark):
     r = stats.rmse(df, "y", "p").first()
     assert (r.n_rows, r.n_scored) == (3, 2)
     assert r.rmse == pytest.approx(np.sqrt((1 + 9) / 2))
-
-
-@pytest.mark.parametrize("limit", [1, 100])
-def test_lookup_join_both_ways(spark, limit):
-    """A dimension within the limit and one beyond it give the same rows; one key holds most of them."""
-    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 7).alias("k"), "id")
-    dim = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    out = lookup_join(rows, dim, "k", limit=limit)
-    assert out.count() == rows.where("k < 5").count()
-    assert out.where("v <> k * 10").count() == 0

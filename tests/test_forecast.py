@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans import forecast
+from tidemark.plans import baseline, forecast
 from tidemark.registry.queries import _trio
 from tidemark.sources import sinks
 
@@ -56,7 +56,7 @@ def test_rollups_equal_the_full_grid(spark, folder, level, options):
     want = cells.groupBy("date", level).agg(F.round(F.sum("prediction"), 6).alias("prediction"))
     got = forecast.forecast_daily(*trio, level=level, **options).withColumn("prediction", F.round("prediction", 6))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    first = forecast.last_sale_date(trio[0])
+    first = F.lit(forecast.last_sale_date(trio[0]))
     by_horizon = forecast.forecast_horizons(*trio, level=level, **options)
     for h in (30, 60, 90):
         want = {
@@ -100,3 +100,23 @@ def test_write_forecast(spark, leap, tmp_path, fmt):
     else:
         back = spark.read.parquet(path)
     assert back.exceptAll(rows).count() == 0 and back.count() == rows.count()
+
+
+def test_zero_fill_counts_observed_days_only(spark):
+    days = [dt.date(2019, 1, 1) + dt.timedelta(days=i) for i in range(365)]
+    sales = spark.createDataFrame([(d, 1, 1, 1.0) for d in days], "date date, store_id int, product_id int, qty double")
+    at = forecast.from_last_date(sales)
+    fit = forecast.donor_fit(sales, at, 365, fit_on="train", zero_fill=True).collect()
+    assert fit and all(abs(r.prediction - 1) < 1e-12 for r in fit)
+
+
+def test_fit_table_applied_to_other_rows(spark):
+    sales = spark.createDataFrame(
+        [(dt.date(2020, 3, 1), 1, 1, 2.0), (dt.date(2020, 3, 9), 1, 1, 4.0)], "date date, store_id int, product_id int, qty double"
+    )
+    rows = spark.createDataFrame([(dt.date(2021, 3, 5), 1, 1), (dt.date(2021, 4, 5), 1, 1)], "date date, store_id int, product_id int")
+    fit = baseline.fit_panel(sales)
+    left = baseline.apply_fit(rows, fit, "seasonal").orderBy("date").collect()
+    assert [r.prediction for r in left] == [3.0, None]
+    assert baseline.apply_fit(rows, fit, "seasonal", "inner").count() == 1
+    assert baseline.apply_fit(rows, fit).where("prediction IS NOT NULL").count() == 0

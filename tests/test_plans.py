@@ -7,9 +7,10 @@ import re
 import pytest
 
 from tidemark.operators import panel, series, split
-from tidemark.plans import baseline, forecast
+from tidemark.plans import baseline, forecast, validation
 from tidemark.registry import queries
 from tidemark.registry.queries import QUERIES, _trio
+from tidemark.runtime import stage
 
 
 def executed(df) -> str:
@@ -70,3 +71,47 @@ def test_only_fit_columns_are_read(spark, folder):
     text = executed(forecast.forecast_daily(*trio))
     schemas = re.findall(r"ReadSchema: struct<(l_[^>]*)>", text)
     assert schemas and all("l_extendedprice" not in s and "l_tax" not in s for s in schemas)
+
+
+def pushed(text: str) -> list[str]:
+    return [f for f in re.findall(r"PushedFilters: \[(.*?)\]\n", text) if "OrEqual" in f]
+
+
+def test_donor_months_are_filtered_at_the_scan(spark, folder):
+    sales, stores, products = _trio(spark, folder)
+    staged = stage(sales, "pushed")
+    for df in (
+        forecast.forecast_daily(staged, stores, products),
+        validation.rolling_predictions(staged_panel(spark, folder), 4, 90, 30),
+    ):
+        filters = pushed(executed(df))
+        assert any("GreaterThanOrEqual(date" in f and "LessThanOrEqual(date" in f for f in filters), filters
+    filters = pushed(executed(QUERIES["forecast_daily_by_product"](spark, folder)))
+    assert any("GreaterThanOrEqual(l_shipdate" in f and "LessThan" in f for f in filters), filters
+
+
+def staged_panel(spark, folder):
+    return panel.staged_panel(queries.standin.sales(spark, folder))
+
+
+@pytest.mark.parametrize("name", ["enriched_panel", "monthly_sales_by_store", "calendar_join", "onehot_store"])
+def test_lookup_joins_gather_nothing(spark, folder, name):
+    assert "GlobalLimit" not in executed(QUERIES[name](spark, folder))
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_grid_is_not_shuffled(spark, folder, threshold):
+    keys = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": threshold}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = forecast.forecast_cells(*_trio(spark, folder))
+        tree = executed(df).split("== Initial Plan ==")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    above = tree.split("BroadcastNestedLoopJoin")[0].splitlines()
+    depth = len(above[-1]) - len(above[-1].lstrip(" :+-"))
+    path = [line for line in above if len(line) - len(line.lstrip(" :+-")) < depth]
+    assert "BroadcastNestedLoopJoin" in tree and not any("Exchange" in line for line in path)

@@ -31,35 +31,51 @@ def error(rows, prediction, split):
 
 def test_linear_beats_the_mean_on_train(trio, flagged, tmp_path):
     trained = regressors.train(flagged, *trio[1:], [regressors.linear()], as_of_year=2002)
-    scored = trained.pipeline.transform(trained.table)
+    scored = trained.scorer.transform(trained.table)
     assert scored.count() == flagged.count()
     spread = trained.table.where("is_train").agg(F.stddev_pop("qty")).first()[0]
     assert error(scored, "linear", "train") <= spread
     path = str(tmp_path / "model")
-    trained.pipeline.write().save(path)
+    trained.scorer.write().save(path)
     again = PipelineModel.load(path).transform(trained.table)
     assert error(again, "linear", "test") == pytest.approx(error(scored, "linear", "test"))
 
 
+def test_saved_pipeline_scores_rows_never_seen(spark, trio, flagged, tmp_path):
+    _, stores, products = trio
+    models = [regressors.linear(), regressors.indexed_forest(numTrees=3)]
+    trained = regressors.train(flagged, stores, products, models, as_of_year=2002)
+    path = str(tmp_path / "whole")
+    trained.pipeline.write().save(path)
+    key = flagged.select("store_id", "product_id").first()
+    new = spark.createDataFrame([(dt.date(2031, 5, 4), *key)], "date date, store_id long, product_id long")
+    got = PipelineModel.load(path).transform(panel.enrich(new, stores, products, 2002)).first()
+    assert np.isfinite([got.linear, got.forest_indexed]).all()
+    known = panel.enrich(flagged.where("NOT is_train"), stores, products, 2002)
+    both = trained.pipeline.transform(known).select("date", "store_id", "product_id", F.col("linear").alias("again"))
+    seen = trained.scorer.transform(trained.table).join(both, ["date", "store_id", "product_id"])
+    assert seen.count() and seen.where("abs(linear - again) > 1e-6").count() == 0
+
+
 @pytest.mark.parametrize("make", [regressors.forest, regressors.indexed_forest])
-def test_forest_repeats_with_its_seed(trio, flagged, make):
+def test_forest_does_not_depend_on_partitions(trio, flagged, make):
     runs = []
-    for _ in range(2):
-        trained = regressors.train(flagged, *trio[1:], [make(numTrees=3, maxDepth=3)], as_of_year=2002, partitions=2)
+    for n in (2, 5):
+        trained = regressors.train(flagged, *trio[1:], [make(numTrees=3, maxDepth=3)], as_of_year=2002, partitions=n)
         name = make().getPredictionCol()
-        runs.append(error(trained.pipeline.transform(trained.table), name, "test"))
-    assert runs[0] == pytest.approx(runs[1], rel=1e-12)
+        runs.append(error(trained.scorer.transform(trained.table), name, "test"))
+    assert runs[0] == pytest.approx(runs[1], rel=1e-9)
 
 
 def test_indexed_forest_splits_by_category(trio, flagged):
     trained = regressors.train(flagged, *trio[1:], [regressors.indexed_forest(numTrees=3)], as_of_year=2002)
-    assert " in {" in trained.pipeline.stages[-1].toDebugString
+    assert " in {" in trained.scorer.stages[-1].toDebugString
 
 
 def test_hashed_categories(trio, flagged):
     spec = FeatureSpec(hashed=("product_name", "store_code"), hash_width=64)
     trained = regressors.train(flagged, *trio[1:], [regressors.linear()], spec)
-    assert error(trained.pipeline.transform(trained.table), "linear", "train") > 0
+    assert error(trained.scorer.transform(trained.table), "linear", "train") > 0
 
 
 def test_comparison_has_every_model_and_split(trio):
@@ -167,3 +183,13 @@ def test_lag_by_day_sees_gaps(spark):
     assert by_row == {1: None, 2: 1.0, 4: 2.0}
     diff = {r.date.day: r.qty_diff for r in lags.first_difference(df, ["k"]).collect()}
     assert diff == {1: None, 2: 1.0, 4: 2.0}
+
+
+def test_comparison_drops_its_tables(spark, trio, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(regressors, "stage", lambda df, label, sort=(): kept.append(stage(df, label, sort)) or kept[-1])
+    regressors.compare_models(panel.daily_panel(trio[0]), *trio[1:], models=[regressors.linear()], as_of_year=2002)
+    assert [t.staged_path is not None for t in kept] == [False, False, False, True]  # only the errors stay
+    kept.clear()
+    regressors.horizon_errors(trio[0].where("store_id < 3"), horizons=[5])
+    assert [t.staged_path is not None for t in kept] == [False, True]

@@ -140,3 +140,43 @@ def test_fill_calendar_over_a_year_end(spark):
     df = spark.createDataFrame(rows, "series string, month_start date, qty double")
     filled = series.fill_calendar(df, ["series"], "month_start", "qty").orderBy("month_start").collect()
     assert [(r.month_start.month, r.qty) for r in filled] == [(11, 1), (12, 0), (1, 0), (2, 0), (3, 4), (4, 5)]
+
+
+def test_a_missing_and_a_repeated_month_do_not_cancel(spark):
+    whole = monthly(spark, exact(36), skip=(10,))
+    doubled = whole.union(whole.where("month_start = DATE '2011-06-01'"))
+    assert [r.issue for r in series.series_issues(doubled, ["series"]).collect()] == ["periods missing or repeated"]
+    with pytest.raises(PySparkException, match="missing or repeated"):
+        series.decompose(doubled, ["series"]).collect()
+
+
+def test_refusal_does_not_depend_on_the_columns_asked_for(spark):
+    with pytest.raises(PySparkException, match="fewer than 24 rows"):
+        series.decompose(monthly(spark, exact(20)), ["series"]).select("series", "qty").collect()
+
+
+def test_calendar_refuses_rows_without_a_date(spark):
+    rows = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0), ("a", None, 5.0)], "series string, month_start date, qty double")
+    with pytest.raises(PySparkException, match="no month_start"):
+        series.fill_calendar(rows, ["series"], "month_start", "qty").collect()
+
+
+def unbroken(spark, values, skip=()):
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), v) for i, v in enumerate(values) if i not in skip]
+    return spark.createDataFrame(rows, "date date, qty double")
+
+
+@pytest.mark.parametrize("values, skip", [([1.0, 2.0, 4.0] * 8, (5,)), ([1.0, None, 3.0] * 8, ())])
+def test_autocorrelation_refuses_gaps_and_nulls(spark, values, skip):
+    with pytest.raises(PySparkException, match="no autocorrelation"):
+        series.autocorrelation(unbroken(spark, values, skip), max_lag=3).collect()
+
+
+def test_autocorrelation_fills_gaps_or_counts_rows(spark):
+    values = [float((7 * i) % 11) for i in range(40)]
+    gapped = unbroken(spark, values, (5, 20))
+    filled = unbroken(spark, [0.0 if i in (5, 20) else v for i, v in enumerate(values)])
+    r = lambda df, how: [round(x.r, 12) for x in series.autocorrelation(df, max_lag=4, on_gap=how).orderBy("lag").collect()]
+    assert r(gapped, "zero") == r(filled, "refuse")
+    closed = unbroken(spark, [v for i, v in enumerate(values) if i not in (5, 20)])
+    assert r(gapped, "row") == r(closed, "refuse")

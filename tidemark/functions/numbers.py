@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 QTY_TYPE = "decimal(12,2)"
 
 
-def decimal_comma(name: str, to: str = QTY_TYPE, thousands: str | None = None, strict: bool = False) -> Column:
-    """Text such as ``'12,5'`` as a number.
+def decimal_comma(name: str, to: str = "double", thousands: str | None = None, strict: bool = False) -> Column:
+    """Text such as ``'12,5'`` as a number, by default a double; a decimal type rounds to its digits.
 
     Text that is no number becomes NULL, or fails the query with ``strict``. ``thousands`` names a grouping mark
     to remove first; without it ``'1.234,56'`` is no number.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import QTY_TYPE, decimal_comma
+from tidemark.functions.numbers import decimal_comma
 
 MEASURES = ("qty", "revenue", "tax", "cost")
 
@@ -16,21 +16,50 @@ def clean_sales(
     raw: DataFrame,
     measures: Sequence[str] = MEASURES,
     date: str | None = "date",
-    to: str | dict[str, str] = QTY_TYPE,
+    to: str | dict[str, str] = "double",
     thousands: str | None = None,
     strict: bool = False,
 ) -> DataFrame:
     """Decimal-comma text to numbers and ``date`` to a date, in one projection.
 
-    ``to`` is one type for all measures (``"float"`` for 32-bit), or a type for each.
+    ``to`` is one type for all measures (``"float"`` for 32-bit), or a type for each; decimals round to their digits
+    and give NULL beyond their range, which :func:`parse_audit` counts.
     """
-    kinds = to if isinstance(to, dict) else dict.fromkeys(measures, to)
+    kinds = _types(measures, to)
     changed = {m: decimal_comma(m, kinds[m], thousands, strict) for m in measures}
     if date:
         changed[date] = F.col(date).cast("date") if strict else F.col(date).try_cast("date")
     return raw.withColumns(changed)
 
 
+def _types(measures: Sequence[str], to: str | dict[str, str]) -> dict[str, str]:
+    return to if isinstance(to, dict) else dict.fromkeys(measures, to)
+
+
+def parse_audit(
+    raw: DataFrame, measures: Sequence[str] = MEASURES, to: str | dict[str, str] = "double", thousands: str | None = None
+) -> DataFrame:
+    """``(column, n_text, n_null_after, n_digits_lost)``: what :func:`clean_sales` with the same arguments would lose.
+
+    Texts present, texts that become NULL, and numbers whose value changes. The exact value is a decimal with 18 digits
+    on either side of the point, and texts beyond that count as lost. One pass for all columns.
+    """
+    exact_type = "decimal(36,18)"
+    facts = []
+    for m, kind in _types(measures, to).items():
+        value, exact = decimal_comma(m, kind, thousands), decimal_comma(m, exact_type, thousands)
+        same = value.try_cast(exact_type).eqNullSafe(exact) & exact.isNotNull()
+        facts.append(
+            F.struct(
+                F.lit(m).alias("column"),
+                F.count(m).alias("n_text"),
+                F.count_if(F.col(m).isNotNull() & value.isNull()).alias("n_null_after"),
+                F.count_if(value.isNotNull() & ~same).alias("n_digits_lost"),
+            )
+        )
+    return raw.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+
+
 def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows without a NULL (or NaN) in any of the columns."""
     return df.na.drop(how="any", subset=list(columns) if columns else None)

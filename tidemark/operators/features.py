@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,24 +50,32 @@ def encode(
     All columns are fitted together: one job for the indexes, none for the encoder. A column with a single value has
     no vector; it is skipped and not in the returned list.
     """
+    stages, usable = fit_encoders(dim, columns, invalid)
+    encoded = PipelineModel(stages=stages).transform(dim)
+    return (encoded if keep_index else encoded.drop(*[index_name(c) for c in columns])), usable
+
+
+def fit_encoders(dim: DataFrame, columns: Sequence[str], invalid: str = "error") -> tuple[list, list[str]]:
+    """The fitted stages of :func:`encode`, which take any rows that have the columns, and the columns with a vector."""
+    if not columns:
+        return [], []
     index_names = [index_name(c) for c in columns]
     indexer = StringIndexer(inputCols=list(columns), outputCols=index_names, handleInvalid=invalid).fit(dim)
     extra = 1 if invalid == "keep" else 0
     usable = [c for c, labels in zip(columns, indexer.labelsArray) if len(labels) + extra > 1]
-    encoded = indexer.transform(dim)
-    if usable:
-        encoder = OneHotEncoder(
-            inputCols=[index_name(c) for c in usable], outputCols=[vector_name(c) for c in usable]
-        )
-        encoded = encoder.fit(encoded).transform(encoded)
-    return (encoded if keep_index else encoded.drop(*index_names)), usable
+    if not usable:
+        return [indexer], []
+    encoder = OneHotEncoder(inputCols=[index_name(c) for c in usable], outputCols=[vector_name(c) for c in usable])
+    return [indexer, encoder.fit(indexer.transform(dim))], usable
 
 
 def hash_categories(df: DataFrame, columns: Sequence[str], width: int = 1024, out: str = "hashed_vec") -> DataFrame:
     """All ``columns`` hashed into one sparse vector; no fit and no table of values, however many there are."""
-    return FeatureHasher(
-        inputCols=list(columns), outputCol=out, numFeatures=width, categoricalCols=list(columns)
-    ).transform(df)
+    return category_hasher(columns, width, out).transform(df)
+
+
+def category_hasher(columns: Sequence[str], width: int = 1024, out: str = "hashed_vec") -> FeatureHasher:
+    return FeatureHasher(inputCols=list(columns), outputCol=out, numFeatures=width, categoricalCols=list(columns))
 
 
 def unit_scaler(column: str, out: str = "features") -> StandardScaler:

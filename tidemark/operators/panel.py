@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import date_parts, month_end, month_start, years_open
-from tidemark.operators.joins import lookup_join
 from tidemark.runtime import stage
 
 PANEL_KEYS = ("date", "store_id", "product_id")
@@ -29,7 +28,7 @@ def monthly_totals(sales: DataFrame, keys: Sequence[str] = (), measures: Sequenc
 
 def monthly_store_totals(sales: DataFrame, stores: DataFrame) -> DataFrame:
     """Monthly quantity per store with the store's columns; stores without a dimension row are left out."""
-    return lookup_join(monthly_totals(sales, ["store_id"]), stores, "store_id")
+    return monthly_totals(sales, ["store_id"]).join(stores, "store_id")
 
 
 def daily_totals(sales: DataFrame, keys: Sequence[str] = (), measures: Sequence[str] = ("qty",)) -> DataFrame:
@@ -49,16 +48,19 @@ def staged_panel(sales: DataFrame) -> DataFrame:
 def enrich(panel: DataFrame, stores: DataFrame, products: DataFrame, as_of_year: int | None = None) -> DataFrame:
     """Panel rows with date parts, store and product columns; inner joins on the two keys.
 
+    No hints: Spark broadcasts a dimension that is small by its files or, with adaptive execution, by what it turns out
+    to hold, and otherwise sorts, merges and splits oversized partitions.
+
     ``years_open`` is counted to ``as_of_year``, by default the year of the panel's last date.
     """
     as_of = panel.agg(F.year(F.max("date")).alias("y")).scalar() if as_of_year is None else as_of_year
     stores = stores.withColumn("years_open", years_open("opened_year", as_of))
     rows = panel.withColumns(date_parts(F.col("date")))
-    return lookup_join(lookup_join(rows, stores, "store_id"), products, "product_id")
+    return rows.join(stores, "store_id").join(products, "product_id")
 
 
 def with_calendar(panel: DataFrame, calendar: DataFrame, on: str = "date") -> DataFrame:
     """Left join of an outside table (holidays, unemployment) by ``date`` or by ``month_start``."""
     if on == "month_start" and on not in panel.columns:
         panel = panel.withColumn(on, month_start(F.col("date")))
-    return lookup_join(panel, calendar, on, "left")
+    return panel.join(calendar, on, "left")

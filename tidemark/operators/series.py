@@ -22,7 +22,10 @@ def fill_calendar(
     """Every period between a series' first and last row; missing ones get ``fill``. Months are given by their first day.
 
     Each row stands for itself and the periods up to the next row, so this is one window over the series and no join.
+    A row without a period belongs nowhere in a calendar, so it fails the query.
     """
+    unplaced = F.raise_error(F.lit(f"a row has no {at}")).cast("boolean")
+    df = df.where(F.when(F.col(at).isNull(), unplaced).otherwise(True))
     filler = F.lit(fill).cast(df.schema[value].dataType)
     following = F.lead(at).over(Window.partitionBy(*keys).orderBy(at))
     last_before = F.greatest(F.col(at), F.coalesce(F.date_sub(following, 1), F.col(at)))
@@ -43,20 +46,28 @@ def series_issues(
     unit: str = "month",
 ) -> DataFrame:
     """Series that :func:`decompose` would refuse, with the first reason that applies."""
-    at_no = period_number(F.col(at), unit)
-    facts = df.groupBy(*keys).agg(
+    facts = df.withColumn("_step", _step(keys, at, unit)).groupBy(*keys).agg(
         F.count("*").alias("n"),
-        (F.max(at_no) - F.min(at_no) + 1).alias("calendar_n"),
+        F.count_if(F.col("_step") != 1).alias("n_jumps"),
         F.count_if(F.col(value).isNull()).alias("n_null"),
         F.min(value).alias("low"),
     )
     return facts.withColumn("issue", _issue(period, model)).where("issue IS NOT NULL").select(*keys, "n", "issue")
 
 
+def _step(keys: Sequence[str], at: str, unit: str) -> Column:
+    """Periods since the row before, which a complete series has at 1 throughout: a missing period makes it more and a
+    repeated one 0, so the two cannot cancel as in a count of rows. The first row has 1; a row without a period has 0."""
+    before = Window.partitionBy(*keys).orderBy(F.col(at).asc_nulls_last())
+    at_no = period_number(F.col(at), unit)
+    step = F.when(F.row_number().over(before) == 1, 1).otherwise(at_no - F.lag(at_no).over(before))
+    return F.when(F.col(at).isNull(), 0).otherwise(step)
+
+
 def _issue(period: int, model: str) -> Column:
-    """Why a series with ``n``, ``calendar_n``, ``n_null`` and ``low`` cannot be decomposed; NULL if it can."""
+    """Why a series with ``n``, ``n_jumps``, ``n_null`` and ``low`` cannot be decomposed; NULL if it can."""
     reason = F.when(F.col("n") < 2 * period, F.lit(f"fewer than {2 * period} rows"))
-    reason = reason.when(F.col("calendar_n") != F.col("n"), F.lit("periods missing or repeated"))
+    reason = reason.when(F.col("n_jumps") > 0, F.lit("periods missing or repeated"))
     reason = reason.when(F.col("n_null") > 0, F.lit("NULL values"))
     if model == "multiplicative":
         reason = reason.when(F.col("low") <= 0, F.lit("zero or negative values in a multiplicative model"))
@@ -102,15 +113,13 @@ def decompose(
     ordered = whole.orderBy(at)
     half = period // 2
     y = F.col(value)
-    at_no = period_number(F.col(at), unit)
-
-    rows = df.select(
+    rows = df.withColumn("_step", _step(keys, at, unit)).select(
         *keys,
         at,
         value,
         (F.row_number().over(ordered) - 1).alias("i"),
         F.count("*").over(whole).alias("n"),
-        (F.max(at_no).over(whole) - F.min(at_no).over(whole) + 1).alias("calendar_n"),
+        F.count_if(F.col("_step") != 1).over(whole).alias("n_jumps"),
         F.count_if(y.isNull()).over(whole).alias("n_null"),
         F.min(y).over(whole).alias("low"),
         F.sum(y).over(ordered.rowsBetween(-half, half if period % 2 else half - 1)).alias("_left"),
@@ -122,7 +131,8 @@ def decompose(
         rows = rows.where("issue IS NULL")
     else:
         complaint = F.concat(F.lit("cannot decompose a series: "), F.col("issue"))
-        trend = F.when(F.col("issue").isNotNull(), F.raise_error(complaint).cast("double")).otherwise(trend)
+        # in a filter, which stays whatever columns the caller goes on with
+        rows = rows.where(F.when(F.col("issue").isNotNull(), F.raise_error(complaint).cast("boolean")).otherwise(True))
 
     detrended = y / F.col("trend") if times else y - F.col("trend")
     rows = (
@@ -153,9 +163,18 @@ def _lag_products(max_lag: int):
 
 
 def autocorrelation(
-    df: DataFrame, keys: Sequence[str] = (), at: str = "date", value: str = "qty", max_lag: int = 550
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    at: str = "date",
+    value: str = "qty",
+    max_lag: int = 550,
+    on_gap: str = "refuse",
+    unit: str = "day",
 ) -> DataFrame:
-    """``r`` for lags 1..max_lag of each series, by row position, with 95 % and 99 % bands.
+    """``r`` for lags 1..max_lag of each series with 95 % and 99 % bands.
+
+    A lag is a number of periods, so a series with missing or repeated periods fails the query. ``on_gap="zero"`` fills
+    missing ones with 0 first; ``"row"`` counts lags by rows whatever lies between. A NULL value always fails it.
 
     ``r_h = sum z_i z_(i+h) / sum z_i^2`` with ``z = y - mean``; lags as long as the series or longer do not occur.
 
@@ -163,9 +182,20 @@ def autocorrelation(
     block before, which then holds every partner within reach. A block holds at most 2 x max_lag numbers whatever
     the length of the series, and sends on one partial sum per lag; no pairs of rows are formed.
     """
+    if on_gap not in ("refuse", "zero", "row"):
+        raise ValueError(f"on_gap must be 'refuse', 'zero' or 'row', not {on_gap!r}")
     keys = list(keys)
+    df = df.select(*keys, at, F.col(value).cast("double").alias(value))
+    if on_gap == "zero":
+        df = fill_calendar(df, keys, at, value, unit)
+    wrong = F.when(F.col(value).isNull(), F.lit("NULL values"))
+    if on_gap != "row":
+        df = df.withColumn("_step", _step(keys, at, unit))
+        wrong = wrong.when(F.col("_step") != 1, F.lit("periods missing or repeated"))
+    complaint = F.raise_error(F.concat(F.lit("no autocorrelation of a series: "), wrong)).cast("boolean")
+    df = df.where(F.when(wrong.isNotNull(), complaint).otherwise(True))
     whole = Window.partitionBy(*keys)
-    y = F.col(value).cast("double")
+    y = F.col(value)
     centred = df.select(
         *keys,
         (F.row_number().over(whole.orderBy(at)) - 1).alias("i"),

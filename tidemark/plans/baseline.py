@@ -31,21 +31,42 @@ def day_bits(day: Column, counted: Column) -> Column:
     return F.bit_or(F.when(counted, bit))
 
 
-def fit_sales(sales: DataFrame, zero_fill: bool = False) -> DataFrame:
+def fit_sales(
+    sales: DataFrame, zero_fill: bool = False, observed: tuple[Column, Column] | None = None
+) -> DataFrame:
     """The same fit straight from sales rows, in one shuffle instead of the panel's and the fit's.
 
     A mean of daily sums is the month's sum over the number of days with sales. The days are kept as a bit mask,
-    which merges before the shuffle like the sum does. ``zero_fill`` divides by all days of the month, so that days
-    without a sale count as zero.
+    which merges before the shuffle like the sum does. ``zero_fill`` counts days without a sale as zero: it divides by
+    the days of the month that were observed, from ``observed[0]`` to ``observed[1]`` (default: the first and last date
+    of ``sales``).
     """
     sold = F.col("qty").isNotNull()
     masked = sales.groupBy(month_start(F.col("date")).alias("month_start"), "store_id", "product_id").agg(
         F.sum("qty").alias("_total"), day_bits(F.col("date"), sold).alias("_days")
     )
-    days = F.dayofmonth(F.last_day("month_start")) if zero_fill else F.bit_count("_days")
+    if zero_fill:
+        first, last = observed or (sales.agg(F.min("date")).scalar(), sales.agg(F.max("date")).scalar())
+        begin, end = F.greatest("month_start", first), F.least(F.last_day("month_start"), last)
+        days = F.datediff(end, begin) + 1
+    else:
+        days = F.bit_count("_days")
     return masked.select(*FIT_KEYS, F.try_divide(F.col("_total").cast("double"), days.cast("double")).alias("prediction"))
 
 
+def apply_fit(rows: DataFrame, fit: DataFrame, key: str = "year_month", how: str = "left") -> DataFrame:
+    """Add ``prediction`` to any rows with ``date, store_id, product_id``, from a fit table of :func:`fit_panel`.
+
+    ``key="year_month"`` looks up the row's own month, ``"seasonal"`` the month a year before. ``how="left"`` keeps rows
+    without a fit (NULL), ``"inner"`` leaves them out.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"how must be 'left' or 'inner', not {how!r}")
+    asked = F.add_months(month_start(F.col("date")), -LOOKBACK_MONTHS[key])
+    found = fit.select(*FIT_KEYS, "prediction")
+    return rows.withColumn("month_start", asked).join(found, list(FIT_KEYS), how).select(*rows.columns, "prediction")
+
+
 def predict(panel: DataFrame, key: str = "year_month") -> DataFrame:
     """Add ``prediction`` and ``matched`` to a panel that has ``is_train``.
 

@@ -7,7 +7,7 @@ month of the horizon, and spread over days last.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +21,20 @@ HORIZON = 90
 HORIZONS = (30, 60, 90)
 
 
-def last_sale_date(sales: DataFrame, known: dt.date | None = None) -> Column:
-    """The last date of the table, as a one-value subquery Spark runs once per plan. A ``known`` date saves the scan."""
-    return F.lit(known) if known else sales.agg(F.max("date").alias("last")).scalar()
+def from_last_date(sales: DataFrame, known: dt.date | None = None) -> Callable[[Callable[[Column], Column]], Column]:
+    """Bounds counted from the last date: a function from date arithmetic to its value.
+
+    The last date is found first, by a pass over the date column alone unless it is ``known``. So bounds are literals,
+    which reach the scan whether it holds dates or timestamps cast to dates; a subquery reaches only the former, and not
+    if Spark merges it with another one over the same table.
+    """
+    last = F.lit(known or last_sale_date(sales)).cast("date")
+    return lambda bound: bound(last)
+
+
+def last_sale_date(sales: DataFrame) -> dt.date | None:
+    """The last date; NULL (None) for an empty table."""
+    return sales.agg(F.max("date")).first()[0]
 
 
 def future_calendar(sales: DataFrame, horizon: int = HORIZON) -> DataFrame:
@@ -42,24 +53,28 @@ def future_calendar(sales: DataFrame, horizon: int = HORIZON) -> DataFrame:
 
 def donor_fit(
     sales: DataFrame,
-    last: Column,
+    at: Callable[[Callable[[Column], Column]], Column],
     horizon: int = HORIZON,
     fit_on: str = "all",
     share: float = 0.8,
     zero_fill: bool = False,
 ) -> DataFrame:
-    """Fit over the months the horizon looks back to; other months are filtered at the scan.
+    """Fit over the months the horizon looks back to, counted by ``at`` (:func:`from_last_date`); other months are
+    filtered at the scan.
 
     ``fit_on="train"`` uses only sales up to the chronological cutoff, so later donor months have no fit.
     """
-    first_donor = month_start(F.add_months(F.date_add(last, 1), -12))
-    last_donor = F.last_day(F.add_months(F.date_add(last, horizon), -12))
+    first_donor = at(lambda last: month_start(F.add_months(F.date_add(last, 1), -12)))
+    last_donor = at(lambda last: F.last_day(F.add_months(F.date_add(last, horizon), -12)))
     donors = sales.where((F.col("date") >= first_donor) & (F.col("date") <= last_donor))
+    observed = (sales.agg(F.min("date")).scalar(), at(lambda last: last))
     if fit_on == "train":
-        donors = donors.where(F.col("date") <= split_cutoff(daily_panel(sales), share).select("cutoff").scalar())
+        cutoff = split_cutoff(daily_panel(sales), share).select("cutoff").scalar()
+        donors = donors.where(F.col("date") <= cutoff)
+        observed = (observed[0], F.least(observed[1], cutoff))
     elif fit_on != "all":
         raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
-    return fit_sales(donors, zero_fill).withColumnRenamed("month_start", "donor_month")
+    return fit_sales(donors, zero_fill, observed if zero_fill else None).withColumnRenamed("month_start", "donor_month")
 
 
 def _with_months(entities: DataFrame, last: Column, horizon: int) -> DataFrame:
@@ -98,10 +113,10 @@ def _by_day(looked_up: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def _rolled(
-    sales: DataFrame, stores: DataFrame, products: DataFrame, level: str, last: Column, horizon: int, options: dict
+    sales: DataFrame, stores: DataFrame, products: DataFrame, level: str, at: Callable, horizon: int, options: dict
 ) -> DataFrame:
     """Per entity of ``level`` and month: the fit summed over the other dimension's known members."""
-    fit = donor_fit(sales, last, horizon, **options)
+    fit = donor_fit(sales, at, horizon, **options)
     if level == "product_id":
         entities, others, other_id = products, stores, "store_id"
     elif level == "store_id":
@@ -113,7 +128,7 @@ def _rolled(
         .groupBy(level, "donor_month")
         .agg(F.sum("prediction").alias("prediction"))
     )
-    return _lookup(entities, summed, [level], last, horizon)
+    return _lookup(entities, summed, [level], at(lambda last: last), horizon)
 
 
 def forecast_daily(
@@ -126,8 +141,8 @@ def forecast_daily(
     **options,
 ) -> DataFrame:
     """``(date, level, prediction)``: daily demand per product over all stores, or per store over all products."""
-    last = last_sale_date(sales, last_date)
-    return _by_day(_rolled(sales, stores, products, level, last, horizon, options), [level])
+    at = from_last_date(sales, last_date)
+    return _by_day(_rolled(sales, stores, products, level, at, horizon, options), [level])
 
 
 def forecast_horizons(
@@ -140,8 +155,7 @@ def forecast_horizons(
     **options,
 ) -> DataFrame:
     """``demand_<h>`` per entity: total over the first h days, as month mean times days, without a row per day."""
-    last = last_sale_date(sales, last_date)
-    months = _rolled(sales, stores, products, level, last, max(horizons), options)
+    months = _rolled(sales, stores, products, level, from_last_date(sales, last_date), max(horizons), options)
 
     def days_within(h):
         stop = F.least(F.col("last_day"), F.date_add("start", h - 1))
@@ -152,23 +166,38 @@ def forecast_horizons(
     )
 
 
+BROADCAST_STORES = 1_000_000  # ids, 8 to 30 MB; beyond that Spark chooses how the two lists meet
+
+
 def forecast_grid(
-    sales: DataFrame, stores: DataFrame, products: DataFrame, horizon: int = HORIZON
+    sales: DataFrame, stores: DataFrame, products: DataFrame, horizon: int = HORIZON, last_date: dt.date | None = None
 ) -> DataFrame:
     """Every (store, product) with the months of the horizon. The product of the two is the result asked for here;
-    the roll-ups above do not use it."""
-    pairs = stores.select("store_id").distinct().crossJoin(products.select("product_id").distinct())
-    return _with_months(pairs, last_sale_date(sales), horizon)
+    the roll-ups above do not use it. Products are dealt by ``product_id`` and meet the counted list of stores where
+    they lie, so the grid keeps that partitioning."""
+    ids = stores.select("store_id").distinct()
+    if ids.count() <= BROADCAST_STORES:
+        ids = F.broadcast(ids)
+    pairs = products.select("product_id").distinct().repartition("product_id").crossJoin(ids)
+    return _with_months(pairs.select("store_id", "product_id"), from_last_date(sales, last_date)(lambda last: last), horizon)
 
 
 def forecast_cells(
-    sales: DataFrame, stores: DataFrame, products: DataFrame, horizon: int = HORIZON, **options
+    sales: DataFrame,
+    stores: DataFrame,
+    products: DataFrame,
+    horizon: int = HORIZON,
+    last_date: dt.date | None = None,
+    **options,
 ) -> DataFrame:
-    """``(date, store_id, product_id, prediction)`` for every cell of the grid, 0 where last year has no sale."""
+    """``(date, store_id, product_id, prediction)`` for every cell of the grid, 0 where last year has no sale.
+
+    Grid and fit are both dealt by ``product_id``. With ``spark.sql.requireAllClusterKeysForCoPartition`` set to false
+    Spark joins them on all keys as they lie, and of the two only the product list and the fit are shuffled.
+    """
     ids = ["store_id", "product_id"]
-    last = last_sale_date(sales)
-    fit = donor_fit(sales, last, horizon, **options)
-    grid = forecast_grid(sales, stores, products, horizon).join(fit, [*ids, "donor_month"], "left")
+    fit = donor_fit(sales, from_last_date(sales, last_date), horizon, **options).repartition("product_id")
+    grid = forecast_grid(sales, stores, products, horizon, last_date).join(fit, [*ids, "donor_month"], "left")
     return _by_day(grid.withColumn("prediction", F.coalesce("prediction", F.lit(0.0))), ids)
 
 

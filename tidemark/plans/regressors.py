@@ -11,14 +11,36 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import FeatureSpec, encode, hash_categories, index_name, unit_scaler, vector_name
+from tidemark.operators.features import FeatureSpec, category_hasher, fit_encoders, index_name, unit_scaler, vector_name
 from tidemark.operators.lags import demand_ahead, lag_features, trailing_means
 from tidemark.operators.panel import daily_totals, enrich
 from tidemark.operators.series import fill_calendar
 from tidemark.operators.split import flag_split
 from tidemark.operators.stats import rmse
 from tidemark.plans.baseline import predict
-from tidemark.runtime import stage
+from tidemark.runtime import stage, unstage
+
+
+def encoders(
+    stores: DataFrame, products: DataFrame, spec: FeatureSpec = FeatureSpec()
+) -> tuple[list, dict[str, list[str]]]:
+    """Fitted stages that take enriched panel rows (:func:`enrich`) to feature inputs, and the inputs by kind.
+
+    Kinds: ``one_hot`` (numeric columns and a vector per category) and ``indexed`` (numeric columns and an index per
+    category, for trees). Categories are fitted on the dimensions, so the fits see each store and product once.
+    """
+    store_stages, store_used = fit_encoders(stores, [c for c in spec.store_categories if c not in spec.hashed], spec.invalid)
+    product_stages, product_used = fit_encoders(
+        products, [c for c in spec.product_categories if c not in spec.hashed], spec.invalid
+    )
+    used, stages = store_used + product_used, store_stages + product_stages
+    extra = ["hashed_vec"] if spec.hashed else []
+    if spec.hashed:
+        stages = [*stages, category_hasher(spec.hashed, spec.hash_width)]
+    return stages, {
+        "one_hot": [*spec.numeric, *map(vector_name, used), *extra],
+        "indexed": [*spec.numeric, *map(index_name, used), *extra],
+    }
 
 
 def model_rows(
@@ -28,48 +50,40 @@ def model_rows(
     spec: FeatureSpec = FeatureSpec(),
     as_of_year: int | None = None,
 ) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Panel rows (with ``is_train``) joined to encoded dimensions, and the feature inputs by kind.
+    """Panel rows (with ``is_train``) with encoded features, and the feature inputs by kind (:func:`encoders`)."""
+    stages, inputs = encoders(stores, products, spec)
+    return _encoded(flagged, stores, products, stages, inputs, spec, as_of_year), inputs
 
-    Kinds: ``one_hot`` (numeric columns and a vector per category) and ``indexed`` (numeric columns and an index per
-    category, for trees). Categories are encoded on the dimensions, before the join, so the fits see each store and
-    product once.
-    """
-    store_cols = [c for c in spec.store_categories if c not in spec.hashed]
-    product_cols = [c for c in spec.product_categories if c not in spec.hashed]
-    stores, store_used = encode(stores, store_cols, spec.invalid, keep_index=True)
-    products, product_used = encode(products, product_cols, spec.invalid, keep_index=True)
-    used = store_used + product_used
-    rows = enrich(flagged, stores, products, as_of_year)
-    extra = []
-    if spec.hashed:
-        rows = hash_categories(rows, spec.hashed, spec.hash_width)
-        extra.append("hashed_vec")
-    inputs = {
-        "one_hot": [*spec.numeric, *map(vector_name, used), *extra],
-        "indexed": [*spec.numeric, *map(index_name, used), *extra],
-    }
+
+def _encoded(flagged, stores, products, stages, inputs, spec, as_of_year) -> DataFrame:
+    rows = PipelineModel(stages=stages).transform(enrich(flagged, stores, products, as_of_year))
     needed = dict.fromkeys(inputs["one_hot"] + inputs["indexed"])
     target = F.col(spec.target).cast("double").alias(spec.target)
-    return rows.select(*spec.ids, target, "is_train", *needed), inputs
+    return rows.select(*spec.ids, target, "is_train", *needed)
 
 
-ROWS_PER_PARTITION = 1_000_000
+ROWS_PER_PARTITION = 250_000
 
 
 def fit_partitions(staged: DataFrame) -> int:
     """Partitions for rows about to become feature vectors: by row count, since vectors are far larger than the
-    columns they come from and splitting by file size would leave too much in one task."""
-    return max(staged.sparkSession.sparkContext.defaultParallelism, -(-staged.count() // ROWS_PER_PARTITION))
+    columns they come from. The number follows the data and not the machine, as a forest's sampling does."""
+    return max(16, -(-staged.count() // ROWS_PER_PARTITION))
 
 
-def linear(label: str = "qty", features: str = "features", prediction: str = "linear") -> LinearRegression:
-    return LinearRegression(featuresCol=features, labelCol=label, predictionCol=prediction)
+def linear(
+    label: str = "qty", features: str = "features", prediction: str = "linear", solver: str = "l-bfgs"
+) -> LinearRegression:
+    """Least squares by one named solver: ``l-bfgs`` for any width, ``normal`` (exact) up to 4,096 features."""
+    return LinearRegression(featuresCol=features, labelCol=label, predictionCol=prediction, solver=solver)
 
 
 def forest(
     label: str = "qty", features: str = "features", prediction: str = "forest", seed: int = 7, **params
 ) -> RandomForestRegressor:
-    settings = {"numTrees": 20, "maxDepth": 5} | params
+    """Trees that differ by the features each node may use. Rows are not sampled, since which rows a sample holds depends
+    on how they are partitioned; ``bootstrap=True`` brings that back."""
+    settings = {"numTrees": 20, "maxDepth": 5, "bootstrap": False} | params
     return RandomForestRegressor(
         featuresCol=features, labelCol=label, predictionCol=prediction, seed=seed, **settings
     )
@@ -88,9 +102,11 @@ def _widest_category(rows: DataFrame, columns: Sequence[str]) -> int:
 
 @dataclass
 class Trained:
-    """``table``: the staged model rows; ``pipeline``: from model rows to predictions, savable."""
+    """``table``: the staged model rows, scored by ``scorer``; ``pipeline``: from enriched rows (:func:`enrich`), seen in
+    training or not, to predictions, savable."""
 
     table: DataFrame
+    scorer: PipelineModel
     pipeline: PipelineModel
 
 
@@ -106,25 +122,25 @@ def train(
 ) -> Trained:
     """Fit regressors on the train rows of a staged, flagged panel.
 
-    Each input vector is assembled once and written; the scaler and every fit then read one column. The standard
-    deviations come from the train rows, or from all rows with ``scale_on="all"``.
+    Each input vector is assembled once and written, in the order of the ids; the scaler and every fit then read one
+    column. The standard deviations come from the train rows, or from all rows with ``scale_on="all"``.
     """
     spread = flagged.repartition(partitions or fit_partitions(flagged), *spec.ids)
-    rows, inputs = model_rows(spread, stores, products, spec, as_of_year)
+    stages, inputs = encoders(stores, products, spec)
+    rows = _encoded(spread, stores, products, stages, inputs, spec, as_of_year)
     assemblers = [VectorAssembler(inputCols=inputs["one_hot"], outputCol="features_raw")]
     if any(m.getFeaturesCol() == "tree_features" for m in models):
         assemblers.append(VectorAssembler(inputCols=inputs["indexed"], outputCol="tree_features"))
         bins = max(32, _widest_category(rows, inputs["indexed"]))
         models = [m.copy({m.maxBins: bins}) if m.getFeaturesCol() == "tree_features" else m for m in models]
     names = [a.getOutputCol() for a in assemblers]
-    table = stage(
-        Pipeline(stages=assemblers).fit(rows).transform(rows).select(*spec.ids, spec.target, "is_train", *names),
-        "model-table",
-    )
+    assembled = PipelineModel(stages=assemblers).transform(rows).select(*spec.ids, spec.target, "is_train", *names)
+    table = stage(assembled, "model-table", sort=list(spec.ids))
     known = table.where("is_train")
     scaler = unit_scaler("features_raw").fit(known if scale_on == "train" else table)
     scaled = scaler.transform(known)
-    return Trained(table, PipelineModel(stages=[scaler, *[m.fit(scaled) for m in models]]))
+    scorer = PipelineModel(stages=[scaler, *[m.fit(scaled) for m in models]])
+    return Trained(table, scorer, PipelineModel(stages=[*stages, *assemblers, *scorer.stages]))
 
 
 def model_errors(predicted: DataFrame, models: Sequence[str], label: str = "qty") -> DataFrame:
@@ -151,14 +167,31 @@ def compare_models(
     share: float = 0.8,
 ) -> DataFrame:
     """Baseline and regressors side by side on the same split, scored on train and test rows."""
-    models = list(models) if models is not None else [linear(spec.target), forest(spec.target)]
+    models = list(models) if models is not None else [linear(spec.target), indexed_forest(label=spec.target)]
     flagged = stage(flag_split(panel, share), "panel")
-    trained = train(flagged, stores, products, models, spec, as_of_year, scale_on)
-    scored = trained.pipeline.transform(trained.table)
+    errors = regressor_errors(flagged, stores, products, models, spec, as_of_year, scale_on)
     baseline = predict(flagged).withColumnRenamed("prediction", "baseline")
-    return model_errors(baseline, ["baseline"], spec.target).unionByName(
-        model_errors(scored, [m.getPredictionCol() for m in models], spec.target)
-    )
+    out = stage(model_errors(baseline, ["baseline"], spec.target).unionByName(errors), "model-errors")  # two rows a model
+    unstage(flagged)
+    unstage(errors)
+    return out
+
+
+def regressor_errors(
+    flagged: DataFrame,
+    stores: DataFrame,
+    products: DataFrame,
+    models: Sequence,
+    spec: FeatureSpec = FeatureSpec(),
+    as_of_year: int | None = None,
+    scale_on: str = "train",
+) -> DataFrame:
+    """Errors of freshly trained regressors on a staged, flagged panel, without the baseline. The model table is dropped."""
+    trained = train(flagged, stores, products, models, spec, as_of_year, scale_on)
+    scored = trained.scorer.transform(trained.table)
+    out = stage(model_errors(scored, [m.getPredictionCol() for m in models], spec.target), "model-errors")
+    unstage(trained.table)
+    return out
 
 
 # -- one model per horizon -------------------------------------------------------------------------------------
@@ -204,7 +237,7 @@ def fit_horizons(
         pipeline = Pipeline(
             stages=[
                 VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
-                linear(f"qty_next_{h}", prediction=f"ahead_{h}"),
+                linear(f"qty_next_{h}", prediction=f"ahead_{h}", solver="normal"),
             ]
         )
         fitted[h] = pipeline.fit(known.where(F.date_add("date", h) <= cutoff))
@@ -244,7 +277,9 @@ def horizon_errors(
         ]
     )
     long = scored.select(F.inline(cases)).where("split IS NOT NULL")
-    return rmse(long, "_y", "_p", ["horizon", "split"])
+    out = stage(rmse(long, "_y", "_p", ["horizon", "split"]), "horizon-errors")  # two rows a horizon
+    unstage(table)
+    return out
 
 
 def horizon_forecast(
@@ -256,9 +291,12 @@ def horizon_forecast(
     """
     table, inputs, fitted = fit_horizons(sales, keys, horizons, share)
     latest = table.groupBy(*keys).agg(F.max_by(F.struct("date", *inputs), "date").alias("end")).select(*keys, "end.*")
-    return _with_predictions(latest, inputs, fitted).select(
+    ahead = _with_predictions(latest, inputs, fitted).select(
         *keys, "date", *[F.col(f"ahead_{h}").alias(f"demand_{h}") for h in horizons]
     )
+    out = stage(ahead, "horizon-forecast")  # a row per series
+    unstage(table)
+    return out
 
 
 # -- autoregression --------------------------------------------------------------------------------------------
@@ -290,7 +328,7 @@ def autoregressive_forecast(
     table = stage(table, "autoregression")
     inputs = [f"_y_lag_{k}" for k in lags]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
-    model = linear("_y").fit(assembler.transform(table))
+    model = linear("_y", solver="normal").fit(assembler.transform(table))
     weights = [float(w) for w in model.coefficients]
 
     # newest first: the row itself, then its lags

@@ -9,6 +9,7 @@ from tidemark.functions.dates import month_start
 from tidemark.functions.numbers import exact_mean
 from tidemark.operators.stats import rmse
 from tidemark.plans.baseline import FIT_KEYS, LOOKBACK_MONTHS
+from tidemark.plans.forecast import from_last_date
 
 
 def assign_folds(panel: DataFrame, n_folds: int, test_days: int) -> DataFrame:
@@ -28,16 +29,17 @@ def rolling_predictions(
     mean of every (month, store, product) once per fold. Only the months the test windows look back to are fitted,
     and both sides are date filters on the panel, so on a staged panel neither reads the whole history.
     """
-    last = panel.agg(F.max("date").alias("last")).scalar()
-    back = LOOKBACK_MONTHS[key]
-    first_test = F.date_sub(last, n_folds * test_days - 1)
+    at = from_last_date(panel)
+    last, back = at(lambda last: last), LOOKBACK_MONTHS[key]
+    reach = n_folds * test_days - 1
+    first_test = at(lambda last: F.date_sub(last, reach))
 
     tests = assign_folds(panel.where(F.col("date") >= first_test), n_folds, test_days).withColumn(
         "month_start", month_start(F.col("date"))
     )
     donors = panel.where(
-        (F.col("date") >= month_start(F.add_months(first_test, -back)))
-        & (F.col("date") <= F.last_day(F.add_months(last, -back)))
+        (F.col("date") >= at(lambda last: month_start(F.add_months(F.date_sub(last, reach), -back))))
+        & (F.col("date") <= at(lambda last: F.last_day(F.add_months(last, -back))))
     )
 
     def train_qty(fold):

@@ -85,6 +85,19 @@ SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS date, l_suppkey AS
        {_r('CAST(l_extendedprice * l_tax AS DECIMAL(18,4))', 'tax')},
        {_r('CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))', 'cost')}
 FROM lineitem"""
+_TEXTS = {
+    "qty": "CAST(l_quantity AS DECIMAL(12,2))",
+    "revenue": "CAST(l_extendedprice AS DECIMAL(18,4))",
+    "tax": "CAST(l_extendedprice * l_tax AS DECIMAL(18,4))",
+    "cost": "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))",
+}
+ORACLE["clean_default_types"] = ORACLE["clean_decimal_comma"]
+ORACLE["parse_audit"] = "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({e}) AS n_text,
+       count({e}) - count(TRY_CAST({e} AS DECIMAL(12,2))) AS n_null_after,
+       count(*) FILTER (WHERE TRY_CAST({e} AS DECIMAL(12,2)) <> {e}) AS n_digits_lost FROM lineitem"""
+    for c, e in _TEXTS.items()
+)
 ORACLE["null_audit"] = _with(SPARSE) + (
     """SELECT count(*) AS n_rows,
        count(*) FILTER (WHERE date IS NOT NULL AND store_id IS NOT NULL AND product_id IS NOT NULL AND qty IS NOT NULL
@@ -135,6 +148,9 @@ FROM panel p JOIN stores s ON s.store_id = p.store_id JOIN products q ON q.produ
 ORACLE["store_age"] = _with(SPARSE_STORES) + (
     "SELECT store_id, CAST(2002 - opened_year AS INTEGER) AS years_open FROM stores"
 )
+ORACLE["distinct_keys"] = _with(SPARSE_STORES, SPARSE_PRODUCTS) + (
+    "SELECT 'store' AS dimension, store_id AS id FROM stores UNION SELECT 'product', product_id FROM products"
+)
 ORACLE["distinct_dimensions"] = _with(DENSE) + "SELECT DISTINCT store_id, product_id FROM sales"
 
 # -- series ----------------------------------------------------------------------------------------------------
@@ -145,8 +161,7 @@ def _months(keys: str = "") -> str:
     return f"""
 months AS (
   SELECT month_start{extra}, CAST(qty AS DOUBLE) AS qty FROM (
-    SELECT {MONTH} AS month_start{extra}, sum(qty) AS qty FROM sales GROUP BY {MONTH}{extra})
-  WHERE last_day(month_start) <= (SELECT max(date) FROM sales))"""
+    SELECT {MONTH} AS month_start{extra}, sum(qty) AS qty FROM sales GROUP BY {MONTH}{extra}))"""
 
 
 def _decomposition(keys: str, additive: bool) -> str:
@@ -183,6 +198,15 @@ WHERE k = i % 12"""
 ORACLE["decompose_monthly"] = _with(SPARSE, _months()) + "," + _decomposition("", False)
 ORACLE["decompose_additive"] = _with(SPARSE, _months()) + "," + _decomposition("", True)
 ORACLE["decompose_by_store"] = _with(DENSE, _months("store_id")) + "," + _decomposition("store_id", False)
+ORACLE["decompose_by_store_issues"] = _with(DENSE, _months("store_id")) + """
+SELECT issue, count(*) AS n_series FROM (
+  SELECT CASE
+           WHEN count(*) < 24 THEN 'fewer than 24 rows'
+           WHEN count(*) <> date_diff('month', min(month_start), max(month_start)) + 1 THEN 'periods missing or repeated'
+           WHEN count(qty) < count(*) THEN 'NULL values'
+           WHEN min(qty) <= 0 THEN 'zero or negative values in a multiplicative model' END AS issue
+  FROM months GROUP BY store_id)
+GROUP BY issue"""
 ORACLE["decompose_refused"] = _with(SPARSE, _months("store_id, product_id")) + """
 SELECT issue, count(*) AS n_series FROM (
   SELECT CASE
@@ -202,7 +226,10 @@ def _autocorrelation(keys: str, max_lag: int) -> str:
     by = f"USING ({keys})" if keys else "ON true"
     group = f"GROUP BY {keys}" if keys else ""
     return f"""
-days AS (SELECT {extra}date, CAST(sum(qty) AS DOUBLE) AS y FROM sales GROUP BY {extra}date),
+sold AS (SELECT {extra}date, CAST(sum(qty) AS DOUBLE) AS y FROM sales GROUP BY {extra}date),
+calendar AS (
+  SELECT {extra}CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM sold {group}),
+days AS (SELECT {extra}date, coalesce(y, 0) AS y FROM calendar LEFT JOIN sold USING ({extra}date)),
 z AS (
   SELECT {extra}row_number() OVER ({part} ORDER BY date) AS i, y - avg(y) OVER ({part}) AS z FROM days),
 scale AS (SELECT {extra}count(*) AS n, sum(z * z) AS c0 FROM z {group}),
@@ -343,10 +370,12 @@ cells AS (
   LEFT JOIN fit f ON f.year = year(g.date - INTERVAL 12 MONTH) AND f.month = month(g.date - INTERVAL 12 MONTH)
        AND f.store_id = g.store_id AND f.product_id = g.product_id)"""
 ZERO_FIT = """
+ends AS (SELECT (SELECT min(date) FROM panel) AS first, (SELECT max(date) FROM {rows}) AS last),
 fit AS (
   SELECT year(date) AS year, month(date) AS month, store_id, product_id,
-         CAST(sum(qty) AS DOUBLE) / day(last_day(min(date))) AS prediction
-  FROM panel GROUP BY ALL)"""
+         CAST(sum(qty) AS DOUBLE) / (least(last_day(min(date)), any_value(last))
+           - greatest(CAST(date_trunc('month', min(date)) AS DATE), any_value(first)) + 1) AS prediction
+  FROM {rows}, ends GROUP BY ALL)"""
 
 
 def _forecast(fit: str = FIT.format(rows="panel"), ranked: bool = False) -> str:
@@ -379,13 +408,21 @@ def _horizons(level: str) -> str:
 ORACLE["forecast_daily_by_product"] = _forecast() + _daily("product_id")
 ORACLE["forecast_daily_by_store"] = _forecast() + _daily("store_id")
 ORACLE["forecast_daily_train_fit"] = _forecast(TRAIN_FIT, ranked=True) + _daily("product_id")
-ORACLE["forecast_daily_zero_filled"] = _forecast(ZERO_FIT) + _daily("product_id")
+ORACLE["forecast_daily_zero_filled"] = _forecast(ZERO_FIT.format(rows="panel")) + _daily("product_id")
+ORACLE["forecast_daily_train_zero_filled"] = (
+    _forecast(ZERO_FIT.format(rows="(SELECT * FROM ranked WHERE is_train)"), ranked=True) + _daily("product_id")
+)
 ORACLE["forecast_horizons_by_product"] = _forecast() + _horizons("product_id")
 ORACLE["forecast_horizons_by_store"] = _forecast() + _horizons("store_id")
 ORACLE["forecast_csv_round_trip"] = ORACLE["forecast_daily_by_product"]
 
 # -- extensions ------------------------------------------------------------------------------------------------
 
+ORACLE["baseline_apply_fit"] = _with(DENSE, PANEL, RANKED, TRAIN_FIT) + f"""
+SELECT p.date, p.store_id, p.product_id, {_r('p.qty', 'qty')}, {_r('prediction')}
+FROM ranked p JOIN fit f ON f.store_id = p.store_id AND f.product_id = p.product_id
+ AND f.year = year(p.date - INTERVAL 12 MONTH) AND f.month = month(p.date - INTERVAL 12 MONTH)
+WHERE NOT is_train"""
 ORACLE["lag_features"] = _with(DENSE, PANEL) + f"""
 SELECT date, store_id, product_id, {_r('qty')}, {_r('lag(qty, 1) OVER w', 'qty_lag_1')},
        {_r('lag(qty, 7) OVER w', 'qty_lag_7')}

@@ -84,6 +84,16 @@ def clean_decimal_comma(spark, folder):
     return _out(cleaning.clean_sales(raw, to=MEASURE_TYPES), *MODEL_MEASURES)
 
 
+def clean_default_types(spark, folder):
+    """Three and four decimals come through the default types whole."""
+    return _out(cleaning.clean_sales(standin.raw_text_sales(spark, folder)), *MODEL_MEASURES)
+
+
+def parse_audit(spark, folder):
+    """What two-digit decimals would lose of the exported numbers."""
+    return cleaning.parse_audit(standin.raw_text_sales(spark, folder), to="decimal(12,2)")
+
+
 def null_audit(spark, folder):
     return cleaning.null_audit(standin.sales(spark, folder, "sparse"))
 
@@ -161,46 +171,55 @@ def distinct_dimensions(spark, folder):
     return sales.select("store_id", "product_id").distinct()
 
 
-# -- series ----------------------------------------------------------------------------------------------------
+def distinct_keys(spark, folder):
+    """The distinct stores and products of the two dimensions, as forecasts use them."""
+    _, stores, products = _trio(spark, folder, "sparse")
+    keys = stores.select(F.lit("store").alias("dimension"), F.col("store_id").alias("id")).distinct()
+    return keys.union(products.select(F.lit("product"), "product_id").distinct())
 
 
-def _whole_months(sales, keys=()):
-    """Monthly totals without the last month where the data stops before its end."""
-    last = forecast.last_sale_date(sales)
-    return panel.monthly_totals(sales, keys).where(F.col("month_end") <= last)
+# -- series ----------------------------------------------------------------------------------------------------
 
 
 DECOMPOSED = ("qty", "trend", "seasonal", "resid")
 
 
 def decompose_monthly(spark, folder):
-    months = _whole_months(standin.sales(spark, folder, "sparse"))
+    months = panel.monthly_totals(standin.sales(spark, folder, "sparse"))
     return _out(series.decompose(months), *DECOMPOSED)
 
 
 def decompose_additive(spark, folder):
-    months = _whole_months(standin.sales(spark, folder, "sparse"))
+    months = panel.monthly_totals(standin.sales(spark, folder, "sparse"))
     return _out(series.decompose(months, model="additive"), *DECOMPOSED)
 
 
 def decompose_by_store(spark, folder):
-    months = _whole_months(standin.sales(spark, folder), ["store_id"])
+    months = panel.monthly_totals(standin.sales(spark, folder), ["store_id"])
     return _out(series.decompose(months, ["store_id"], on_refused="drop"), *DECOMPOSED)
 
 
+def decompose_by_store_issues(spark, folder):
+    """How many of the series of ``decompose_by_store`` are taken (issue NULL) and how many refused, by reason."""
+    months = panel.monthly_totals(standin.sales(spark, folder), ["store_id"])
+    refused = series.series_issues(months, ["store_id"])
+    every = months.select("store_id").distinct().join(refused, "store_id", "left")
+    return every.groupBy("issue").agg(F.count("*").alias("n_series"))
+
+
 def decompose_refused(spark, folder):
-    months = _whole_months(standin.sales(spark, folder, "sparse"), ["store_id", "product_id"])
+    months = panel.monthly_totals(standin.sales(spark, folder, "sparse"), ["store_id", "product_id"])
     return series.series_issues(months, ["store_id", "product_id"]).groupBy("issue").agg(F.count("*").alias("n_series"))
 
 
 def autocorrelation_daily(spark, folder):
     days = panel.daily_totals(standin.sales(spark, folder, "sparse"))
-    return _out(series.autocorrelation(days), "r", "band_95", "band_99")
+    return _out(series.autocorrelation(days, on_gap="zero"), "r", "band_95", "band_99")
 
 
 def autocorrelation_by_store(spark, folder):
     days = panel.daily_totals(standin.sales(spark, folder), ["store_id"])
-    return _out(series.autocorrelation(days, ["store_id"], max_lag=60), "r", "band_95", "band_99")
+    return _out(series.autocorrelation(days, ["store_id"], max_lag=60, on_gap="zero"), "r", "band_95", "band_99")
 
 
 # -- correlation -----------------------------------------------------------------------------------------------
@@ -304,6 +323,14 @@ def baseline_rmse_seasonal(spark, folder):
     return _out(baseline.scores(scored), "rmse", "coverage")
 
 
+def baseline_apply_fit(spark, folder):
+    """A fit table of the train rows joined to the test rows."""
+    flagged = split.flag_split(_staged_panel(spark, folder))
+    fit = baseline.fit_panel(flagged.where("is_train"))
+    test = flagged.where("NOT is_train").select("date", "store_id", "product_id", "qty")
+    return _out(baseline.apply_fit(test, fit, "seasonal", "inner"), "qty", "prediction")
+
+
 # -- regressors ------------------------------------------------------------------------------------------------
 
 
@@ -315,32 +342,32 @@ def lr_single_feature(spark, folder):
         "date", F.datediff("date", first).cast("double").alias("day_no"), F.col("qty").cast("double").alias("qty")
     )
     rows = VectorAssembler(inputCols=["day_no"], outputCol="features").transform(days)
-    fitted = regressors.linear().fit(rows)
+    fitted = regressors.linear(solver="normal").fit(rows)
     return _out(fitted.transform(rows).select("date", "qty", F.col("linear").alias("prediction")), "qty", "prediction")
 
 
 def _errors(spark, folder, models):
     sales, stores, products = _trio(spark, folder, "sparse")
-    compared = regressors.compare_models(
-        panel.daily_panel(sales), stores, products, as_of_year=AS_OF_YEAR, models=models
-    )
-    return _out(compared, "rmse")
+    flagged = stage(split.flag_split(panel.daily_panel(sales)), "panel")
+    return _out(regressors.regressor_errors(flagged, stores, products, models, as_of_year=AS_OF_YEAR), "rmse")
 
 
 def linear_rmse(spark, folder):
-    return _errors(spark, folder, [regressors.linear()]).where("model = 'linear'")
+    return _errors(spark, folder, [regressors.linear()])
 
 
 def forest_rmse(spark, folder):
-    return _errors(spark, folder, [regressors.forest()]).where("model = 'forest'")
+    return _errors(spark, folder, [regressors.indexed_forest("forest")])
 
 
 def forest_indexed_rmse(spark, folder):
-    return _errors(spark, folder, [regressors.indexed_forest()]).where("model = 'forest_indexed'")
+    return _errors(spark, folder, [regressors.indexed_forest()])
 
 
 def model_comparison(spark, folder):
-    return _errors(spark, folder, None)
+    sales, stores, products = _trio(spark, folder, "sparse")
+    compared = regressors.compare_models(panel.daily_panel(sales), stores, products, as_of_year=AS_OF_YEAR)
+    return _out(compared, "rmse")
 
 
 def horizon_models(spark, folder):
@@ -361,6 +388,10 @@ def autoregressive_forecast(spark, folder):
 # -- forecast --------------------------------------------------------------------------------------------------
 
 
+def _forecast(spark, folder, work, **options):
+    return work(*_trio(spark, folder), **options)
+
+
 def future_calendar(spark, folder):
     return forecast.future_calendar(standin.sales(spark, folder, "sparse"))
 
@@ -370,34 +401,40 @@ def forecast_grid_size(spark, folder):
 
 
 def forecast_cells(spark, folder):
-    return _out(forecast.forecast_cells(*_trio(spark, folder)), "prediction")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # lets the grid stay where it is
+    return _out(_forecast(spark, folder, forecast.forecast_cells), "prediction")
 
 
 def forecast_daily_by_product(spark, folder):
-    return _out(forecast.forecast_daily(*_trio(spark, folder)), "prediction").orderBy(F.desc("date"), "product_id")
+    return _out(_forecast(spark, folder, forecast.forecast_daily), "prediction").orderBy(F.desc("date"), "product_id")
 
 
 def forecast_daily_by_store(spark, folder):
-    return _out(forecast.forecast_daily(*_trio(spark, folder), level="store_id"), "prediction")
+    return _out(_forecast(spark, folder, forecast.forecast_daily, level="store_id"), "prediction")
 
 
 def forecast_daily_train_fit(spark, folder):
-    return _out(forecast.forecast_daily(*_trio(spark, folder), fit_on="train"), "prediction")
+    return _out(_forecast(spark, folder, forecast.forecast_daily, fit_on="train"), "prediction")
 
 
 def forecast_daily_zero_filled(spark, folder):
-    return _out(forecast.forecast_daily(*_trio(spark, folder), zero_fill=True), "prediction")
+    return _out(_forecast(spark, folder, forecast.forecast_daily, zero_fill=True), "prediction")
+
+
+def forecast_daily_train_zero_filled(spark, folder):
+    """Fitted up to the split date, which cuts a month: only its days until then are days without a sale."""
+    return _out(_forecast(spark, folder, forecast.forecast_daily, fit_on="train", zero_fill=True), "prediction")
 
 
 HORIZON_COLUMNS = [f"demand_{h}" for h in forecast.HORIZONS]
 
 
 def forecast_horizons_by_product(spark, folder):
-    return _out(forecast.forecast_horizons(*_trio(spark, folder)), *HORIZON_COLUMNS)
+    return _out(_forecast(spark, folder, forecast.forecast_horizons), *HORIZON_COLUMNS)
 
 
 def forecast_horizons_by_store(spark, folder):
-    return _out(forecast.forecast_horizons(*_trio(spark, folder), level="store_id"), *HORIZON_COLUMNS)
+    return _out(_forecast(spark, folder, forecast.forecast_horizons, level="store_id"), *HORIZON_COLUMNS)
 
 
 def forecast_csv_round_trip(spark, folder):
@@ -453,6 +490,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         plain_dimension,
         calendar_days,
         clean_decimal_comma,
+        clean_default_types,
+        parse_audit,
         null_audit,
         complete_rows,
         row_counts,
@@ -465,9 +504,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         enriched_panel,
         store_age,
         distinct_dimensions,
+        distinct_keys,
         decompose_monthly,
         decompose_additive,
         decompose_by_store,
+        decompose_by_store_issues,
         decompose_refused,
         autocorrelation_daily,
         autocorrelation_by_store,
@@ -487,6 +528,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         baseline_test_predictions,
         baseline_rmse,
         baseline_rmse_seasonal,
+        baseline_apply_fit,
         lr_single_feature,
         linear_rmse,
         forest_rmse,
@@ -502,6 +544,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         forecast_daily_by_store,
         forecast_daily_train_fit,
         forecast_daily_zero_filled,
+        forecast_daily_train_zero_filled,
         forecast_horizons_by_product,
         forecast_horizons_by_store,
         forecast_csv_round_trip,

@@ -22,7 +22,7 @@ def word_count(column: str) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound; the same in every process."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

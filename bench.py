@@ -53,6 +53,8 @@ HEADLINE = [
     "lr_single_feature",
     "linear_rmse",
     "forest_rmse",
+    "forest_indexed_rmse",
+    "model_comparison",
     "horizon_models",
     "autoregressive_forecast",
     "forecast_cells",
@@ -66,7 +68,7 @@ HEADLINE = [
     "calendar_join",
 ]
 # long enough that one run is a fair measure
-ONCE = {"forest_rmse"}
+ONCE = {"forest_rmse", "forest_indexed_rmse", "model_comparison"}
 
 
 def run(df) -> None:
@@ -128,7 +130,7 @@ def comparisons(spark) -> dict[str, list[float]]:
         )
 
     def lags_by_blocks():
-        run(series.autocorrelation(days, ["store_id"]))
+        run(series.autocorrelation(days, ["store_id"], on_gap="row"))
 
     pairs = {
         "split: rank window vs cutoff": (split_by_rank, split_by_cutoff),

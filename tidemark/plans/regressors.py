@@ -222,13 +222,19 @@ def origin_table(
 
 
 def fit_horizons(
-    sales: DataFrame, keys: Sequence[str] = ("store_id",), horizons: Sequence[int] = (30, 60, 90), share: float = 0.8
+    sales: DataFrame,
+    keys: Sequence[str] = ("store_id",),
+    horizons: Sequence[int] = (30, 60, 90),
+    share: float = 0.8,
+    inputs: Sequence[str] | None = None,
 ) -> tuple[DataFrame, list[str], dict[int, PipelineModel]]:
     """A linear model per horizon on one staged origin table.
 
     An origin trains model h only if its h days ahead end by the split date, so no test demand is seen in training.
+    ``inputs``: some of the origin table's, by default all.
     """
-    table, inputs = origin_table(sales, keys, horizons, share)
+    table, known_inputs = origin_table(sales, keys, horizons, share)
+    inputs = list(inputs or known_inputs)
     table = stage(table, "origins")
     cutoff = table.where("is_train").agg(F.max("date").alias("cutoff")).scalar()
     known = table.na.drop(subset=inputs)
@@ -256,11 +262,15 @@ def _with_predictions(rows: DataFrame, inputs: Sequence[str], fitted: dict[int,
 
 
 def horizon_errors(
-    sales: DataFrame, keys: Sequence[str] = ("store_id",), horizons: Sequence[int] = (30, 60, 90), share: float = 0.8
+    sales: DataFrame,
+    keys: Sequence[str] = ("store_id",),
+    horizons: Sequence[int] = (30, 60, 90),
+    share: float = 0.8,
+    inputs: Sequence[str] | None = None,
 ) -> DataFrame:
     """``(horizon, split, n_rows, n_scored, rmse)``; origins between the last trainable and the split date count to
     neither split."""
-    table, inputs, fitted = fit_horizons(sales, keys, horizons, share)
+    table, inputs, fitted = fit_horizons(sales, keys, horizons, share, inputs)
     cutoff = table.where("is_train").agg(F.max("date").alias("cutoff")).scalar()
     scored = _with_predictions(table, inputs, fitted)
     cases = F.array(
@@ -283,13 +293,17 @@ def horizon_errors(
 
 
 def horizon_forecast(
-    sales: DataFrame, keys: Sequence[str] = ("store_id",), horizons: Sequence[int] = (30, 60, 90), share: float = 0.8
+    sales: DataFrame,
+    keys: Sequence[str] = ("store_id",),
+    horizons: Sequence[int] = (30, 60, 90),
+    share: float = 0.8,
+    inputs: Sequence[str] | None = None,
 ) -> DataFrame:
     """Demand of the h days after each series' last day, each horizon from its own model.
 
     Direct multi-step forecasting: no prediction is fed back as an input. A series too short for the lags gets NULL.
     """
-    table, inputs, fitted = fit_horizons(sales, keys, horizons, share)
+    table, inputs, fitted = fit_horizons(sales, keys, horizons, share, inputs)
     latest = table.groupBy(*keys).agg(F.max_by(F.struct("date", *inputs), "date").alias("end")).select(*keys, "end.*")
     ahead = _with_predictions(latest, inputs, fitted).select(
         *keys, "date", *[F.col(f"ahead_{h}").alias(f"demand_{h}") for h in horizons]

@@ -383,6 +383,45 @@ def _forecast(fit: str = FIT.format(rows="panel"), ranked: bool = False) -> str:
     return _with(DENSE, *middle, DENSE_STORES, DENSE_PRODUCTS, FUTURE, fit, CELLS)
 
 
+ORACLE["hashed_feature_sums"] = _with(SPARSE_PRODUCTS) + (
+    "SELECT supplier, sub_category, 2.0::DOUBLE AS total, 1::BIGINT AS n_vectors FROM products GROUP BY ALL"
+)
+FILLED_DAYS = """
+sold AS (SELECT store_id, date, CAST(sum(qty) AS DOUBLE) AS y FROM sales GROUP BY ALL),
+days AS (
+  SELECT store_id, date, coalesce(y, 0) AS y FROM (
+    SELECT store_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date
+    FROM sold GROUP BY store_id) LEFT JOIN sold USING (store_id, date))"""
+ORACLE["autoregression_of_order_one"] = (
+    "WITH RECURSIVE " + ",\n".join([DENSE, FILLED_DAYS]) + f""",
+lagged AS (SELECT y, lag(y) OVER (PARTITION BY store_id ORDER BY date) AS p FROM days),
+line AS (SELECT regr_slope(y, p) AS b, regr_intercept(y, p) AS a FROM lagged),
+ends AS (SELECT store_id, max(date) AS d, max_by(y, date) AS y FROM days GROUP BY store_id),
+steps AS (
+  SELECT store_id, 1 AS step, d + 1 AS date, a + b * y AS prediction FROM ends, line
+  UNION ALL SELECT store_id, step + 1, date + 1, a + b * prediction FROM steps, line WHERE step < 30)
+SELECT store_id, CAST(step AS INTEGER) AS step, CAST(date AS DATE) AS date, {_r('prediction')} FROM steps"""
+)
+ORIGINS = """
+flagged AS (SELECT *, percent_rank() OVER (ORDER BY date) <= 0.8 AS is_train FROM days),
+ends AS (SELECT max(date) FILTER (WHERE is_train) AS cutoff, (SELECT max(date) FROM sales) AS last FROM flagged),
+cases AS (
+  SELECT horizon, store_id, date, y, is_train, cutoff, last, coalesce((
+      SELECT sum(b.y) FROM days b WHERE b.store_id = f.store_id AND b.date > f.date AND b.date <= f.date + horizon), 0) AS ahead
+  FROM flagged f, ends, (SELECT unnest([30, 60, 90]) AS horizon)),
+lines AS (
+  SELECT horizon, regr_slope(ahead, y) AS b, regr_intercept(ahead, y) AS a FROM cases
+  WHERE date + horizon <= cutoff GROUP BY horizon)"""
+ORACLE["horizon_one_input"] = _with(DENSE, FILLED_DAYS, ORIGINS) + f"""
+SELECT horizon, split, count(*) AS n_rows, count(*) AS n_scored, {_r('sqrt(avg((ahead - a - b * y) ** 2))', 'rmse')}
+FROM (SELECT *, CASE WHEN date + horizon <= cutoff THEN 'train'
+                     WHEN NOT is_train AND date + horizon <= last THEN 'test' END AS split
+      FROM cases JOIN lines USING (horizon))
+WHERE split IS NOT NULL GROUP BY horizon, split"""
+ORACLE["horizon_one_input_forecast"] = _with(DENSE, FILLED_DAYS, ORIGINS) + f"""
+SELECT store_id, max(date) AS date, {', '.join(
+    _r(f'any_value(CASE WHEN horizon = {h} AND date = d THEN a + b * y END)', f'demand_{h}') for h in (30, 60, 90))}
+FROM (SELECT *, max(date) OVER (PARTITION BY store_id) AS d FROM cases JOIN lines USING (horizon)) GROUP BY store_id"""
 ORACLE["future_calendar"] = _with(SPARSE, FUTURE) + """
 SELECT date, day_no, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
        CAST(date_trunc('month', date - INTERVAL 12 MONTH) AS DATE) AS donor_month

@@ -279,6 +279,15 @@ def hashed_features(spark, folder):
     return hashed.select("product_id", vector_to_array("hashed_vec").alias("hashed"))
 
 
+def hashed_feature_sums(spark, folder):
+    """Whatever the hash: each row's vector adds up to its number of columns, and equal rows have equal vectors."""
+    names = ["supplier", "sub_category"]
+    hashed = features.hash_categories(standin.products(spark, folder, "sparse"), names, width=32)
+    rows = hashed.select(*names, vector_to_array("hashed_vec").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return rows.groupBy(*names).agg(F.max(total).alias("total"), F.count_distinct("v").alias("n_vectors"))
+
+
 # -- split and baseline ----------------------------------------------------------------------------------------
 
 
@@ -379,6 +388,22 @@ def horizon_model_forecast(spark, folder):
     return _out(regressors.horizon_forecast(standin.sales(spark, folder)), *names)
 
 
+def horizon_one_input(spark, folder):
+    """A model per horizon on the day's quantity alone."""
+    return _out(regressors.horizon_errors(standin.sales(spark, folder), inputs=["qty"]), "rmse")
+
+
+def horizon_one_input_forecast(spark, folder):
+    names = ["demand_30", "demand_60", "demand_90"]
+    return _out(regressors.horizon_forecast(standin.sales(spark, folder), inputs=["qty"]), *names)
+
+
+def autoregression_of_order_one(spark, folder):
+    days = panel.daily_totals(standin.sales(spark, folder), ["store_id"])
+    days = series.fill_calendar(days, ["store_id"], "date", "qty", unit="day")
+    return _out(regressors.autoregressive_forecast(days, ["store_id"], order=1, steps=30), "prediction")
+
+
 def autoregressive_forecast(spark, folder):
     sales = standin.sales(spark, folder)
     days = series.fill_calendar(panel.daily_totals(sales, ["store_id"]), ["store_id"], "date", "qty", unit="day")
@@ -520,6 +545,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         onehot_product,
         scaled_features,
         hashed_features,
+        hashed_feature_sums,
         split_cutoff,
         chrono_split,
         baseline_fit,
@@ -536,6 +562,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         model_comparison,
         horizon_models,
         horizon_model_forecast,
+        horizon_one_input,
+        horizon_one_input_forecast,
+        autoregression_of_order_one,
         autoregressive_forecast,
         future_calendar,
         forecast_grid_size,

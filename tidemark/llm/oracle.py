@@ -67,4 +67,24 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
 FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op7_topk": TOPK, "op9_url_filters": URL_FILTERS, "op10_decontamination": DECONTAMINATION}
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), safe AS (
+  SELECT *, regexp_replace(text, '(\\*)(### (?:System|User|Assistant|Role):|</role>|</turn>)', '\1\1\\\2', 'g') AS escaped FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(escaped) + 9 + CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 END)::BIGINT AS formatted_chars
+FROM safe GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_chat": CHAT,
+    "op7_topk": TOPK,
+    "op9_url_filters": URL_FILTERS,
+    "op10_decontamination": DECONTAMINATION,
+}

@@ -133,7 +133,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     prints, ids = item_fingerprints(items, window, gram)
     lengths = sorted(-r["n"] for r in prints.where("n < 0").select("n").distinct().collect())  # at most window - 1
     table = docs.sparkSession.sparkContext.broadcast(bloom.build(prints, "fp", bits))
-    read = docs.select("doc_id", "text").mapInArrow(
+    read = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _reader(lengths, window, gram, table, bits, False),
         f"doc_id long, n_words long, hits {HITS}",
     )

@@ -26,6 +26,12 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows, written once, with a number of their own, and the name of its column: ids may be NULL or repeated."""
+    name = _free(docs, "place")
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose probability of toxicity is below one half; NULL and wordless texts stay. Learned from ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -47,11 +53,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window. Rows that share an id, NULL included, go together."""
+    """Rows without a benchmark window, each judged by its own text whatever its id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    read, spans = winnow.decontaminate(docs, items)
-    hit = stage(read.join(spans.select("_doc").distinct(), "_doc", "left_semi").select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    rows, place = _numbered(docs, "clean-rows")
+    read, spans = winnow.decontaminate(rows.select(F.col(place).alias("doc_id"), "text"), items)
+    hit = stage(read.join(spans.select("_doc").distinct(), "_doc", "left_semi").select(F.col("doc_id").alias(place)), "contaminated")
+    return rows.join(hit, place, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,11 @@ def test_awkward_rows(spark, name, work):
     if name == "sharding":
         assert out.count() == len(rows.AWKWARD)
     assert work(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_contamination_is_judged_by_row(spark):
+    passage = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text
+    bad = [(None, passage), (7, passage), (8, f"before {passage} after")]
+    clean = [(None, rows.BASE), (None, None), (7, rows.NEAR), (9, "a b c")]
+    out = pipeline.drop_contaminated(spark, rows.docs(spark, bad + clean), SMALL)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(clean)

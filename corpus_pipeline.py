@@ -9,7 +9,6 @@ through, whatever their names.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, neardup, sharding, toxicity, winnow
@@ -41,15 +40,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows that repeat an id, the one whose text sorts first.
+    """One row of each group of near duplicates: of those with an id, and of those without, one each.
 
-    Rows with a NULL id are no one's copies and stay.
+    Every row is compared by its own text, whatever its id, and groups are reached over all rows. Of the rows with an id
+    the one with the smallest stays; of rows that repeat it, or have none, the one whose text has the smallest SHA-256.
+    A row with an id is thus no reason to drop one without, nor the other way round. Texts without words all stay.
     """
-    keep = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    name = _free(docs, "copy")
-    once = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    chosen = docs.join(keep, "doc_id", "left_semi").withColumn(name, once).where(F.col(name) == 1)
-    return chosen.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows, place = _numbered(docs, "single-rows")
+    found = neardup.near_duplicates(rows.select(F.col(place).alias("doc_id"), "text"))
+    id_ = F.col("doc_id").cast("long").alias("id")
+    keys = rows.select(F.col(place).alias("_place"), id_, F.sha2(F.col("text").cast("string"), 256).alias("digest"))
+    placed = found.select(F.col("doc_id").alias("_place"), "component_id").join(keys, "_place")
+    first = placed.groupBy("component_id", F.col("id").isNull()).agg(F.min(F.struct("id", "digest", "_place")).alias("_first"))
+    chosen = stage(first.select(F.col("_first._place").alias(place)), "single")
+    return rows.join(chosen, place, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

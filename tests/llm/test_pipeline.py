@@ -89,3 +89,14 @@ def test_contamination_is_judged_by_row(spark):
     clean = [(None, rows.BASE), (None, None), (7, rows.NEAR), (9, "a b c")]
     out = pipeline.drop_contaminated(spark, rows.docs(spark, bad + clean), SMALL)
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(clean)
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    other = "quite another text of more than five words that shares no run with the first " * 2
+    table = [(7, rows.BASE), (7, other), (7, rows.NEAR), (8, other + "end"), (9, rows.BASE), (3, "a b c"), (3, "d e f")]
+    table += [(None, rows.BASE), (None, rows.BASE), (None, rows.NEAR), (None, None), (None, "x y z"), (None, "x y z")]
+    out = [(r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, rows.docs(spark, table), SMALL).collect()]
+    base = {rows.BASE, rows.NEAR}
+    assert Counter((i, "base" if t in base else t) for i, t in out) == Counter(
+        [(7, "base"), (7, other), (3, "a b c"), (3, "d e f"), (None, "base"), (None, None), (None, "x y z")]
+    )

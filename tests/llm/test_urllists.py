@@ -69,3 +69,12 @@ def test_keys(spark):
     url = "https://a.b.c/x//y/z/w?q#f"
     keys = spark.range(1).select(urllists.url_keys(urllists.F.lit(url))).first()[0]
     assert keys == ["a.b.c", "b.c", "c", "a.b.c/x", "a.b.c/x/y", "a.b.c/x/y/z"]
+
+
+def test_deep_paths_and_parent_domains(spark):
+    names = ["a.b.c/1/2/3/4/5", "b.c/1/2", "a.b.c/1/2/3/4", "c", None]
+    lists = spark.createDataFrame([(n, DAY, "add") for n in names], "pattern string, day date, action string")
+    urls = ["http://a.b.c/1/2/3/4/5/6?q", "http://a.b.c/1/2/3//4#f", "http://b.c/1/2/3", "http://a.b.c/1/2/3", "http://b.d/1/2/3/4"]
+    table = spark.createDataFrame([(i, u, DAY) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    got = {r.page_id: r.pattern for r in urllists.judge(table, lists).collect()}
+    assert got == dict(enumerate(["a.b.c/1/2/3/4/5", "a.b.c/1/2/3/4", "b.c/1/2", "c", None]))

@@ -2,9 +2,9 @@
 
 Dated entries (a pattern is listed or taken off on a day) become validity intervals, and each capture is judged by the
 entries in force on the day it was fetched. A pattern is a domain, which covers its subdomains, or a host with the start of
-a path. A URL has a bounded number of keys such patterns can equal, so the join is on the key and the month, with the day
-compared within: a month of a pattern has at most as many intervals as days, however long its history, and adaptive
-execution may split the captures of one host.
+a path. A URL has no more keys such patterns can equal than labels and path segments, as deep as the list goes, so the
+join is on the key and the month, with the day compared within: a month of a pattern has at most as many intervals as
+days, however long its history, and adaptive execution may split the captures of one host.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
-DEPTH = 3  # path segments that a pattern may name
+DEPTH = 3  # path segments of a URL that are keys unless the list says how many it needs
 
 
 def host(url: Column) -> Column:
@@ -22,12 +22,12 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _SCHEME + "(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def url_keys(url: Column) -> Column:
-    """What a pattern may equal: the host's suffixes, and the host with its first path segments. None without a host."""
+def url_keys(url: Column, depth: int = DEPTH) -> Column:
+    """What a pattern may equal: the host's suffixes, and the host with up to ``depth`` path segments. None without a host."""
     name = host(url)
     path = F.regexp_extract(F.coalesce(url, F.lit("")), _SCHEME + "[^/?#]*([^?#]*)", 1)
     labels = F.split(name, "\\.")
-    steps = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, DEPTH)
+    steps = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, depth)
     domains = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
     paths = F.transform(steps, lambda _, i: F.concat(name, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i + 1), "/")))
     return F.when(name != "", F.array_distinct(F.concat(domains, paths))).otherwise(F.array().cast("array<string>"))
@@ -50,9 +50,10 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``pattern`` is the longest one in force on the day of the fetch (ties: the first by name), ``since`` its day of
     listing; both are NULL if none is. A capture without host or date is not blocked. Rows that repeat a capture are
-    each judged alike. Other columns are ignored.
+    each judged alike. Other columns are ignored. Paths in ``entries`` may have any number of segments.
     """
     captures = captures.select("page_id", "url", "fetched")
+    depth = max(0, entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0)  # of the deepest path listed
     ends = captures.agg(F.min("fetched"), F.max("fetched")).first()
     month = lambda day: F.year(day) * 12 + F.month(day)
     first, last = (F.lit(d).cast("date") for d in ends)
@@ -67,7 +68,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         ),
     )
     asked = captures.where("fetched IS NOT NULL AND url IS NOT NULL").distinct()
-    asked = asked.withColumns({"pattern": F.explode(url_keys(F.col("url"))), "month": month(F.col("fetched"))})
+    asked = asked.withColumns({"pattern": F.explode(url_keys(F.col("url"), depth)), "month": month(F.col("fetched"))})
     met = asked.join(spans, ["pattern", "month"]).where("since <= fetched AND (until IS NULL OR fetched < until)")
     # the longest pattern, then the first by name, of each capture
     rank = F.min_by(F.struct("pattern", "since"), F.struct(-F.length("pattern"), F.col("pattern")))

@@ -82,9 +82,77 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM safe GROUP BY conv_id
 """
 
+RANKED = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), sized AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0
+), whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_all FROM sized
+), item_terms AS (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term
+), tfs AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM sized)
+  WHERE term IN (SELECT term FROM item_terms) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term) CROSS JOIN whole
+), parts AS (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_all))) AS part
+  FROM tfs JOIN weights USING (term) JOIN sized USING (doc_id) CROSS JOIN whole
+), scores AS (
+  SELECT item_id, doc_id, sum(times * part)::BIGINT AS score FROM parts JOIN item_terms USING (term) GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+# CRC-32 byte by byte, of each distinct feature once: the table of the 256 remainders is worked out first
+_SHIFTED = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+IMPORTANCE = rf"""
+WITH RECURSIVE turns AS (
+  SELECT i, i::BIGINT AS c, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT i, {_SHIFTED}, step + 1 FROM turns WHERE step < 8
+), crcs AS (SELECT list(c ORDER BY i) AS crc FROM turns WHERE step = 8
+), texts AS (
+  SELECT 0 AS side, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, NULL, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), features AS (
+  SELECT side, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM texts
+), hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(f))),
+      lambda i: ('0x' || substr(hex(encode(f)), 2 * i::INTEGER + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM features) CROSS JOIN crcs
+), placed AS (SELECT side, doc_id, bucket FROM features JOIN hashed USING (f)
+), sizes AS (SELECT count(*) FILTER (WHERE side = 0) AS raw, count(*) FILTER (WHERE side = 1) AS target FROM placed
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (raw + 10000)::DOUBLE / ((s + 1)::DOUBLE * (target + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM placed GROUP BY bucket)
+  CROSS JOIN sizes
+), weighed AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS total FROM placed JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id
+), scored AS (
+  SELECT t.doc_id, coalesce(len(w), 0) >= 20 AS long, coalesce(n_features, 0)::BIGINT AS n_features,
+    CASE WHEN n_features > 0 THEN floor(total::DOUBLE / n_features)::BIGINT ELSE 0 END AS weight,
+    ('0x' || substr(sha256('7:' || t.doc_id::VARCHAR), 1, 8))::BIGINT AS h
+  FROM texts t LEFT JOIN weighed USING (doc_id) WHERE side = 0
+), noisy AS (
+  SELECT doc_id, long, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored
+), ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM noisy WHERE long
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN place <= 25 * (SELECT count(*) FROM noisy WHERE long) // 100 THEN place END::BIGINT AS rank
+FROM noisy LEFT JOIN ranks USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op3_chat": CHAT,
     "op7_topk": TOPK,
     "op9_url_filters": URL_FILTERS,
     "op10_decontamination": DECONTAMINATION,
+    "op11_ranked": RANKED,
+    "op12_importance": IMPORTANCE,
 }

@@ -1,11 +1,11 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, hamming, lm, mixing, neardup, ordinal, sharding, toxicity, urllists, winnow
+from tidemark.llm import chat, hamming, importance, lm, mixing, neardup, ordinal, ranked, sharding, toxicity, urllists, winnow
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,6 +77,16 @@ def op6_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    found = ranked.ranked_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -88,4 +98,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
+    "op11_ranked": op11_ranked,
+    "op12_importance": op12_importance,
 }

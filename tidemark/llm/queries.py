@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, hamming, importance, lm, mixing, neardup, ordinal, ranked, sharding, toxicity, urllists, winnow
+from tidemark.llm import chat, hamming, importance, lm, mixing, neardup, ngramjoin, ordinal, ranked, sharding, toxicity, urllists, winnow
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngramjoin.ngram_join(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -100,4 +104,5 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_ranked": op11_ranked,
     "op12_importance": op12_importance,
+    "op13_ngram_join": op13_ngram_join,
 }

@@ -193,3 +193,59 @@ def test_comparison_drops_its_tables(spark, trio, tmp_path, monkeypatch):
     kept.clear()
     regressors.horizon_errors(trio[0].where("store_id < 3"), horizons=[5])
     assert [t.staged_path is not None for t in kept] == [False, True]
+
+
+def test_trees_never_take_more_bins_than_the_spec_allows(trio, flagged):
+    """Store codes and names have more values than slots; they come as bins, and unseen ones in the middle."""
+    spec = FeatureSpec(tree_width=8, tree_bins=16)
+    trained = regressors.train(flagged, *trio[1:], [regressors.indexed_forest(numTrees=3)], spec, as_of_year=2002)
+    model = trained.scorer.stages[-1]
+    assert model.getMaxBins() == 32
+    names = trained.pipeline.stages[-2].getInputCols()
+    assert "store_code_bin" in names and "region_index" in names
+    new = panel.enrich(flagged.limit(5), *trio[1:], 2002).withColumn("store_code", F.lit("never seen"))
+    with pytest.raises(Exception):  # the index of the linear model's encoder still refuses it
+        trained.pipeline.transform(new).collect()
+    kept = FeatureSpec(tree_width=8, tree_bins=16, invalid="keep")
+    trained = regressors.train(flagged, *trio[1:], [regressors.indexed_forest(numTrees=3)], kept, as_of_year=2002)
+    assert trained.pipeline.transform(new).where("forest_indexed IS NOT NULL").count() == 5
+
+
+def test_wide_categories_stay_within_256_bins(spark):
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=k % 90), k, k % 2, float(k % 7)) for k in range(600)]
+    flagged = stage(flag_split(spark.createDataFrame(rows, "date date, store_id int, product_id int, qty double")), "wide")
+    stores = spark.range(600).selectExpr("cast(id AS int) AS store_id", "concat('s', id) AS store_code", "concat('r', id % 3) AS region", "2000 AS opened_year")
+    products = spark.range(2).selectExpr("cast(id AS int) AS product_id", "concat('p', id) AS category")
+    spec = FeatureSpec(store_categories=("store_code", "region"), product_categories=("category",), tree_width=256, tree_bins=256)
+    trained = regressors.train(flagged, stores, products, [regressors.indexed_forest(numTrees=2)], spec, as_of_year=2021)
+    assert trained.scorer.stages[-1].getMaxBins() == 256
+
+
+def per_series(y, order):
+    rows = [[1.0, *y[i - order : i][::-1]] for i in range(order, len(y))]
+    return np.linalg.lstsq(np.array(rows), np.array(y[order:]), rcond=None)[0]
+
+
+@pytest.mark.parametrize("order", [1, 7])
+def test_each_series_has_its_own_autoregression(spark, days, order):
+    dice = np.random.default_rng(order)
+    made = {}
+    for k in range(5):
+        y = [100.0 + k, 90.0, 95.0, 99.0, 93.0, 91.0, 97.0]
+        for _ in range(150):
+            y.append(10.0 * k + (0.2 + 0.1 * k) * y[-1] + 0.1 * y[-5] + float(dice.normal()))
+        made[k] = y
+    made[5], made[6] = [4.0] * 40, [1.0, 2.0]
+    rows = [(k, d, v) for k, y in made.items() for d, v in zip(days("2020-01-01", len(y)), y)]
+    df = spark.createDataFrame(rows, "k int, date date, qty double").repartition(4)
+    got = regressors.autoregressive_forecast_by_series(df, ["k"], order, 12).toPandas()
+    assert len(got) == 12 * len(made) and set(got.columns) == {"k", "step", "date", "prediction"}
+    for k in range(5):
+        path, w = list(made[k]), per_series(made[k], order)
+        for _ in range(12):
+            path.append(w[0] + sum(c * v for c, v in zip(w[1:], path[::-1])))
+        part = got[got.k == k].sort_values("step")
+        np.testing.assert_allclose(part.prediction, path[-12:], rtol=1e-7)
+        assert part.date.iloc[0] == days("2020-01-01", len(made[k]) + 1)[-1]
+    np.testing.assert_allclose(got[got.k == 5].prediction, 4.0)
+    assert got[got.k == 6].prediction.isna().all() == (order > 1)

@@ -45,3 +45,17 @@ def test_staging_block_drops_its_tables(spark):
         path = keep(spark.range(3), "block").staged_path.removeprefix("file:")
         assert os.path.isdir(path)
     assert not os.path.exists(path)
+
+
+def test_working_block_drops_all_but_what_is_kept(spark):
+    with runtime.working() as outer:
+        with runtime.working() as keep:
+            dropped, kept = runtime.stage(spark.range(3), "a"), keep(runtime.stage(spark.range(4), "b"))
+            paths = [t.staged_path.removeprefix("file:") for t in (dropped, kept)]
+        assert not os.path.exists(paths[0]) and os.path.exists(paths[1]) and kept.count() == 4
+        last = outer(runtime.stage(spark.range(5), "c"))
+    assert not os.path.exists(paths[1]) and last.count() == 5  # handed to the block around, which drops it
+    with pytest.raises(ZeroDivisionError), runtime.working():
+        path = runtime.stage(spark.range(1), "d").staged_path.removeprefix("file:")
+        raise ZeroDivisionError
+    assert not os.path.exists(path)

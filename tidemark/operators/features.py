@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import DATE_PART_NAMES
+from tidemark.operators.encoders import fit_index
 
 STORE_CATEGORIES = ("store_code", "region", "district", "city", "state")
 PRODUCT_CATEGORIES = ("supplier", "product_name", "category", "sub_category")
@@ -20,6 +21,9 @@ PRODUCT_CATEGORIES = ("supplier", "product_name", "category", "sub_category")
 class FeatureSpec:
     """Which columns a regressor sees.
 
+    Trees take categories of at most ``tree_width`` values as such, wider ones as ``tree_bins`` bins in order of their mean
+    target on the train rows (:mod:`tidemark.operators.binning`), so a category never widens their statistics.
+
     ``hashed`` names categories too wide for a slot per value: they are hashed into ``hash_width`` slots and leave
     the one-hot list. ``invalid`` is the treatment of NULL or unseen categories (``error``, ``keep``, ``skip``).
     """
@@ -32,6 +36,8 @@ class FeatureSpec:
     target: str = "qty"
     ids: tuple[str, ...] = field(default=("date", "store_id", "product_id"))
     invalid: str = "error"
+    tree_width: int = 32
+    tree_bins: int = 64
 
 
 def vector_name(column: str) -> str:
@@ -42,6 +48,10 @@ def index_name(column: str) -> str:
     return f"{column}_index"
 
 
+def bin_name(column: str) -> str:
+    return f"{column}_bin"
+
+
 def encode(
     dim: DataFrame, columns: Sequence[str], invalid: str = "error", keep_index: bool = False
 ) -> tuple[DataFrame, list[str]]:
@@ -56,13 +66,14 @@ def encode(
 
 
 def fit_encoders(dim: DataFrame, columns: Sequence[str], invalid: str = "error") -> tuple[list, list[str]]:
-    """The fitted stages of :func:`encode`, which take any rows that have the columns, and the columns with a vector."""
+    """The fitted stages of :func:`encode`, which take any rows that have the columns, and the columns with a vector.
+
+    The indexes come from a table (:class:`tidemark.operators.encoders.TableEncoder`), the vectors from their widths.
+    """
     if not columns:
         return [], []
-    index_names = [index_name(c) for c in columns]
-    indexer = StringIndexer(inputCols=list(columns), outputCols=index_names, handleInvalid=invalid).fit(dim)
-    extra = 1 if invalid == "keep" else 0
-    usable = [c for c, labels in zip(columns, indexer.labelsArray) if len(labels) + extra > 1]
+    indexer = fit_index(dim, columns, invalid)
+    usable = [c for c in columns if indexer.slots(c) > 1]
     if not usable:
         return [indexer], []
     encoder = OneHotEncoder(inputCols=[index_name(c) for c in usable], outputCols=[vector_name(c) for c in usable])

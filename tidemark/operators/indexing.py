@@ -13,6 +13,31 @@ from tidemark.runtime import freeze
 _ROW_BITS = 33
 
 
+def running_totals(df: DataFrame, within: Sequence[str], order: Sequence, column: str, name: str) -> DataFrame:
+    """The total of ``column`` up to and with each row, in ``order`` within each ``within`` group, whatever its size.
+
+    Like :func:`number_rows`: sums within the slices of a distributed sort, plus the totals of earlier slices (one row per
+    slice), minus those of earlier groups (one row per group). ``column`` holds whole numbers, none NULL.
+    """
+    slices = freeze(df.orderBy(*within, *order).withColumn("_at", F.monotonically_increasing_id()))
+    slices = slices.withColumn("_slice", F.shiftright("_at", _ROW_BITS))
+    sizes = slices.groupBy("_slice").agg(F.sum(column).alias("_sum"))
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    here = Window.partitionBy("_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        slices.withColumn("_here", F.sum(column).over(here))
+        .join(F.broadcast(offsets), "_slice")  # one row per partition of the sort
+        .withColumn("_upto", F.col("_offset") + F.col("_here"))
+    )
+    starts = ranked.groupBy(*within).agg(F.min(F.col("_upto") - F.col(column)).alias("_start"))
+    return (
+        ranked.join(starts, list(within))
+        .withColumn(name, F.col("_upto") - F.col("_start"))
+        .drop("_at", "_slice", "_offset", "_here", "_upto", "_start")
+    )
+
+
 def number_rows(df: DataFrame, within: Sequence[str], order: Sequence, name: str = "idx") -> DataFrame:
     """Rows numbered from 0 in ``order`` within each ``within`` group, whatever the size of a group.
 

@@ -166,17 +166,18 @@ def forecast_horizons(
     )
 
 
-BROADCAST_STORES = 1_000_000  # ids, 8 to 30 MB; beyond that Spark chooses how the two lists meet
+BROADCAST_BYTES = 32 << 20  # of store ids; beyond that Spark chooses how the two lists meet
 
 
 def forecast_grid(
     sales: DataFrame, stores: DataFrame, products: DataFrame, horizon: int = HORIZON, last_date: dt.date | None = None
 ) -> DataFrame:
     """Every (store, product) with the months of the horizon. The product of the two is the result asked for here;
-    the roll-ups above do not use it. Products are dealt by ``product_id`` and meet the counted list of stores where
+    the roll-ups above do not use it. Products are dealt by ``product_id`` and meet the measured list of stores where
     they lie, so the grid keeps that partitioning."""
     ids = stores.select("store_id").distinct()
-    if ids.count() <= BROADCAST_STORES:
+    held = F.octet_length(F.col("store_id").cast("string")) + 16  # a row's overhead
+    if (ids.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     pairs = products.select("product_id").distinct().repartition("product_id").crossJoin(ids)
     return _with_months(pairs.select("store_id", "product_id"), from_last_date(sales, last_date)(lambda last: last), horizon)
@@ -196,6 +197,7 @@ def forecast_cells(
     Spark joins them on all keys as they lie, and of the two only the product list and the fit are shuffled.
     """
     ids = ["store_id", "product_id"]
+    last_date = last_date or last_sale_date(sales)  # once, for fit and grid
     fit = donor_fit(sales, from_last_date(sales, last_date), horizon, **options).repartition("product_id")
     grid = forecast_grid(sales, stores, products, horizon, last_date).join(fit, [*ids, "donor_month"], "left")
     return _by_day(grid.withColumn("prediction", F.coalesce("prediction", F.lit(0.0))), ids)

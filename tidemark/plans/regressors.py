@@ -2,44 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import FeatureSpec, category_hasher, fit_encoders, index_name, unit_scaler, vector_name
+from tidemark.operators.binning import category_means, fit_bins
+from tidemark.operators.features import (
+    FeatureSpec,
+    bin_name,
+    category_hasher,
+    fit_encoders,
+    index_name,
+    unit_scaler,
+    vector_name,
+)
 from tidemark.operators.lags import demand_ahead, lag_features, trailing_means
 from tidemark.operators.panel import daily_totals, enrich
 from tidemark.operators.series import fill_calendar
 from tidemark.operators.split import flag_split
 from tidemark.operators.stats import rmse
+from tidemark.plans import least_squares
 from tidemark.plans.baseline import predict
-from tidemark.runtime import stage, unstage
+from tidemark.runtime import stage, unstage, working
 
 
 def encoders(
-    stores: DataFrame, products: DataFrame, spec: FeatureSpec = FeatureSpec()
+    stores: DataFrame, products: DataFrame, spec: FeatureSpec = FeatureSpec(), known: DataFrame | None = None
 ) -> tuple[list, dict[str, list[str]]]:
     """Fitted stages that take enriched panel rows (:func:`enrich`) to feature inputs, and the inputs by kind.
 
     Kinds: ``one_hot`` (numeric columns and a vector per category) and ``indexed`` (numeric columns and an index per
-    category, for trees). Categories are fitted on the dimensions, so the fits see each store and product once.
+    category, for trees). Categories are fitted on the dimensions, so the fits see each store and product once. With the
+    train rows ``known``, categories of more than ``spec.tree_width`` values are binned by their mean target in
+    ``indexed``; the target is summed by store and by product first.
     """
-    store_stages, store_used = fit_encoders(stores, [c for c in spec.store_categories if c not in spec.hashed], spec.invalid)
-    product_stages, product_used = fit_encoders(
-        products, [c for c in spec.product_categories if c not in spec.hashed], spec.invalid
-    )
-    used, stages = store_used + product_used, store_stages + product_stages
+    stages, used, indexed = [], [], []
+    for dim, key, columns in ((stores, "store_id", spec.store_categories), (products, "product_id", spec.product_categories)):
+        fitted, vectors = fit_encoders(dim, [c for c in columns if c not in spec.hashed], spec.invalid)
+        stages, used = stages + fitted, used + vectors
+        wide = [c for c in vectors if known is not None and fitted[0].slots(c) > spec.tree_width]
+        if wide:
+            target = F.col(spec.target)
+            sums = known.groupBy(key).agg(F.count(target).alias("_n"), F.sum(target).alias("_total")).join(dim, key)
+            stages = [*stages, fit_bins(category_means(sums, wide, "_total", F.col("_n")), spec.tree_bins)]
+            wide = stages[-1].getOrDefault("columns")  # those with a train row
+        indexed += [bin_name(c) if c in wide else index_name(c) for c in vectors]
     extra = ["hashed_vec"] if spec.hashed else []
     if spec.hashed:
         stages = [*stages, category_hasher(spec.hashed, spec.hash_width)]
     return stages, {
         "one_hot": [*spec.numeric, *map(vector_name, used), *extra],
-        "indexed": [*spec.numeric, *map(index_name, used), *extra],
+        "indexed": [*spec.numeric, *indexed, *extra],
     }
 
 
@@ -52,12 +72,12 @@ def model_rows(
 ) -> tuple[DataFrame, dict[str, list[str]]]:
     """Panel rows (with ``is_train``) with encoded features, and the feature inputs by kind (:func:`encoders`)."""
     stages, inputs = encoders(stores, products, spec)
-    return _encoded(flagged, stores, products, stages, inputs, spec, as_of_year), inputs
+    return _encoded(flagged, stores, products, stages, inputs.values(), spec, as_of_year), inputs
 
 
 def _encoded(flagged, stores, products, stages, inputs, spec, as_of_year) -> DataFrame:
     rows = PipelineModel(stages=stages).transform(enrich(flagged, stores, products, as_of_year))
-    needed = dict.fromkeys(inputs["one_hot"] + inputs["indexed"])
+    needed = dict.fromkeys(c for names in inputs for c in names)
     target = F.col(spec.target).cast("double").alias(spec.target)
     return rows.select(*spec.ids, target, "is_train", *needed)
 
@@ -90,14 +110,13 @@ def forest(
 
 
 def indexed_forest(prediction: str = "forest_indexed", **params) -> RandomForestRegressor:
-    """The forest on category indexes. Trees split index columns by category, so a row is one number per column
-    instead of one per category; for wide categories that is the difference between fitting and not fitting."""
+    """The forest on category indexes and, for wide categories, bins in order of the mean target (``FeatureSpec``). A row
+    is one number per column instead of one per category, and no column has more than a bounded number of slots."""
     return forest(features="tree_features", prediction=prediction, **params)
 
 
 def _widest_category(rows: DataFrame, columns: Sequence[str]) -> int:
-    attributes = [rows.schema[c].metadata.get("ml_attr", {}) for c in columns]
-    return max((len(a["vals"]) for a in attributes if "vals" in a), default=0)
+    return max((rows.schema[c].metadata.get("ml_attr", {}).get("num_vals", 0) for c in columns), default=0)
 
 
 @dataclass
@@ -126,20 +145,25 @@ def train(
     column. The standard deviations come from the train rows, or from all rows with ``scale_on="all"``.
     """
     spread = flagged.repartition(partitions or fit_partitions(flagged), *spec.ids)
-    stages, inputs = encoders(stores, products, spec)
-    rows = _encoded(spread, stores, products, stages, inputs, spec, as_of_year)
-    assemblers = [VectorAssembler(inputCols=inputs["one_hot"], outputCol="features_raw")]
-    if any(m.getFeaturesCol() == "tree_features" for m in models):
+    trees = any(m.getFeaturesCol() == "tree_features" for m in models)
+    vectors = any(m.getFeaturesCol() != "tree_features" for m in models)
+    stages, inputs = encoders(stores, products, spec, flagged.where("is_train") if trees else None)
+    kinds = ["one_hot"] * vectors + ["indexed"] * trees
+    rows = _encoded(spread, stores, products, stages, [inputs[k] for k in kinds], spec, as_of_year)
+    assemblers = []
+    if vectors:
+        assemblers.append(VectorAssembler(inputCols=inputs["one_hot"], outputCol="features_raw"))
+    if trees:
         assemblers.append(VectorAssembler(inputCols=inputs["indexed"], outputCol="tree_features"))
-        bins = max(32, _widest_category(rows, inputs["indexed"]))
+        bins = max(32, spec.tree_bins, _widest_category(rows, inputs["indexed"]))
         models = [m.copy({m.maxBins: bins}) if m.getFeaturesCol() == "tree_features" else m for m in models]
     names = [a.getOutputCol() for a in assemblers]
     assembled = PipelineModel(stages=assemblers).transform(rows).select(*spec.ids, spec.target, "is_train", *names)
     table = stage(assembled, "model-table", sort=list(spec.ids))
     known = table.where("is_train")
-    scaler = unit_scaler("features_raw").fit(known if scale_on == "train" else table)
-    scaled = scaler.transform(known)
-    scorer = PipelineModel(stages=[scaler, *[m.fit(scaled) for m in models]])
+    scalers = [unit_scaler("features_raw").fit(known if scale_on == "train" else table)] if vectors else []
+    scaled = PipelineModel(stages=scalers).transform(known)
+    scorer = PipelineModel(stages=[*scalers, *[m.fit(scaled) for m in models]])
     return Trained(table, scorer, PipelineModel(stages=[*stages, *assemblers, *scorer.stages]))
 
 
@@ -166,15 +190,23 @@ def compare_models(
     scale_on: str = "train",
     share: float = 0.8,
 ) -> DataFrame:
-    """Baseline and regressors side by side on the same split, scored on train and test rows."""
-    models = list(models) if models is not None else [linear(spec.target), indexed_forest(label=spec.target)]
-    flagged = stage(flag_split(panel, share), "panel")
-    errors = regressor_errors(flagged, stores, products, models, spec, as_of_year, scale_on)
-    baseline = predict(flagged).withColumnRenamed("prediction", "baseline")
-    out = stage(model_errors(baseline, ["baseline"], spec.target).unionByName(errors), "model-errors")  # two rows a model
-    unstage(flagged)
-    unstage(errors)
-    return out
+    """Baseline and regressors side by side on the same split, scored on train and test rows.
+
+    Without ``models``: least squares from sums by category (:mod:`tidemark.plans.least_squares`), or by iteration where the
+    design is too wide for it or hashed, and a forest.
+    """
+    with working() as keep:
+        flagged = stage(flag_split(panel, share), "panel")
+        baseline = predict(flagged).withColumnRenamed("prediction", "baseline")
+        errors = model_errors(baseline, ["baseline"], spec.target)
+        if models is None:
+            models = [indexed_forest(label=spec.target)]
+            try:
+                errors = errors.unionByName(least_squares.linear_errors(flagged, stores, products, spec, as_of_year))
+            except least_squares.TooWide:
+                models = [linear(spec.target), *models]
+        errors = errors.unionByName(regressor_errors(flagged, stores, products, models, spec, as_of_year, scale_on))
+        return keep(stage(errors, "model-errors"))  # two rows a model
 
 
 def regressor_errors(
@@ -186,12 +218,11 @@ def regressor_errors(
     as_of_year: int | None = None,
     scale_on: str = "train",
 ) -> DataFrame:
-    """Errors of freshly trained regressors on a staged, flagged panel, without the baseline. The model table is dropped."""
-    trained = train(flagged, stores, products, models, spec, as_of_year, scale_on)
-    scored = trained.scorer.transform(trained.table)
-    out = stage(model_errors(scored, [m.getPredictionCol() for m in models], spec.target), "model-errors")
-    unstage(trained.table)
-    return out
+    """Errors of freshly trained regressors on a staged, flagged panel, without the baseline. Nothing else is left staged."""
+    with working() as keep:
+        trained = train(flagged, stores, products, models, spec, as_of_year, scale_on)
+        scored = trained.scorer.transform(trained.table)
+        return keep(stage(model_errors(scored, [m.getPredictionCol() for m in models], spec.target), "model-errors"))
 
 
 # -- one model per horizon -------------------------------------------------------------------------------------
@@ -371,3 +402,75 @@ def autoregressive_forecast(
         F.date_add("_at", F.col("_pos") + 1).alias(at),
         prediction.alias("prediction"),
     )
+
+
+def lag_products(series: DataFrame, keys: Sequence[str], order: int, at: str = "date", value: str = "qty") -> DataFrame:
+    """``(*keys, n, mean, products)`` of each series: sums of products of the value and its ``order`` lags, less the mean.
+
+    ``products`` holds the upper triangle of the matrix over (1, value, lag 1, ...) row by row, from the rows that have all
+    lags; ``n`` counts them. ``series`` must have a row for every day.
+    """
+    keys = list(keys)
+    means = series.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("mean"))
+    rows = series.select(*keys, at, F.col(value).cast("double").alias("_y")).join(means, keys)
+    rows = rows.withColumn("_y", F.col("_y") - F.col("mean"))
+    table = lag_features(rows.where("_y IS NOT NULL"), keys, range(1, order + 1), at, "_y")
+    terms = [F.lit(1.0), F.col("_y"), *[F.col(f"_y_lag_{k}") for k in range(1, order + 1)]]
+    table = table.where(F.col(f"_y_lag_{order}").isNotNull())
+    sums = [F.sum(a * b) for i, a in enumerate(terms) for b in terms[i:]]
+    return table.groupBy(*keys).agg(F.count("*").alias("n"), F.first("mean").alias("mean"), F.array(*sums).alias("products"))
+
+
+def series_coefficients(products: DataFrame, keys: Sequence[str], order: int) -> DataFrame:
+    """``(*keys, n, mean, intercept, weights)`` by least squares, a batch of series to one stack of small solves.
+
+    ``intercept`` and ``weights`` (lag 1 first) apply to values less the series' mean. Where lags depend on each other, as
+    in a constant series, the shortest of the equal solutions is taken.
+    """
+    width = order + 2
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = np.triu_indices(width)
+        for batch in batches:
+            flat = np.array(batch.column("products").to_pylist(), float).reshape(-1, len(upper[0]))
+            full = np.zeros((len(flat), width, width))
+            full[:, upper[0], upper[1]] = flat
+            full[:, upper[1], upper[0]] = flat
+            inputs = [0, *range(2, width)]
+            gram, moment = full[:, inputs][:, :, inputs], full[:, inputs, 1]
+            scale = np.sqrt(np.einsum("kii->ki", gram))
+            scale[scale == 0] = 1
+            inverse = np.linalg.pinv(gram / scale[:, :, None] / scale[:, None, :], rcond=1e-11, hermitian=True)
+            weights = np.einsum("kij,kj->ki", inverse, moment / scale) / scale
+            columns = [batch.column(c) for c in (*keys, "n", "mean")]
+            lists = pa.array(weights[:, 1:].tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(weights[:, 0]), lists], names=[*keys, "n", "mean", "intercept", "weights"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in products.schema if f.name != "products")
+    return products.mapInArrow(solved, f"{kinds}, intercept double, weights array<double>")
+
+
+def autoregressive_forecast_by_series(
+    series: DataFrame, keys: Sequence[str], order: int = 7, steps: int = 30, at: str = "date", value: str = "qty"
+) -> DataFrame:
+    """``(*keys, step, at, prediction)`` like :func:`autoregressive_forecast`, with coefficients of each series' own.
+
+    A series without ``order + 1`` days of values has no fit and NULL predictions.
+    """
+    keys = list(keys)
+    fits = series_coefficients(lag_products(series, keys, order, at, value), keys, order)
+    lagged = lag_features(series.select(*keys, at, F.col(value).cast("double").alias("_y")), keys, range(1, order), at, "_y")
+    recent = F.array("_y", *[f"_y_lag_{k}" for k in range(1, order)])
+    ends = lagged.groupBy(*keys).agg(F.max_by(F.struct(F.col(at).alias("_at"), recent.alias("_recent")), at).alias("end"))
+    state = ends.select(*keys, "end.*").join(fits, keys, "left")
+    known = F.transform("_recent", lambda y: y - F.col("mean"))
+
+    def step(path, _):
+        parts = F.zip_with(F.slice(path, 1, order), F.col("weights"), lambda y, w: y * w)
+        return F.array_prepend(path, F.aggregate(parts, F.col("intercept"), lambda total, x: total + x))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), known, step)
+    ahead = F.transform(F.reverse(F.slice(path, 1, steps)), lambda y: y + F.col("mean"))
+    none = F.array_repeat(F.lit(None).cast("double"), steps)
+    out = state.select(*keys, "_at", F.posexplode(F.coalesce(ahead, none)).alias("_pos", "prediction"))
+    return out.select(*keys, (F.col("_pos") + 1).alias("step"), F.date_add("_at", F.col("_pos") + 1).alias(at), "prediction")

@@ -98,6 +98,10 @@ ORACLE["parse_audit"] = "\nUNION ALL ".join(
        count(*) FILTER (WHERE TRY_CAST({e} AS DECIMAL(12,2)) <> {e}) AS n_digits_lost FROM lineitem"""
     for c, e in _TEXTS.items()
 )
+ORACLE["audited_write"] = ORACLE["parse_audit"]
+ORACLE["accepted_rows"] = "SELECT l_orderkey, l_linenumber, " + " AND ".join(
+    f"coalesce(CAST({e} AS DECIMAL(12,2)) = {e}, true)" for e in _TEXTS.values()
+) + " AS accepted FROM lineitem"
 ORACLE["null_audit"] = _with(SPARSE) + (
     """SELECT count(*) AS n_rows,
        count(*) FILTER (WHERE date IS NOT NULL AND store_id IS NOT NULL AND product_id IS NOT NULL AND qty IS NOT NULL
@@ -258,6 +262,37 @@ ORACLE["collinear_pairs"] = _with(SPARSE, CORRELATIONS) + (
     f"SELECT col_a, col_b, {_r('corr')} FROM corrs WHERE col_a < col_b AND abs(corr) >= 0.5"
 )
 
+_WIDE = {c: c for c in _MEASURES} | {
+    "year": "year(date)",
+    "month": "month(date)",
+    "day_of_month": "day(date)",
+    "day_of_week": "dayofweek(date) + 1",
+    "day_of_year": "dayofyear(date)",
+    "week_of_year": "weekofyear(date)",
+}
+ORACLE["correlation_wide"] = _with(
+    SPARSE, "wide AS (SELECT " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _WIDE.items()) + " FROM sales)"
+) + "\nUNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, "
+    f"{_r(f'corr({a}, {b})', 'corr')} FROM wide"
+    for a in _WIDE
+    for b in _WIDE
+)
+# the third column against one or two others, by the formula for the multiple correlation of three columns
+ORACLE["variance_inflation"] = _with(
+    SPARSE,
+    """r AS (
+  SELECT corr(CAST(qty AS DOUBLE), CAST(revenue AS DOUBLE)) AS a, corr(CAST(qty AS DOUBLE), CAST(cost AS DOUBLE)) AS b,
+         corr(CAST(revenue AS DOUBLE), CAST(cost AS DOUBLE)) AS c FROM sales)""",
+    "second AS (SELECT *, 1 / (1 - a * a) AS v2 FROM r)",
+    """third AS (
+  SELECT *, CASE WHEN v2 <= 5 THEN 1 / (1 - (b * b + c * c - 2 * a * b * c) / (1 - a * a)) ELSE 1 / (1 - b * b) END AS v3
+  FROM second)""",
+) + f"""
+SELECT 'qty' AS "column", 0 AS position, 1.0::DOUBLE AS inflation, true AS kept
+UNION ALL SELECT 'revenue', 1, {_r('v2', 'x')}, v2 <= 5 FROM third
+UNION ALL SELECT 'cost', 2, {_r('v3', 'x')}, v3 <= 5 FROM third"""
+
 # -- features --------------------------------------------------------------------------------------------------
 
 _STORE_CATS = ("store_code", "region", "district", "city", "state")
@@ -290,6 +325,37 @@ ORACLE["onehot_store"] = _with(SPARSE_STORES, _index("stores", _STORE_CATS)) + _
 ORACLE["onehot_product"] = _with(SPARSE_PRODUCTS, _index("products", _PRODUCT_CATS)) + _slots(
     "products", "product_id", _PRODUCT_CATS
 )
+SPARSE_RANKED = (SPARSE, PANEL, RANKED, SPARSE_STORES, SPARSE_PRODUCTS)
+_KNOWN = "known AS (SELECT * FROM products WHERE product_id IN (SELECT product_id FROM ranked WHERE is_train))"
+ORACLE["encoder_slots"] = _with(SPARSE, PANEL, RANKED, SPARSE_PRODUCTS, _KNOWN, _index("known", _PRODUCT_CATS)) + (
+    "\nUNION ALL ".join(
+        f"SELECT product_id, '{c}' AS feature, CAST(coalesce(idx, (SELECT count(*) FROM idx WHERE feature = '{c}')) AS BIGINT) AS slot "
+        f"FROM products LEFT JOIN idx ON feature = '{c}' AND value = {c}"
+        for c in _PRODUCT_CATS
+    )
+)
+_TRAIN = """train AS (
+  SELECT date, qty, store_code, region, district, city, state, supplier, product_name, category, sub_category
+  FROM ranked JOIN stores USING (store_id) JOIN products USING (product_id) WHERE is_train)"""
+_MEANS = "means AS (" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, {c} AS value, count(*) AS n, CAST(sum(qty) AS DOUBLE) / count(*) AS mean FROM train GROUP BY {c}"
+    for c in (*_STORE_CATS, *_PRODUCT_CATS)
+) + ")"
+ORACLE["category_bins"] = _with(*SPARSE_RANKED, _TRAIN, _MEANS) + f"""
+SELECT feature, value, n, {_r('mean')},
+       CAST(least(15, floor((sum(n) OVER (PARTITION BY feature ORDER BY mean, value) - n) * 16 / sum(n) OVER (PARTITION BY feature))) AS INTEGER) AS bin
+FROM means"""
+_CELLS = ", ".join(f"['{c}=' || {c}, '1']" for c in (*_STORE_CATS, *_PRODUCT_CATS))
+ORACLE["linear_sums"] = _with(
+    *SPARSE_RANKED,
+    _TRAIN,
+    f"""cells AS (
+  SELECT row_number() OVER () AS r, unnest([['1', '1'], ['month', month(date)::VARCHAR], ['day_of_week', (dayofweek(date) + 1)::VARCHAR],
+         ['qty', qty::VARCHAR], {_CELLS}]) AS cell FROM train)""",
+    "plain AS (SELECT r, cell[1] AS name, CAST(cell[2] AS DOUBLE) AS x FROM cells)",
+) + f"""
+SELECT a.name AS a, b.name AS b, {_r('sum(a.x * b.x)', 'total')}
+FROM plain a JOIN plain b ON a.r = b.r AND a.name <= b.name GROUP BY a.name, b.name"""
 _SCALED = {"year": "year(date)", "month": "month(date)", "day_of_week": "dayofweek(date) + 1"}
 ORACLE["scaled_features"] = _with(
     DENSE,
@@ -325,6 +391,8 @@ ORACLE["baseline_fit_one_shuffle"] = _with(DENSE, PANEL, FIT.format(rows="panel"
     f"SELECT make_date(year, month, 1) AS month_start, store_id, product_id, {_r('prediction')} FROM fit"
 )
 
+ORACLE["panel_refreshed"] = ORACLE["daily_panel"]
+ORACLE["fit_refreshed"] = ORACLE["baseline_fit"]
 TRAIN_FIT = FIT.format(rows="ranked WHERE is_train")
 SCORED = """
 scored AS (
@@ -384,7 +452,8 @@ def _forecast(fit: str = FIT.format(rows="panel"), ranked: bool = False) -> str:
 
 
 ORACLE["hashed_feature_sums"] = _with(SPARSE_PRODUCTS) + (
-    "SELECT supplier, sub_category, 2.0::DOUBLE AS total, 1::BIGINT AS n_vectors FROM products GROUP BY ALL"
+    "SELECT supplier, sub_category, 2.0::DOUBLE AS total, 1::BIGINT AS n_vectors, 1::BIGINT AS n_alike_supplier, "
+    "1::BIGINT AS n_alike_sub_category FROM products GROUP BY ALL"
 )
 FILLED_DAYS = """
 sold AS (SELECT store_id, date, CAST(sum(qty) AS DOUBLE) AS y FROM sales GROUP BY ALL),
@@ -402,6 +471,16 @@ steps AS (
   UNION ALL SELECT store_id, step + 1, date + 1, a + b * prediction FROM steps, line WHERE step < 30)
 SELECT store_id, CAST(step AS INTEGER) AS step, CAST(date AS DATE) AS date, {_r('prediction')} FROM steps"""
 )
+ORACLE["autoregression_by_store"] = (
+    "WITH RECURSIVE " + ",\n".join([DENSE, FILLED_DAYS]) + f""",
+lagged AS (SELECT store_id, y, lag(y) OVER (PARTITION BY store_id ORDER BY date) AS p FROM days),
+line AS (SELECT store_id, regr_slope(y, p) AS b, regr_intercept(y, p) AS a FROM lagged GROUP BY store_id),
+ends AS (SELECT store_id, max(date) AS d, max_by(y, date) AS y FROM days GROUP BY store_id),
+steps AS (
+  SELECT store_id, 1 AS step, d + 1 AS date, a + b * y AS prediction FROM ends JOIN line USING (store_id)
+  UNION ALL SELECT store_id, step + 1, date + 1, a + b * prediction FROM steps JOIN line USING (store_id) WHERE step < 30)
+SELECT store_id, CAST(step AS INTEGER) AS step, CAST(date AS DATE) AS date, {_r('prediction')} FROM steps"""
+)
 ORIGINS = """
 flagged AS (SELECT *, percent_rank() OVER (ORDER BY date) <= 0.8 AS is_train FROM days),
 ends AS (SELECT max(date) FILTER (WHERE is_train) AS cutoff, (SELECT max(date) FROM sales) AS last FROM flagged),
@@ -502,6 +581,20 @@ ORACLE["rolling_scores"] = _with(
 SELECT fold, count(*) AS n_rows, count(prediction) AS n_scored,
        {_r('sqrt(avg((CAST(qty AS DOUBLE) - prediction) ** 2))', 'rmse')}
 FROM scored GROUP BY fold"""
+# two inputs, so that a fit is a system of two equations on the deviations, solved by determinants
+ORACLE["rolling_linear_scores"] = _with(
+    SPARSE,
+    PANEL,
+    FOLDS,
+    "days AS (SELECT date, CAST(qty AS DOUBLE) AS y, CAST(month(date) AS DOUBLE) AS u, CAST(dayofweek(date) + 1 AS DOUBLE) AS v FROM panel)",
+    """sums AS (
+  SELECT fold, covar_pop(u, u) AS uu, covar_pop(v, v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy,
+         avg(u) AS mu, avg(v) AS mv, avg(y) AS my FROM days JOIN folds ON date <= train_end GROUP BY fold)""",
+    """lines AS (
+  SELECT fold, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS a, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS b, mu, mv, my FROM sums)""",
+) + f"""
+SELECT o.fold, count(*) AS n_rows, count(*) AS n_scored, {_r('sqrt(avg((y - my - a * (u - mu) - b * (v - mv)) ** 2))', 'rmse')}
+FROM days JOIN folds o ON date BETWEEN test_start AND test_end JOIN lines USING (fold) GROUP BY o.fold"""
 ORACLE["calendar_join"] = _with(
     DENSE,
     STORE_DAYS,

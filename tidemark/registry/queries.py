@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import date_parts, month_end, month_label, month_start, years_open
 from tidemark.functions.numbers import rounded
-from tidemark.operators import cleaning, features, indexing, lags, panel, series, split, stats
-from tidemark.plans import baseline, forecast, regressors, validation
-from tidemark.runtime import scratch_path, stage
+from tidemark.operators import binning, cleaning, encoders, features, indexing, lags, panel, series, split, stats
+from tidemark.plans import baseline, forecast, least_squares, refresh, regressors, validation
+from tidemark.runtime import scratch_path, session_options, stage, working
 from tidemark.sources import sinks, standin
 from tidemark.sources.tables import load_table
 
@@ -94,6 +94,23 @@ def parse_audit(spark, folder):
     return cleaning.parse_audit(standin.raw_text_sales(spark, folder), to="decimal(12,2)")
 
 
+def _write_cleaned(spark, folder):
+    return cleaning.write_cleaned(standin.raw_text_sales(spark, folder), scratch_path(spark, "cleaned"), to="decimal(12,2)")
+
+
+def audited_write(spark, folder):
+    """The same audit, counted while the cleaned rows are written."""
+    audit = _write_cleaned(spark, folder)[2]
+    return audit.where("column != 'date'").select("column", "n_text", "n_null_after", "n_digits_lost")
+
+
+def accepted_rows(spark, folder):
+    """Rows whose numbers all have two digits at most; the others are kept apart as they came."""
+    accepted, rejected, _ = _write_cleaned(spark, folder)
+    out = accepted.withColumn("accepted", F.lit(True)).select("l_orderkey", "l_linenumber", "accepted")
+    return out.union(rejected.select("l_orderkey", "l_linenumber", F.lit(False)))
+
+
 def null_audit(spark, folder):
     return cleaning.null_audit(standin.sales(spark, folder, "sparse"))
 
@@ -234,6 +251,24 @@ def collinear_pairs(spark, folder):
     return _out(stats.collinear_pairs(matrix, 0.5), "corr")
 
 
+def _wide_rows(spark, folder):
+    sales = standin.sales(spark, folder, "sparse")
+    return sales.withColumns(date_parts(F.col("date")))
+
+
+def correlation_wide(spark, folder):
+    """Measures and date parts, by the matrix product that takes hundreds of columns."""
+    names = [*MODEL_MEASURES, *features.DATE_PART_NAMES]
+    return _out(stats.wide_correlation(_wide_rows(spark, folder), names), "corr")
+
+
+def variance_inflation(spark, folder):
+    """Revenue, tax and what is left of the revenue, each against those kept before it."""
+    names = ["qty", "revenue", "cost"]
+    matrix = stats.wide_correlation(_wide_rows(spark, folder), names)
+    return _out(stats.variance_inflation(matrix, names, most=5.0), "inflation")
+
+
 # -- features --------------------------------------------------------------------------------------------------
 
 
@@ -264,6 +299,29 @@ def onehot_product(spark, folder):
     return encoded.select("product_id", F.inline(slots)).select("product_id", "feature", (F.col("at") - 1).alias("slot"))
 
 
+def encoder_slots(spark, folder):
+    """The table encoder fitted on the products of the train rows, saved, loaded and applied to all products: those with a
+    value that no train row has take the slot after the last."""
+    sales, _, products = _trio(spark, folder, "sparse")
+    known = split.flag_split(panel.daily_panel(sales)).where("is_train").select("product_id").distinct()
+    with working() as keep:
+        fitted = encoders.fit_index(products.join(known, "product_id", "left_semi"), features.PRODUCT_CATEGORIES, "keep")
+        path = scratch_path(spark, "encoder")
+        fitted.write().save(path)
+        rows = encoders.TableEncoder.load(path).transform(products)
+        slots = [F.struct(F.lit(c).alias("feature"), F.col(features.index_name(c)).cast("long").alias("slot")) for c in features.PRODUCT_CATEGORIES]
+        return keep(stage(rows.select("product_id", F.inline(F.array(*slots))), "encoder-slots"))
+
+
+def category_bins(spark, folder):
+    """Product and store categories of the train rows in 16 bins by mean quantity."""
+    sales, stores, products = _trio(spark, folder, "sparse")
+    train = split.flag_split(panel.daily_panel(sales)).where("is_train")
+    rows = train.join(stores, "store_id").join(products, "product_id")
+    means = binning.category_means(rows, [*features.STORE_CATEGORIES, *features.PRODUCT_CATEGORIES], "qty")
+    return _out(binning.target_bins(means, 16), "mean")
+
+
 def scaled_features(spark, folder):
     """Scaling fitted on the train rows, as the models use it."""
     flagged = split.flag_split(_staged_panel(spark, folder)).withColumns(date_parts(F.col("date")))
@@ -280,12 +338,22 @@ def hashed_features(spark, folder):
 
 
 def hashed_feature_sums(spark, folder):
-    """Whatever the hash: each row's vector adds up to its number of columns, and equal rows have equal vectors."""
+    """Whatever the hash: each row's vector adds up to its number of columns, and equal rows have equal vectors. In as many
+    slots as here no two single values share one (``n_alike``: values with the same vector)."""
     names = ["supplier", "sub_category"]
-    hashed = features.hash_categories(standin.products(spark, folder, "sparse"), names, width=32)
-    rows = hashed.select(*names, vector_to_array("hashed_vec").alias("v"))
+    products = standin.products(spark, folder, "sparse")
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    return rows.groupBy(*names).agg(F.max(total).alias("total"), F.count_distinct("v").alias("n_vectors"))
+
+    def vectors(columns):
+        hashed = features.hash_categories(products, columns, width=1 << 16)
+        return hashed.select(*columns, vector_to_array("hashed_vec").alias("v"))
+
+    rows = vectors(names).groupBy(*names).agg(F.max(total).alias("total"), F.count_distinct("v").alias("n_vectors"))
+    for c in names:
+        alike = vectors([c]).groupBy("v").agg(F.collect_set(c).alias("_values"))
+        alike = alike.select(F.explode("_values").alias(c), F.size("_values").cast("long").alias(f"n_alike_{c}"))
+        rows = rows.join(alike, c)
+    return rows.select(*names, "total", "n_vectors", *[f"n_alike_{c}" for c in names])
 
 
 # -- split and baseline ----------------------------------------------------------------------------------------
@@ -305,6 +373,26 @@ def baseline_fit(spark, folder):
     return _out(baseline.fit_panel(_dense_panel(spark, folder)).drop("month_start"), "prediction")
 
 
+def _refreshed(spark, folder):
+    """The tables of the train days, the last 30 of them wrong, brought up to date with those days and all later ones."""
+    sales = standin.sales(spark, folder)
+    cutoff = split.split_cutoff(panel.daily_panel(sales)).first().cutoff
+    wrong = F.col("date") > F.date_sub(F.lit(cutoff), 30)
+    known = sales.where(F.col("date") <= F.lit(cutoff))
+    path = scratch_path(spark, "refreshed")
+    refresh.create(known.withColumn("qty", F.when(wrong, 2 * F.col("qty")).otherwise(F.col("qty")).cast("decimal(12,2)")), path)
+    refresh.refresh(sales.where(wrong), path)
+    return path
+
+
+def panel_refreshed(spark, folder):
+    return _out(refresh.panel(spark, _refreshed(spark, folder)), "qty")
+
+
+def fit_refreshed(spark, folder):
+    return _out(refresh.fit(spark, _refreshed(spark, folder)).drop("month_start"), "prediction")
+
+
 def baseline_fit_one_shuffle(spark, folder):
     return _out(baseline.fit_sales(standin.sales(spark, folder)), "prediction")
 
@@ -355,22 +443,64 @@ def lr_single_feature(spark, folder):
     return _out(fitted.transform(rows).select("date", "qty", F.col("linear").alias("prediction")), "qty", "prediction")
 
 
-def _errors(spark, folder, models):
+def _errors(spark, folder, work, *args):
     sales, stores, products = _trio(spark, folder, "sparse")
-    flagged = stage(split.flag_split(panel.daily_panel(sales)), "panel")
-    return _out(regressors.regressor_errors(flagged, stores, products, models, as_of_year=AS_OF_YEAR), "rmse")
+    with working() as keep:
+        flagged = stage(split.flag_split(panel.daily_panel(sales)), "panel")
+        return _out(keep(work(flagged, stores, products, *args, as_of_year=AS_OF_YEAR)), "rmse")
 
 
 def linear_rmse(spark, folder):
-    return _errors(spark, folder, [regressors.linear()])
+    """Least squares on all features, from sums by category."""
+    return _errors(spark, folder, least_squares.linear_errors)
+
+
+def linear_vectors_rmse(spark, folder):
+    """The same model by iteration over feature vectors."""
+    return _errors(spark, folder, regressors.regressor_errors, [regressors.linear()])
 
 
 def forest_rmse(spark, folder):
-    return _errors(spark, folder, [regressors.indexed_forest("forest")])
+    """Wide categories in bins by mean target."""
+    return _errors(spark, folder, regressors.regressor_errors, [regressors.indexed_forest("forest")])
 
 
 def forest_indexed_rmse(spark, folder):
-    return _errors(spark, folder, [regressors.indexed_forest()])
+    """Categories of up to 256 values by index, wider ones in 256 bins."""
+    spec = features.FeatureSpec(tree_width=256, tree_bins=256)
+    return _errors(spark, folder, regressors.regressor_errors, [regressors.indexed_forest()], spec)
+
+
+LINEAR_SPEC = features.FeatureSpec(numeric=("month", "day_of_week"))
+
+
+def linear_sums(spark, folder):
+    """The normal equations of the train rows: month, day of the week and all categories against quantity."""
+    sales, stores, products = _trio(spark, folder, "sparse")
+    train = split.flag_split(panel.daily_panel(sales)).where("is_train")
+    with working() as keep:
+        rows = stage(panel.enrich(train, stores, products, AS_OF_YEAR), "train-rows")
+        made = least_squares.design(rows, stores, products, LINEAR_SPEC, origin=(0.0, 0.0))
+        sums = least_squares.named_sums(least_squares.equation_sums(rows, made), made)
+        return _out(keep(stage(sums, "linear-sums")), "total")
+
+
+def rolling_linear_scores(spark, folder):
+    """A linear model on month and day of the week, fitted on each fold's past from running sums."""
+    spec = features.FeatureSpec(numeric=("month", "day_of_week"), store_categories=(), product_categories=())
+    scores = least_squares.rolling_linear_scores(*_panel_and_dimensions(spark, folder), spec, **FOLDS, as_of_year=AS_OF_YEAR)
+    return _out(scores, "rmse")
+
+
+def rolling_linear_category_scores(spark, folder):
+    """The same folds with date parts and all categories."""
+    scores = least_squares.rolling_linear_scores(*_panel_and_dimensions(spark, folder), **FOLDS, as_of_year=AS_OF_YEAR)
+    return _out(scores, "rmse")
+
+
+def _panel_and_dimensions(spark, folder):
+    sales, stores, products = _trio(spark, folder, "sparse")
+    return panel.daily_panel(sales), stores, products
 
 
 def model_comparison(spark, folder):
@@ -410,6 +540,20 @@ def autoregressive_forecast(spark, folder):
     return _out(regressors.autoregressive_forecast(days, ["store_id"], order=7, steps=90), "prediction")
 
 
+def _store_days(spark, folder):
+    days = panel.daily_totals(standin.sales(spark, folder), ["store_id"])
+    return series.fill_calendar(days, ["store_id"], "date", "qty", unit="day")
+
+
+def autoregression_by_store(spark, folder):
+    """Each store's own autoregression of order one."""
+    return _out(regressors.autoregressive_forecast_by_series(_store_days(spark, folder), ["store_id"], order=1, steps=30), "prediction")
+
+
+def autoregressive_forecast_by_store(spark, folder):
+    return _out(regressors.autoregressive_forecast_by_series(_store_days(spark, folder), ["store_id"], order=7, steps=90), "prediction")
+
+
 # -- forecast --------------------------------------------------------------------------------------------------
 
 
@@ -426,8 +570,8 @@ def forecast_grid_size(spark, folder):
 
 
 def forecast_cells(spark, folder):
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # lets the grid stay where it is
-    return _out(_forecast(spark, folder, forecast.forecast_cells), "prediction")
+    with session_options(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):  # lets the grid stay where it is
+        return stage(_out(_forecast(spark, folder, forecast.forecast_cells), "prediction"), "cells")
 
 
 def forecast_daily_by_product(spark, folder):
@@ -517,6 +661,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clean_decimal_comma,
         clean_default_types,
         parse_audit,
+        audited_write,
+        accepted_rows,
         null_audit,
         complete_rows,
         row_counts,
@@ -539,16 +685,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         autocorrelation_by_store,
         correlation_matrix,
         collinear_pairs,
+        correlation_wide,
+        variance_inflation,
         category_index_store,
         category_index_product,
         onehot_store,
         onehot_product,
+        encoder_slots,
+        category_bins,
         scaled_features,
         hashed_features,
         hashed_feature_sums,
         split_cutoff,
         chrono_split,
         baseline_fit,
+        panel_refreshed,
+        fit_refreshed,
         baseline_fit_one_shuffle,
         baseline_train_predictions,
         baseline_test_predictions,
@@ -557,6 +709,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         baseline_apply_fit,
         lr_single_feature,
         linear_rmse,
+        linear_vectors_rmse,
+        linear_sums,
+        rolling_linear_scores,
+        rolling_linear_category_scores,
         forest_rmse,
         forest_indexed_rmse,
         model_comparison,
@@ -566,6 +722,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         horizon_one_input_forecast,
         autoregression_of_order_one,
         autoregressive_forecast,
+        autoregression_by_store,
+        autoregressive_forecast_by_store,
         future_calendar,
         forecast_grid_size,
         forecast_cells,

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,9 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())  # tables of the scopes around this code
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
@@ -71,6 +75,8 @@ def stage(df: DataFrame, label: str, sort: Sequence[str] = ()) -> DataFrame:
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    for held in _open.get()[-1:]:
+        held.append(out)
     return out
 
 
@@ -85,6 +91,45 @@ def unstage(df: DataFrame) -> None:
     df.staged_path = None
 
 
+@contextmanager
+def working() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``with working() as keep:`` drops at its end every table that was staged within it, by whatever code, but the kept ones.
+
+    For callers that write a result and then need nothing it was made from: frames that read dropped tables fail from
+    then on. ``keep(t)`` hands a table of :func:`stage` to the scope around this one, if there is any. Also drops on errors.
+    """
+    held: list[DataFrame] = []
+    around = _open.get()
+    token = _open.set((*around, held))
+
+    def keep(df: DataFrame) -> DataFrame:
+        held[:] = [t for t in held if t is not df]
+        if around and getattr(df, "staged_path", None):
+            around[-1].append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.reset(token)
+        for df in held:
+            unstage(df)
+
+
+@contextmanager
+def session_options(spark: SparkSession, **options: str) -> Iterator[None]:
+    """SQL options for the plans made and run in the block, with double underscores for dots; then as they were before."""
+    names = {k.replace("__", "."): v for k, v in options.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @contextmanager
 def staging() -> Iterator[Callable[..., DataFrame]]:
     """``with staging() as keep: t = keep(df, "label")`` stages tables and deletes them at the end of the block."""

@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 ``BENCH_SF_DIR`` names the tables (default sf0.1), ``BENCH_CPUS`` the local cores. Each query runs once untimed and
-its time is that of the second run, with every row produced and none kept; the forest runs once. ``comparisons``
+its time is that of the second run, with every row produced and none kept; long ones run once. ``comparisons``
 sets the plans used here beside the direct ways of writing the same step: [direct seconds, our seconds].
 """
 
@@ -41,6 +41,7 @@ HEADLINE = [
     "autocorrelation_daily",
     "autocorrelation_by_store",
     "correlation_matrix",
+    "correlation_wide",
     "category_index_product",
     "onehot_product",
     "scaled_features",
@@ -55,8 +56,10 @@ HEADLINE = [
     "forest_rmse",
     "forest_indexed_rmse",
     "model_comparison",
+    "rolling_linear_category_scores",
     "horizon_models",
     "autoregressive_forecast",
+    "autoregressive_forecast_by_store",
     "forecast_cells",
     "forecast_daily_by_product",
     "forecast_daily_by_store",
@@ -68,7 +71,7 @@ HEADLINE = [
     "calendar_join",
 ]
 # long enough that one run is a fair measure
-ONCE = {"forest_rmse", "forest_indexed_rmse", "model_comparison"}
+ONCE = {"forest_rmse", "forest_indexed_rmse", "model_comparison", "rolling_linear_category_scores"}
 
 
 def run(df) -> None:

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.binning import category_means, fit_bins
+from tidemark.operators.encoders import TableEncoder
 from tidemark.operators.features import (
     FeatureSpec,
     bin_name,
@@ -82,6 +83,25 @@ def _encoded(flagged, stores, products, stages, inputs, spec, as_of_year) -> Dat
     return rows.select(*spec.ids, target, "is_train", *needed)
 
 
+def slot_names(stages: Sequence, spec: FeatureSpec) -> DataFrame:
+    """``(slot, name)`` of the one-hot input vector that the stages of :func:`encoders` lead to: numbers by their name,
+    categories as ``feature=value``. The last value of a category has no slot. Hashed categories are not named."""
+    first, parts = len(spec.numeric), []
+    encoders_ = [s for s in stages if isinstance(s, TableEncoder) and s.getOrDefault("nominal")]
+    for encoder in encoders_:
+        for c in encoder.getOrDefault("columns"):
+            width = encoder.slots(c) - 1
+            if width:
+                part = encoder.table.where((F.col("feature") == c) & (F.col("slot") < width))
+                parts.append(part.select((F.col("slot") + first).cast("int").alias("slot"), F.concat_ws("=", "feature", "value").alias("name")))
+            first += width
+    spark = SparkSession.active()
+    out = spark.createDataFrame(list(enumerate(spec.numeric)), "slot int, name string")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 ROWS_PER_PARTITION = 250_000
 
 

@@ -424,6 +424,50 @@ ORACLE["lr_single_feature"] = _with(
     "line AS (SELECT regr_slope(qty, day_no) AS a, regr_intercept(qty, day_no) AS b FROM days)",
 ) + f"SELECT date, {_r('qty')}, {_r('a * day_no + b', 'prediction')} FROM days, line"
 
+ORACLE["bucketed_predictions"] = ORACLE["baseline_test_predictions"]
+_NUMBERS = {
+    "year": "year(date)",
+    "month": "month(date)",
+    "day_of_month": "day(date)",
+    "day_of_week": "dayofweek(date) + 1",
+    "day_of_year": "dayofyear(date)",
+    "week_of_year": "weekofyear(date)",
+    "years_open": "2002 - opened_year",
+}
+ORACLE["assembled_vector_sums"] = _with(
+    *SPARSE_RANKED,
+    _TRAIN.replace("SELECT date", "SELECT opened_year, date"),
+    _index("stores", _STORE_CATS).replace("idx AS", "store_idx AS"),
+    _index("products", _PRODUCT_CATS).replace("idx AS", "product_idx AS"),
+    "idx AS (SELECT * FROM store_idx UNION ALL SELECT * FROM product_idx)",
+    "held AS (SELECT feature, value FROM idx QUALIFY idx < max(idx) OVER (PARTITION BY feature))",
+    "met AS (" + "\nUNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value FROM train" for c in (*_STORE_CATS, *_PRODUCT_CATS)) + ")",
+) + "\nUNION ALL ".join(
+    f"SELECT '{n}' AS name, {_r(f'sum({e})', 'total')} FROM train" for n, e in _NUMBERS.items()
+) + f"""
+UNION ALL SELECT feature || '=' || value, {_r('count(m.value)', 'total')} FROM held h LEFT JOIN met m USING (feature, value) GROUP BY feature, h.value, value"""
+ORACLE["one_split_comparison"] = _with(
+    SPARSE,
+    PANEL,
+    RANKED,
+    TRAIN_FIT,
+    SAME_MONTH,
+    "months AS (SELECT month(date) AS m, count(*) AS n, sum(CAST(qty AS DOUBLE)) AS s FROM ranked WHERE is_train GROUP BY month(date))",
+    """cuts AS (
+  SELECT c.m AS cut, sum(s) FILTER (WHERE a.m <= c.m) / sum(n) FILTER (WHERE a.m <= c.m) AS low,
+         sum(s) FILTER (WHERE a.m > c.m) / sum(n) FILTER (WHERE a.m > c.m) AS high,
+         sum(s) FILTER (WHERE a.m <= c.m) ** 2 / sum(n) FILTER (WHERE a.m <= c.m)
+           + sum(s) FILTER (WHERE a.m > c.m) ** 2 / sum(n) FILTER (WHERE a.m > c.m) AS gain
+  FROM months a, (SELECT m FROM months) c WHERE c.m < (SELECT max(m) FROM months) GROUP BY c.m)""",
+    "best AS (SELECT * FROM cuts ORDER BY gain DESC LIMIT 1)",
+) + f"""
+SELECT 'baseline' AS model, CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows, count(prediction) AS n_scored,
+       {_r('sqrt(avg((CAST(qty AS DOUBLE) - prediction) ** 2))', 'rmse')} FROM scored GROUP BY is_train
+UNION ALL
+SELECT 'one_split', CASE WHEN is_train THEN 'train' ELSE 'test' END, count(*), count(*),
+       {_r('sqrt(avg((CAST(qty AS DOUBLE) - CASE WHEN month(date) <= cut THEN low ELSE high END) ** 2))', 'rmse')}
+FROM ranked, best GROUP BY is_train"""
+
 # -- forecast --------------------------------------------------------------------------------------------------
 
 FUTURE = """

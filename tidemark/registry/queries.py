@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from tidemark.functions.numbers import rounded
 from tidemark.operators import binning, cleaning, encoders, features, indexing, lags, panel, series, split, stats
 from tidemark.plans import baseline, forecast, least_squares, refresh, regressors, validation
 from tidemark.runtime import scratch_path, session_options, stage, working
-from tidemark.sources import sinks, standin
+from tidemark.sources import layout, sinks, standin
 from tidemark.sources.tables import load_table
 
 AS_OF_YEAR = 2002
@@ -471,6 +472,40 @@ def forest_indexed_rmse(spark, folder):
     return _errors(spark, folder, regressors.regressor_errors, [regressors.indexed_forest()], spec)
 
 
+def assembled_vector_sums(spark, folder):
+    """What the assembled one-hot vectors of the train rows add up to, by the name of each slot."""
+    sales, stores, products = _trio(spark, folder, "sparse")
+    with working() as keep:
+        flagged = stage(split.flag_split(panel.daily_panel(sales)).where("is_train"), "panel")
+        spec = features.FeatureSpec()
+        trained = regressors.train(flagged, stores, products, [regressors.linear().setMaxIter(1)], spec, AS_OF_YEAR)
+        sums = trained.table.select(Summarizer.sum(F.col("features_raw")).alias("v")).select(F.posexplode(vector_to_array("v")).alias("slot", "total"))
+        names = regressors.slot_names(trained.pipeline.stages, spec)
+        return _out(keep(stage(sums.join(names, "slot", "full").select("name", "total"), "vector-sums")), "total")
+
+
+MONTH_SPEC = features.FeatureSpec(numeric=("month",), store_categories=(), product_categories=())
+
+
+def one_split_comparison(spark, folder):
+    """Baseline beside a forest of one tree with one split, on the month."""
+    sales, stores, products = _trio(spark, folder, "sparse")
+    stump = regressors.indexed_forest("one_split", numTrees=1, maxDepth=1, featureSubsetStrategy="all")
+    compared = regressors.compare_models(panel.daily_panel(sales), stores, products, [stump], MONTH_SPEC, AS_OF_YEAR)
+    return _out(compared, "rmse")
+
+
+def bucketed_predictions(spark, folder):
+    """The baseline's test predictions from tables bucketed by store and product."""
+    rows = layout.bucketed(_dense_panel(spark, folder), buckets=8)
+    with working() as keep, layout.as_laid_out(spark):
+        flagged = stage(split.flag_split(rows), "flagged")
+        fit = layout.bucketed(baseline.fit_panel(flagged.where("is_train")), buckets=8)
+        test = rows.join(split.split_cutoff(rows).select("cutoff"), F.col("date") > F.col("cutoff")).drop("cutoff")
+        found = baseline.apply_fit(test, fit, "year_month", "inner")
+        return keep(stage(_out(found.select("date", "store_id", "product_id", "qty", "prediction"), "qty", "prediction"), "bucketed"))
+
+
 LINEAR_SPEC = features.FeatureSpec(numeric=("month", "day_of_week"))
 
 
@@ -710,6 +745,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lr_single_feature,
         linear_rmse,
         linear_vectors_rmse,
+        assembled_vector_sums,
+        one_split_comparison,
+        bucketed_predictions,
         linear_sums,
         rolling_linear_scores,
         rolling_linear_category_scores,

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bloom
 from tidemark.llm.graph import components
 from tidemark.llm.text import WordHashes, gram_hashes, spaced_words
-from tidemark.runtime import stage, staging, unstage
+from tidemark.runtime import stage, staging, unstage, working
 
 WIDTH, LEAST = 3, 90  # words to a token; similarity in hundredths
 ORDERS = 3
@@ -248,7 +248,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, least: int = LEAST, orders:
     if not 0 < least <= 100:
         raise ValueError("least must be over 0 and at most 100")
     shortest = -(-least // (100 - least)) if least < 100 else 1 << 62  # shorter sets are similar to equal ones alone
-    with staging() as keep:
+    with working() as hold, staging() as keep:
         rows = keep(rows_with_keys(docs, width), "join-rows")
         classes = rows.where("key IS NOT NULL").groupBy("key").agg(
             F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")
@@ -269,12 +269,10 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, least: int = LEAST, orders:
         named = named.join(least_id, "component", "left").where("copies > 1 OR least_id IS NOT NULL")
         named = named.select("key", "class_id", F.coalesce("least_id", "class_id").alias("component_id"))
         out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-        return stage(
-            out.select(
-                "doc_id",
-                "n_shingles",
-                F.coalesce("component_id", "doc_id").alias("component_id"),
-                F.coalesce("class_id", "doc_id").alias("class_id"),
-            ),
-            "join-result",
+        out = out.select(
+            "doc_id",
+            "n_shingles",
+            F.coalesce("component_id", "doc_id").alias("component_id"),
+            F.coalesce("class_id", "doc_id").alias("class_id"),
         )
+        return hold(stage(out, "join-result"))

@@ -102,3 +102,60 @@ def test_better_than_counts_on_held_out_text(spark):
 
 def test_empty_table(spark):
     assert lm.score_documents(rows.docs(spark, []), rounds=1).count() == 0
+
+
+def whole_scores(table, most):
+    """Both scores of each row (id, text, lang), told from the model's definition with the first piece scores."""
+    import zlib
+
+    first = np.exp(lm.first_scores(len(PIECES)))
+    spell = lambda w: brute(w.decode(), dict(zip(PIECES, first)), first[-1] * CODE_POINTS)
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in table]
+    langs = Counter(lang for (_, _, lang), h in zip(table, held) if not h and lang is not None)
+    names = sorted(langs, key=lambda x: (-langs[x], x))[:most]
+    place = lambda lang: names.index(lang) if lang in names else len(names)
+    k = len(names) + 1
+    counts, docs = [Counter() for _ in range(k)], np.zeros(k)
+    for (_, text, lang), h in zip(table, held):
+        if not h:
+            counts[place(lang)].update(rows.words(text))
+            docs[place(lang)] += 1
+    tokens = np.array([sum(c.values()) for c in counts], float)
+    discount = lambda c: 0.0 if c == 0 else lm.DISCOUNTS[min(c, 3) - 1]
+    mass = np.array([sum(discount(n) for n in c.values()) for c in counts])
+    back = [m / t if t else 1.0 for m, t in zip(mass, tokens)]
+    end, share = (docs + 1) / (tokens + docs + 2), (docs + 1) / (docs.sum() + k)
+    e = (docs.sum() + 1) / (tokens.sum() + docs.sum() + 2)
+    for i, text, _ in table:
+        words, total = rows.words(text), 0.0
+        for c in range(k):
+            p = share[c] * end[c]
+            for w in words:
+                n = counts[c][w]
+                p *= (1 - end[c]) * ((n - discount(n)) / max(tokens[c], 1) + back[c] * spell(w))
+            total += p
+        plain = e * math.prod((1 - e) * spell(w) for w in words)
+        yield i, text, round(math.log10(total), 4), round(math.log10(plain), 4)
+
+
+@pytest.mark.parametrize("most, top", [(1, 2), (None, lm.TOP)])
+def test_scores_are_those_of_the_model_as_told(spark, monkeypatch, most, top):
+    monkeypatch.setattr(lm, "TOP", top)
+    monkeypatch.setattr(lm, "read_pieces", lambda path: PIECES)
+    texts = ["ab a ab", "A b", "", None, "x ab ab ab", "éa bb a", "a", "ba ba ab", "日 a", "b b b b"]
+    langs = ["en", "de", None, "en", "fr", "de", "xx"]
+    table = [(None if k == 11 else k, texts[k % len(texts)], langs[k % len(langs)]) for k in range(24)]
+    docs = spark.createDataFrame([(*r, 5) for r in table], "doc_id long, text string, lang string, _class int").repartition(3)
+    got = lm.score_documents(docs, rounds=0, most_classes=most).select("doc_id", "score", "lattice_score").collect()
+    want = [(i, a, b) for i, _, a, b in whole_scores(table, most)]
+    assert sorted(((r.doc_id, round(r.score, 4), round(r.lattice_score, 4)) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_classes_come_from_training_rows(spark):
+    import zlib
+
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 7 == 2][:30]
+    rows_ = [(i, "a b", "rare") for i in held] + [(1000 + k, "a b", "en") for k in range(20) if zlib.crc32(str(1000 + k).encode()) % 7 != 2]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string").withColumn("_held", lm.remainder(lm.F.col("doc_id"), 7) == 2)
+    placed, n = lm._class_of(docs, "lang", None)
+    assert n == 2 and {(r.lang, r._class) for r in placed.collect()} == {("en", 0), ("rare", 1)}

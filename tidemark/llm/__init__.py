@@ -1,6 +1,7 @@
 """Operators for preparing text corpora. Nothing else in the library imports this subpackage.
 
-Functions that run in tasks are sent by value, so executors need the libraries these use but not this package.
+Functions that run in tasks are sent by value and broadcasts hold plain data (numbers, arrays, texts, tuples, dicts), so
+executors need the libraries these use but not this package.
 """
 
 import sys

@@ -110,11 +110,14 @@ def read_back(tokens: np.ndarray, mask: np.ndarray, encoding, reserved: int) ->
     return ReadBack(turns, "".join(loss), "".join(text))
 
 
-def encode_turns(rows: DataFrame, codec) -> DataFrame:
-    """``conv_id, turn, role, name, ids``: each row's escaped text, and the role's name if it has no mark of its own."""
+def encode_turns(rows: DataFrame, ranks) -> DataFrame:
+    """``conv_id, turn, role, name, ids``: each row's escaped text, and the role's name if it has no mark of its own.
+
+    ``ranks``: the vocabulary of a :class:`Codec`, broadcast (as a plain dict, so that executors need no class to read it).
+    """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec.value.encoding()
+        tool = Codec(ranks.value).encoding()
         ids = lambda text: np.array(tool.encode_ordinary(escape(text or "")), np.int32).tobytes()
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
@@ -140,7 +143,7 @@ def format_conversations(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataF
     """
     spark = rows.sparkSession.sparkContext
     codec = Codec.read(vocabulary)
-    shared, reserved = spark.broadcast(codec), codec.reserved
+    shared, reserved = spark.broadcast(codec.ranks), codec.reserved
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda b: np.frombuffer(b, np.int32)
@@ -165,10 +168,10 @@ def format_conversations(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataF
 def digests(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """What reading the output back gives: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``."""
     codec = Codec.read(vocabulary)
-    shared, reserved = formatted.sparkSession.sparkContext.broadcast(codec), codec.reserved
+    shared, reserved = formatted.sparkSession.sparkContext.broadcast(codec.ranks), codec.reserved
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = shared.value.encoding()
+        tool = Codec(shared.value).encoding()
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
             out = []

@@ -38,6 +38,10 @@ class Pieces:
     whole: tuple[np.ndarray, ...]
     ids: tuple[np.ndarray, ...]
 
+    def plain(self) -> tuple:
+        """What to broadcast: ``Pieces(*plain)`` makes it whole in a task, where the class comes with the function."""
+        return self.n, self.alive, self.whole, self.ids
+
     @staticmethod
     def of(texts: list[str]) -> Pieces:
         most = max(map(len, texts))

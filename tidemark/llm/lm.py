@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.hashed import remainder
 from tidemark.llm.lattice import CODE_POINTS, MARK, Lattice, Pieces
 from tidemark.llm.text import WordHashes, spaced_words
-from tidemark.runtime import stage, unstage
+from tidemark.runtime import stage, working
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TOP = 131_072  # words whose values every task holds: 4 to 8 MB
-CLASSES = 6  # the most frequent values of the class column, and one for the rest
+CLASSES = 6  # by default the most frequent values of the class column among the training rows, and one for the rest
 ROUNDS = 3
 DISCOUNTS = (0.6, 1.2, 1.6)  # of words counted once, twice, more often
 FLUSH = 400_000  # distinct words a task holds before it hands them on
@@ -70,13 +70,15 @@ class Counts:
     v: int
 
 
-def _class_of(docs: DataFrame, column: str) -> tuple[DataFrame, int]:
+def _class_of(docs: DataFrame, column: str, most: int | None) -> tuple[DataFrame, int]:
+    """Adds ``_class``: the place of the row's value among those of the training rows (``_held`` is false); the rest last."""
     if column not in docs.columns:
         return docs.withColumn("_class", F.lit(0)), 1
-    top = docs.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(CLASSES)
-    names = [r[0] for r in top.collect()]
+    value = F.col(column).cast("string")
+    top = docs.where(~F.col("_held") & value.isNotNull()).groupBy(value.alias("value")).count().orderBy(F.desc("count"), "value")
+    names = [r[0] for r in (top if most is None else top.limit(most)).collect()]
     known = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
-    place = F.coalesce(F.array_position(known, F.col(column)), F.lit(0)).cast("int")
+    place = F.coalesce(F.array_position(known, value), F.lit(0)).cast("int")
     return docs.withColumn("_class", F.when(place > 0, place - 1).otherwise(len(names))), len(names) + 1
 
 
@@ -132,7 +134,7 @@ def fit_pieces(vocabulary: DataFrame, pieces, classes: int, n: int, rounds: int)
             for batch in batches:
                 words, known = batch.column(0).to_pylist(), _counts_of(batch, 1) > 0
                 for a in range(0, len(words), WORDS):
-                    lattice = Lattice(words[a : a + WORDS], pieces.value)
+                    lattice = Lattice(words[a : a + WORDS], Pieces(*pieces.value))
                     for k in range(classes):
                         total[k] += lattice.expected(now.value[k], known[a : a + WORDS, k].astype(float))
             kind, piece = np.nonzero(total)
@@ -151,7 +153,8 @@ def fit_pieces(vocabulary: DataFrame, pieces, classes: int, n: int, rounds: int)
 
 
 def word_values(vocabulary: DataFrame, pieces, scores, totals: Counts) -> DataFrame:
-    """``hash, c, logs``: training count and log probability by class (without the class' share and end) of each word."""
+    """``hash, c, logs``: training count and log probability of each word by class (without the class' share and end), and
+    last by the pieces' first scores alone."""
     share = np.where(totals.tokens > 0, totals.mass / np.maximum(totals.tokens, 1), 1.0)
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +164,14 @@ def word_values(vocabulary: DataFrame, pieces, scores, totals: Counts) -> DataFr
             own = (counts - _discounts(counts)) / np.maximum(totals.tokens, 1)
             logs = []
             for a in range(0, len(words), WORDS):
-                lattice = Lattice(words[a : a + WORDS], pieces.value)
+                lattice = Lattice(words[a : a + WORDS], Pieces(*pieces.value))
                 spelled = np.stack([lattice.log_probabilities(s) for s in scores.value], axis=1)
+                given = lattice.log_probabilities(first_scores(lattice.n))
                 with np.errstate(divide="ignore"):
-                    logs.append(np.logaddexp(np.log(own[a : a + WORDS]), np.log(share) + spelled))
-            flat = np.concatenate(logs).astype(np.float32) if logs else np.empty((0, len(share)), np.float32)
-            ends = np.arange(len(flat) + 1, dtype=np.int32) * len(share)
+                    by_class = np.logaddexp(np.log(own[a : a + WORDS]), np.log(share) + spelled)
+                logs.append(np.column_stack([by_class, given]))
+            flat = np.concatenate(logs).astype(np.float32) if logs else np.empty((0, len(share) + 1), np.float32)
+            ends = np.arange(len(flat) + 1, dtype=np.int32) * (len(share) + 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(hashes.of([w.encode() for w in words]).view(np.int64)),
@@ -180,9 +185,19 @@ def word_values(vocabulary: DataFrame, pieces, scores, totals: Counts) -> DataFr
 
 
 def score_documents(
-    docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: str = VOCABULARY, class_column: str = "lang", rounds: int = ROUNDS
+    docs: DataFrame,
+    folds: int = 7,
+    held_out: int = 2,
+    vocabulary: str = VOCABULARY,
+    class_column: str = "lang",
+    rounds: int = ROUNDS,
+    most_classes: int | None = CLASSES,
 ) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row, scores in log10.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score`` of every row, in log10.
+
+    ``score`` is the fitted model's, ``lattice_score`` the product of the words' lattice marginals under the vocabulary's
+    first scores and of the end. ``most_classes``: how many values of the class column have a class of their own, the most
+    frequent among training rows (None: all of them); the others share one.
 
     Tokens are the white-space separated words, A to Z lower-cased, then one end. Rows whose CRC-32 of the id as text
     leaves ``held_out`` modulo ``folds`` are not learned from; a NULL id is learned from. ``base_score`` sums
@@ -190,29 +205,29 @@ def score_documents(
     repeated ids give repeated rows. Without training rows the pieces' first scores decide. Words are matched by
     64-bit hash.
     """
-    held = F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
-    docs, classes = _class_of(docs, class_column)
-    docs = docs.select("doc_id", "text", "_class", held.alias("_held"))
-    words = stage(count_words(docs, classes), "lm-words")
-    discounted = lambda k: F.when(F.col("counts")[k] == 0, 0.0).when(F.col("counts")[k] == 1, DISCOUNTS[0]).when(F.col("counts")[k] == 2, DISCOUNTS[1]).otherwise(DISCOUNTS[2])
-    sums = words.agg(
-        *[F.sum(F.col("counts")[k]) for k in range(classes)],
-        *[F.sum(discounted(k)) for k in range(classes)],
-        F.count_if(F.exists("counts", lambda c: c > 0)),
-    ).first()
-    ends = np.zeros(classes)
-    for r in docs.where(~F.col("_held")).groupBy("_class").count().collect():  # a row per class
-        ends[r["_class"]] = r["count"]
-    tokens, mass = (np.array([x or 0 for x in sums[a : a + classes]], float) for a in (0, classes))
-    totals = Counts(tokens, mass, ends, int(tokens.sum() + ends.sum()), int((sums[-1] or 0) + (ends.sum() > 0)))
-    spark = docs.sparkSession.sparkContext
-    texts = read_pieces(vocabulary)
-    pieces = spark.broadcast(Pieces.of(texts))
-    scores = fit_pieces(words, pieces, classes, len(texts), rounds)
-    values = stage(word_values(words, pieces, spark.broadcast(scores), totals), "lm-values")
-    out = _added_up(docs, values, totals)
-    unstage(words)
-    return out
+    with working() as keep:
+        held = F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
+        kept = [c for c in ("doc_id", "text", class_column) if c in docs.columns]
+        docs, classes = _class_of(docs.select(*dict.fromkeys(kept), held.alias("_held")), class_column, most_classes)
+        docs = docs.select("doc_id", "text", "_class", "_held")
+        words = stage(count_words(docs, classes), "lm-words")
+        discounted = lambda k: F.when(F.col("counts")[k] == 0, 0.0).when(F.col("counts")[k] == 1, DISCOUNTS[0]).when(F.col("counts")[k] == 2, DISCOUNTS[1]).otherwise(DISCOUNTS[2])
+        sums = words.agg(
+            *[F.sum(F.col("counts")[k]) for k in range(classes)],
+            *[F.sum(discounted(k)) for k in range(classes)],
+            F.count_if(F.exists("counts", lambda c: c > 0)),
+        ).first()
+        ends = np.zeros(classes)
+        for r in docs.where(~F.col("_held")).groupBy("_class").count().collect():  # a row per class
+            ends[r["_class"]] = r["count"]
+        tokens, mass = (np.array([x or 0 for x in sums[a : a + classes]], float) for a in (0, classes))
+        totals = Counts(tokens, mass, ends, int(tokens.sum() + ends.sum()), int((sums[-1] or 0) + (ends.sum() > 0)))
+        spark = docs.sparkSession.sparkContext
+        texts = read_pieces(vocabulary)
+        pieces = spark.broadcast(Pieces.of(texts).plain())
+        scores = fit_pieces(words, pieces, classes, len(texts), rounds)
+        values = stage(word_values(words, pieces, spark.broadcast(scores), totals), "lm-values")
+        return keep(stage(_added_up(docs, values, totals), "lm-scores"))
 
 
 def _frequent(values: DataFrame) -> int:
@@ -233,7 +248,7 @@ def _added_up(docs: DataFrame, values: DataFrame, totals: Counts) -> DataFrame:
     top = values.where(F.col("c") >= _frequent(values)).select("hash", "c", "logs").toArrow()  # at most TOP rows
     order = np.argsort(top["hash"].to_numpy().view(np.uint64))
     hashes, c = top["hash"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order]
-    logs = top["logs"].combine_chunks().flatten().to_numpy().reshape(-1, classes)[order]
+    logs = top["logs"].combine_chunks().flatten().to_numpy().reshape(-1, classes + 1)[order]
     held_values = spark.broadcast((hashes, c, logs))
     shift = np.log10(totals.n + totals.v + 1)
 
@@ -274,7 +289,7 @@ def _added_up(docs: DataFrame, values: DataFrame, totals: Counts) -> DataFrame:
     rare = rare.groupBy("_doc").agg(
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("_known"),
         F.sum(F.col("tf") * (F.log10(F.col("c") + 1.0) - float(shift))).alias("_base"),
-        *[F.sum(F.col("tf") * F.col("logs")[k].cast("double")).alias(f"_s{k}") for k in range(classes)],
+        *[F.sum(F.col("tf") * F.col("logs")[k].cast("double")).alias(f"_s{k}") for k in range(classes + 1)],
     )
     end = (totals.docs + 1) / (totals.tokens + totals.docs + 2)
     share = (totals.docs + 1) / (totals.docs.sum() + classes)
@@ -283,6 +298,8 @@ def _added_up(docs: DataFrame, values: DataFrame, totals: Counts) -> DataFrame:
         F.lit(float(np.log(share[k]) + np.log(end[k]))) + every * float(np.log1p(-end[k])) + F.col("sums")[k] + F.coalesce(f"_s{k}", F.lit(0.0))
         for k in range(classes)
     ]
+    e = float((totals.docs.sum() + 1) / (totals.tokens.sum() + totals.docs.sum() + 2))
+    given = float(np.log(e)) + every * float(np.log1p(-e)) + F.col("sums")[classes] + F.coalesce(f"_s{classes}", F.lit(0.0))
     most = F.greatest(*by_class) if classes > 1 else by_class[0]
     of_end = float(np.log10(totals.docs.sum() + 1) - shift)
     total = F.lit(0.0)
@@ -297,4 +314,5 @@ def _added_up(docs: DataFrame, values: DataFrame, totals: Counts) -> DataFrame:
         F.lit(totals.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", F.lit(0.0)) + of_end).alias("base_score"),
         ((F.col("_most") + F.log(total)) / float(np.log(10))).alias("score"),
+        (given / float(np.log(10))).alias("lattice_score"),
     )

@@ -105,7 +105,8 @@ def bounded_sample(ids: DataFrame, limit: int) -> DataFrame:
 def collect_rows(docs: DataFrame, wanted: DataFrame, bits: int, with_shapes: bool) -> dict:
     """Features of the documents in ``wanted`` (``doc_id`` and one more column; bounded) as numpy rows on the driver.
 
-    Rows that are equal in features and mark count once, so copies of a text do not outweigh it.
+    One row per id: of rows that repeat it, the one whose text has the smallest SHA-256 (NULL first), so the bound on ids
+    bounds the rows. Rows that are equal in features and mark count once, so copies of a text do not outweigh it.
     """
     mark = next(c for c in wanted.columns if c != "doc_id")
 
@@ -123,7 +124,9 @@ def collect_rows(docs: DataFrame, wanted: DataFrame, bits: int, with_shapes: boo
             )
 
     sample = docs.select("doc_id", "text").join(F.broadcast(wanted.withColumnRenamed(mark, "mark")), "doc_id")
-    sample = sample.select(F.col("mark").cast("long"), "text")
+    digest = F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
+    sample = sample.groupBy("doc_id").agg(F.first("mark").cast("long").alias("mark"), F.min_by("text", digest).alias("text"))
+    sample = sample.select("mark", "text")
     got = sample.mapInArrow(featurized, "mark long, slots binary, values binary").toArrow()
     rows = sorted(set(zip(*(got[c].to_pylist() for c in ("mark", "slots", "values")), strict=True)))
     return {

@@ -1,8 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic examples and unlabelled texts train a linear classifier on hashed words. With the class prior ``p`` the
-risk is ``p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)])``: what unlabelled texts cost as negatives, less the toxic share in
-them, and never below zero. Where a batch's second part falls below zero, the step goes the other way on that part alone,
+Confirmed toxic examples and unlabelled texts train a linear classifier on hashed words. With the class prior ``p`` and the
+toxic share ``q`` among the unlabelled texts the risk is ``p E+[l(f)] + (1 - p) / (1 - q) max(0, Eu[l(-f)] - q E+[l(-f)])``:
+what unlabelled texts cost as negatives, less the toxic ones in them, and never below zero. Unlabelled are all texts that
+are not confirmed as toxic, so ``q`` is what the prior leaves when those are taken out. Where a batch's second part falls below zero, the step goes the other way on that part alone,
 so the model cannot gain by fitting single examples. ``l`` is the logistic loss, so the sigmoid of ``f`` is a probability.
 """
 
@@ -48,17 +49,25 @@ def fit(
     positive: Rows,
     unlabelled: Rows,
     prior: float,
+    left: float | None = None,
     epochs: int = 100,
     rate: float = 0.3,
     decay: float = 1e-5,
     least: float = 3.0,
     needed: int = 4,
 ) -> Toxicity:
-    """Full-batch steps on both samples. Without positives every score is the prior, without unlabelled texts too."""
+    """Full-batch steps on both samples; ``left``: the toxic share of the unlabelled one (default: the prior).
+
+    Without positives every score is the prior. Positives without unlabelled texts are an error: nothing tells them apart.
+    """
     weights = np.zeros(positive.width)
     bias = np.array([np.log(prior / (1 - prior))])
-    if not positive.n or not unlabelled.n:
+    if not positive.n:
         return Toxicity(weights, float(bias[0]), prior)
+    if not unlabelled.n:
+        raise ValueError("toxic examples but no other documents to learn from")
+    left = prior if left is None else left
+    part = (1 - prior) / (1 - left)
     scale = evidence(positive, unlabelled, least, needed)
     used = np.flatnonzero(scale)
     positive, unlabelled, scale = positive.only(used), unlabelled.only(used), scale[used]
@@ -67,9 +76,9 @@ def fit(
     for _ in range(epochs):
         fp, fu = positive.dot(w * scale) + bias, unlabelled.dot(w * scale) + bias
         sp, su = sigmoid(fp), sigmoid(fu)
-        as_negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        up, un = prior * (sp - 1) / positive.n, su / unlabelled.n
-        off = -prior * sp / positive.n
+        as_negative = np.logaddexp(0, fu).mean() - left * np.logaddexp(0, fp).mean()
+        up, un = prior * (sp - 1) / positive.n, part * su / unlabelled.n
+        off = -part * left * sp / positive.n
         gp, gu = (up + off, un) if as_negative >= 0 else (-off, -un)
         adam.step([scale * (positive.back(gp) + unlabelled.back(gu)) + decay * w, np.array([gp.sum() + gu.sum()])])
     weights[used] = w * scale
@@ -77,21 +86,25 @@ def fit(
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Toxicity:
-    """Learns from labelled toxic rows and unlabelled documents, at most ``POSITIVES`` and ``UNLABELLED`` of them.
+    """Learns from labelled toxic rows and other documents, from at most ``POSITIVES`` and ``UNLABELLED`` ids of each.
 
     ``prior``: the share of toxic texts; by default that among the labels given. Of the labels only the toxic ones are
-    examples. Rows with a NULL id or label are not used; an id labelled twice counts as toxic if any label says so.
+    examples; all documents that are not confirmed toxic are the unlabelled side, whether a label clears them or not.
+    Rows with a NULL id or label are not used; an id labelled twice counts as toxic if any label says so.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         prior = min(max(share or 0.0, 0.001), 0.999)
-    toxic = bounded_sample(known.where("toxic = 1").select("doc_id"), POSITIVES).withColumn("toxic", F.lit(1))
-    plain = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(known.select("doc_id"), "doc_id", "left_anti")
-    plain = bounded_sample(plain, UNLABELLED).withColumn("toxic", F.lit(0))
+    confirmed = known.where("toxic = 1").select("doc_id")
+    toxic = bounded_sample(confirmed, POSITIVES).withColumn("toxic", F.lit(1))
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    every, met = ids.join(confirmed.withColumn("_c", F.lit(1)), "doc_id", "left").agg(F.count(F.lit(1)), F.count("_c")).first()
+    left = min(max((prior * every - met) / max(every - met, 1), 0.0005), prior)
+    plain = bounded_sample(ids.join(confirmed, "doc_id", "left_anti"), UNLABELLED).withColumn("toxic", F.lit(0))
     got = collect_rows(docs, toxic.union(plain), BITS, False)
     pick = lambda m: Rows(*[[got[k][i] for i in np.flatnonzero(got["marks"] == m)] for k in ("slots", "values")], 1 << BITS)
-    return fit(pick(1), pick(0), prior)
+    return fit(pick(1), pick(0), prior, left)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Toxicity, name: str = "score") -> DataFrame:

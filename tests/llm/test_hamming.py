@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidemark.llm import hamming
 
 
@@ -19,8 +21,8 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "id long, code long, distance string").repartition(4)
 
 
-def check(spark, rows, queries, k):
-    got = {(r.query_id, r["rank"], r.id, r.distance) for r in hamming.top_k(table(spark, rows), table(spark, queries), k).collect()}
+def check(spark, rows, queries, k, **options):
+    got = {(r.query_id, r["rank"], r.id, r.distance) for r in hamming.top_k(table(spark, rows), table(spark, queries), k, **options).collect()}
     rows, queries = ([r for r in set(t) if None not in r] for t in (rows, queries))
     assert got == brute(rows, queries, k)
 
@@ -44,3 +46,19 @@ def test_few_rows_nulls_repeats_and_none(spark):
 def test_sign_codes(spark):
     got = spark.createDataFrame([([1.0, -1.0, None, 2.0],), ([],), (None,)], "v array<float>").select(hamming.sign_code("v")).collect()
     assert [r[0] for r in got] == [9, 0, None]
+    with pytest.raises(Exception, match="64 bits, not 65"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<float>").select(hamming.sign_code("v")).collect()
+
+
+def test_cells_follow_the_number_of_codes(spark):
+    assert [hamming.cell_bits(n) for n in (0, 4 << 20, (4 << 20) + 1, 1 << 40)] == [6, 6, 7, 14]
+    dice = random.Random(3)
+    rows = [(i, signed(dice.getrandbits(64))) for i in range(900)]
+    check(spark, rows, rows[::60], 3, cell=8)  # 7 bits
+
+
+def test_a_cell_that_holds_every_code(spark):
+    """Codes that agree in all but a few bits of the last segment: three cells hold them all, in parts."""
+    dice = random.Random(2)
+    rows = [(i, dice.randrange(1 << 10)) for i in range(500)]
+    check(spark, rows, rows[::50], 6, cell=20)

@@ -6,9 +6,11 @@ bits of some segment, so after round r all rows up to that distance have been se
 ``k`` of its verified neighbours, and only open queries go on.
 
 Rows with equal codes are one class with its smallest ids, since no more of them can be among the k nearest. Classes and
-queries meet in cells: a segment and the ``ROUTE`` first bits of its value. A query visits the cells whose first bits are
-near enough and probes there for the rest of the radius; a cell hands on at most the k best of each query, and none that
-is farther than the query's k-th best so far. So no pairs are emitted but the best ones, and no cell needs a whole table.
+queries meet in cells: a segment and the first bits of its value, as many bits as leave about ``CELL`` classes to a cell. A
+query visits the cells whose first bits are near enough and probes there for the rest of the radius; a cell hands on at
+most the k best of each query, and none that is farther than the query's k-th best so far. Where codes agree in those bits
+so that a cell is larger, its classes are dealt into parts of that size and its visits go to each. So no pairs are emitted
+but the best ones, and no task holds more than a part.
 """
 
 from __future__ import annotations
@@ -25,30 +27,32 @@ from pyspark.sql import functions as F
 from tidemark.runtime import stage, unstage
 
 SEGMENTS, WIDTH = 4, 16
-ROUTE = 6  # 4 * 64 cells; more for many more codes
+CELL = 65_536  # classes of a cell or a part of one
+LEAST_ROUTE, MOST_ROUTE = 6, 14  # first bits of a segment that name a cell
 FAR = SEGMENTS * WIDTH + 1
 
 
 def sign_code(column: str) -> Column:
-    """The signs of the first 64 numbers of an array as the bits of a long (positive: 1); NULL stays NULL."""
-    bit = "transform(slice({0}, 1, 64), (x, i) -> if(coalesce(x, 0) > 0, shiftleft(1L, i), 0L))".format(f"`{column}`")
-    return F.expr(f"aggregate({bit}, 0L, (a, b) -> a | b)")
+    """The signs of an array of at most 64 numbers as the bits of a long (positive: 1); NULL stays NULL. More are an error."""
+    bit = "transform({0}, (x, i) -> if(coalesce(x, 0) > 0, shiftleft(1L, i), 0L))".format(f"`{column}`")
+    wide = F.raise_error(F.concat(F.lit("a sign code has 64 bits, not "), F.size(column).cast("string"))).cast("long")
+    return F.when(F.size(column) > SEGMENTS * WIDTH, wide).otherwise(F.expr(f"aggregate({bit}, 0L, (a, b) -> a | b)"))
 
 
 def masks(bits: int, flips: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(bits), flips)]
 
 
-def _probed(codes: np.ndarray, firsts: np.ndarray, queries: np.ndarray, spare: np.ndarray, bound: np.ndarray, segment: int, k: int):
+def _probed(codes: np.ndarray, firsts: np.ndarray, queries: np.ndarray, spare: np.ndarray, bound: np.ndarray, segment: int, k: int, route: int):
     """(query, code, distance) of the cell: segment distance as asked, at most k for each query, none beyond its bound."""
-    low = np.uint64((1 << (WIDTH - ROUTE)) - 1)
+    low = np.uint64((1 << (WIDTH - route)) - 1)
     rest = lambda x: (x >> np.uint64(WIDTH * segment)) & low
     order = np.argsort(rest(codes), kind="stable")
     codes, firsts = codes[order], firsts[order]
     values = rest(codes)
     for flips in np.unique(spare):
         own = np.flatnonzero(spare == flips)
-        probes = np.array(masks(WIDTH - ROUTE, int(flips)), np.uint64)
+        probes = np.array(masks(WIDTH - route, int(flips)), np.uint64)
         if not len(probes):
             continue
         for a in range(0, len(own), 256):
@@ -71,8 +75,8 @@ def _probed(codes: np.ndarray, firsts: np.ndarray, queries: np.ndarray, spare: n
             yield queries[asker[keep]], codes[at[keep]], distance[keep]
 
 
-def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (segment, cell): classes (spare -1) and queries; one cell at a time."""
+def _cells(batches: Iterator[pa.RecordBatch], k: int, route: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (segment, cell, part): classes (spare -1) and queries; one part at a time."""
     held: pa.Table | None = None
 
     def found(cell: pa.Table) -> pa.RecordBatch:
@@ -80,14 +84,14 @@ def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         code = cell.column("code").to_numpy().view(np.uint64)
         extra = cell.column("extra").to_numpy()
         q = spare >= 0
-        parts = list(_probed(code[~q], extra[~q], code[q], spare[q], extra[q], int(cell.column("segment")[0].as_py()), k)) if q.any() else []
+        parts = list(_probed(code[~q], extra[~q], code[q], spare[q], extra[q], int(cell.column("segment")[0].as_py()), k, route)) if q.any() else []
         columns = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3)]
         return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["query", "code", "distance"])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-        marks = [held.column(c).to_numpy() for c in ("segment", "cell")]
+        marks = [held.column(c).to_numpy() for c in ("segment", "cell", "part")]
         starts = [0, *(np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1).tolist()]
         for a, b in zip(starts, starts[1:], strict=False):
             yield found(held.slice(a, b - a))
@@ -96,14 +100,22 @@ def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield found(held)
 
 
-def _routed(rows: DataFrame) -> DataFrame:
+def cell_bits(n: int, cell: int = CELL) -> int:
+    """How many first bits of a segment leave about ``cell`` of ``n`` codes to a cell."""
+    bits = LEAST_ROUTE
+    while bits < MOST_ROUTE and n > cell << bits:
+        bits += 1
+    return bits
+
+
+def _routed(rows: DataFrame, route: int) -> DataFrame:
     """Each code under each segment, with the first bits of its value there."""
     out = rows.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))))
-    top = f"cast(shiftrightunsigned(code, {WIDTH} * segment + {WIDTH - ROUTE}) & {(1 << ROUTE) - 1} as int)"
+    top = f"cast(shiftrightunsigned(code, {WIDTH} * segment + {WIDTH - route}) & {(1 << route) - 1} as int)"
     return out.withColumn("cell", F.expr(top))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, cell: int = CELL) -> DataFrame:
     """``query_id, rank, id, distance``: the k nearest other rows of each query, by distance, then id.
 
     ``rows`` and ``queries`` have ``id, code`` (longs); NULLs in either are left out. A row with the query's own id is
@@ -117,21 +129,29 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     firsts = rows.withColumn("_rn", F.row_number().over(by_id)).where(F.col("_rn") <= wanted)
     classes = firsts.groupBy("code").agg(F.min("id").alias("first"), F.array_sort(F.collect_list("id")).alias("ids"))
     classes = stage(classes, "knn-classes")
-    index = _routed(classes.select("code", "first")).select("segment", "cell", "code", F.lit(-1).alias("spare"), F.col("first").alias("extra"))
+    route = cell_bits(classes.count(), cell)
+    index = _routed(classes.select("code", "first"), route)
+    large = index.groupBy("segment", "cell").count().where(F.col("count") > cell)  # a row per ``cell`` classes at most
+    large = stage(large.select("segment", "cell", F.ceil(F.col("count") / cell).cast("int").alias("_parts")), "knn-large")
+    parts = F.coalesce("_parts", F.lit(1))
+    of = ["segment", "cell"]
+    index = index.join(large, of, "left").withColumn("part", F.pmod(F.xxhash64("code"), parts).cast("int"))
+    index = index.select(*of, "part", "code", F.lit(-1).alias("spare"), F.col("first").alias("extra"))
     open_ = stage(queries.select("code").distinct().withColumn("bound", F.lit(FAR)), "knn-open")
     best = None
     for radius in range(WIDTH + 1):
-        turns = F.array(*[F.lit(m) for f in range(min(radius, ROUTE) + 1) for m in masks(ROUTE, f)])
-        visits = _routed(open_).withColumn("_mask", F.explode(turns))
+        turns = F.array(*[F.lit(m) for f in range(min(radius, route) + 1) for m in masks(route, f)])
+        visits = _routed(open_, route).withColumn("_mask", F.explode(turns))
+        visits = visits.withColumn("cell", F.col("cell").bitwiseXOR(F.col("_mask"))).join(large, of, "left")
         visits = visits.select(
-            "segment",
-            F.col("cell").bitwiseXOR(F.col("_mask")).alias("cell"),
+            *of,
+            F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
             "code",
             (radius - F.bit_count("_mask")).cast("int").alias("spare"),
             F.col("bound").cast("long").alias("extra"),
         )
-        met = index.union(visits).repartition("segment", "cell").sortWithinPartitions("segment", "cell", "spare")
-        new = met.mapInArrow(lambda b: _cells(b, wanted), "query long, code long, distance long")
+        met = index.union(visits).repartition(*of, "part").sortWithinPartitions(*of, "part", "spare")
+        new = met.mapInArrow(lambda b: _cells(b, wanted, route), "query long, code long, distance long")
         new = new.join(classes.select("code", "first", F.size("ids").alias("size")), "code").select("query", "code", "distance", "first", "size")
         pool = (new if best is None else new.unionByName(best)).distinct()
         nearest = F.row_number().over(W.partitionBy("query").orderBy("distance", "first"))

@@ -4,16 +4,21 @@ Dated entries (a pattern is listed or taken off on a day) become validity interv
 entries in force on the day it was fetched. A pattern is a domain, which covers its subdomains, or a host with the start of
 a path. A URL has no more keys such patterns can equal than labels and path segments, as deep as the list goes, so the
 join is on the key and the month, with the day compared within: a month of a pattern has at most as many intervals as
-days, however long its history, and adaptive execution may split the captures of one host.
+days, however long its history, and adaptive execution may split the captures of one host. Most keys of a URL, such as its
+top-level domain, are in no list: before they are written out as rows they are looked up in a bit table of the listed
+patterns, whose size is fixed, so they never reach the shuffle.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
+LISTED_BITS = 20  # 2 ** 20 bits, 128 KB: 1 in 10 of unlisted keys pass at 100,000 patterns, which the join then drops
 DEPTH = 3  # path segments of a URL that are keys unless the list says how many it needs
 
 
@@ -45,6 +50,20 @@ def validity(entries: DataFrame) -> DataFrame:
     return daily.withColumn("until", until).where(~F.col("_off")).select("pattern", F.col("day").alias("since"), "until")
 
 
+def listed_only(keys: Column, patterns: DataFrame, bits: int = LISTED_BITS) -> Column:
+    """The keys that may be among ``patterns.pattern``: those whose hash marks a bit that some pattern's marks."""
+    slot = lambda k: F.shiftrightunsigned(F.xxhash64(k), 64 - bits)
+    marked = patterns.select(slot(F.col("pattern")).alias("_s")).groupBy(F.shiftright("_s", 6).cast("int").alias("word"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_s").bitwiseAND(63).cast("int"))
+    words = marked.agg(F.bit_or(one).alias("value"))
+    table = [0] * (1 << (bits - 6))
+    for r in words.collect():  # at most as many as the table has
+        table[r["word"]] = r["value"]
+    held = F.from_json(F.lit(json.dumps(table)), "array<bigint>")  # folded to a literal array
+    word = lambda k: F.get(held, F.shiftright(slot(k), 6).cast("int"))
+    return F.filter(keys, lambda k: F.getbit(word(k), slot(k).bitwiseAND(63).cast("int")) == 1)
+
+
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``page_id, url, fetched, blocked, pattern, since`` of every capture (``page_id, url, fetched`` date).
 
@@ -68,7 +87,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         ),
     )
     asked = captures.where("fetched IS NOT NULL AND url IS NOT NULL").distinct()
-    asked = asked.withColumns({"pattern": F.explode(url_keys(F.col("url"), depth)), "month": month(F.col("fetched"))})
+    keys = listed_only(url_keys(F.col("url"), depth), spans)
+    asked = asked.withColumns({"pattern": F.explode(keys), "month": month(F.col("fetched"))})
     met = asked.join(spans, ["pattern", "month"]).where("since <= fetched AND (until IS NULL OR fetched < until)")
     # the longest pattern, then the first by name, of each capture
     rank = F.min_by(F.struct("pattern", "since"), F.struct(-F.length("pattern"), F.col("pattern")))

@@ -68,3 +68,20 @@ def test_kept_fingerprints_cover_every_window():
         at = winnow.kept(hashes, 6)
         assert all(((at >= k) & (at < k + 6)).any() for k in range(n - 5))
     assert len(winnow.kept(hashes[:5], 6)) == 0
+
+
+def test_a_common_opening_joins_nothing(spark, monkeypatch):
+    """Items and documents that share nine words, and so kept fingerprints, but no window: they do not meet."""
+    stem = "which of the following is the one right answer"
+    items = [(i, f"{stem} " + " ".join(f"i{i}w{k}" for k in range(20))) for i in range(60)]
+    docs = [(i, f"d{i} e{i} {stem} " + " ".join(f"d{i}w{k}" for k in range(40))) for i in range(80)]
+    docs.append((1000, "so " + items[7][1]))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    read, spans = winnow.decontaminate(rows.docs(spark, docs).select(winnow.F.col("doc_id").cast("long"), "text"), table)
+    found = {(r.doc_id, r.item_id) for r in spans.join(read, "_doc").collect()}
+    assert found == {(1000, "7")}
+    prints, _ = winnow.item_fingerprints(table)
+    of_fp = prints.groupBy("fp").agg(winnow.F.count_distinct("_item").alias("items"), winnow.F.count_distinct("key").alias("keys"))
+    most = of_fp.orderBy(winnow.F.desc("items")).first()
+    assert most["items"] == 60 and most["keys"] >= 60  # one fingerprint in all items, a window of its own in each
+    check(spark, docs, items)

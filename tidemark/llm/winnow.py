@@ -6,8 +6,13 @@ span, so joining fingerprints finds every such span. A hit carries the words aro
 reach; it is extended over them while both sides agree, and counts if it comes to ``window`` words. The words themselves
 are compared, so a hash collision cannot make a hit. Items shorter than a window have one fingerprint, of all their words.
 
-Documents are read once. Before a fingerprint leaves its task it is looked up in a Bloom filter of the items'
-fingerprints, whose size is a parameter and not a matter of the data; what passes wrongly is lost in the join.
+Many texts share a k-gram without sharing a window, such as the opening of a question. So a fingerprint is joined together
+with the windows around it, a hash each, and items whose windows have the same words are one context until the end: rows are
+joined only where a window is shared, and once for all items that have it.
+
+Documents are read once. Before a fingerprint leaves its task it is looked up, with its windows, in a Bloom filter of the
+items' fingerprints and windows, whose size is a parameter and not a matter of the data; what passes wrongly is lost in
+the join.
 """
 
 from __future__ import annotations
@@ -22,11 +27,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
 from tidemark.llm.text import WordHashes, alphanumeric_words, gram_hashes
-from tidemark.runtime import stage, unstage
+from tidemark.runtime import stage, unstage, working
 
 WINDOW, GRAM = 10, 5
 FILTER_BITS = 23  # 2 ** 23 bits, 1 MB: 1 in 100 of unrelated fingerprints pass at about 400,000 item fingerprints
-HITS = "array<struct<fp long, n int, pos int, lead int, words array<string>>>"
+HITS = "array<struct<fp long, key long, n int, pos int, lead int, words array<string>>>"
 
 
 def kept(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -39,26 +44,37 @@ def kept(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def fingerprints(words: list[bytes], hashes: np.ndarray, lengths: list[int], window: int, gram: int, passes):
-    """``(fp, n, pos, lead, words around)`` of the kept k-grams that ``passes`` lets through, and of all runs of ``lengths``."""
+    """``(fp, key, n, pos, lead, words)`` of the kept k-grams, once for each window around them, and of all runs of ``lengths``.
+
+    ``key`` is the hash of the window, ``words`` are its words, ``pos`` the place of its first one and ``lead`` that of the
+    k-gram within it. Only fingerprints and windows that ``passes`` lets through are given.
+    """
     grams = gram_hashes(hashes, gram)
     at = kept(grams, window - gram + 1)
-    found = [(grams[at], gram, at, window - gram)]
+    at = at[passes(grams[at])]
+    if len(at):
+        windows = gram_hashes(hashes, window)
+        pos = np.repeat(at, window - gram + 1) - np.tile(np.arange(window - gram + 1), len(at))
+        of = np.repeat(at, window - gram + 1)
+        inside = (pos >= 0) & (pos < len(windows))
+        pos, of = pos[inside], of[inside]
+        through = passes(windows[pos])
+        for p, g in zip(pos[through].tolist(), of[through].tolist(), strict=True):
+            around = [w.decode("utf-8", "replace") for w in words[p : p + window]]
+            yield int(grams[g].view(np.int64)), int(windows[p].view(np.int64)), gram, p, g - p, around
     for n in lengths:
         runs = gram_hashes(hashes, n)
-        found.append((runs, -n, np.arange(len(runs)), 0))
-    for fps, n, places, reach in found:
-        through = passes(fps)
-        for fp, pos in zip(fps[through].view(np.int64).tolist(), places[through].tolist(), strict=True):
-            first = max(0, pos - reach)
-            around = words[first : pos + abs(n) + reach]
-            yield fp, n, pos, pos - first, [w.decode("utf-8", "replace") for w in around]
+        for p in np.flatnonzero(passes(runs)).tolist():
+            fp = int(runs[p].view(np.int64))
+            yield fp, fp, -n, p, 0, [w.decode("utf-8", "replace") for w in words[p : p + n]]
 
 
 def _hits_of(rows: list[list[tuple]]) -> pa.Array:
-    flat = [{"fp": a, "n": b, "pos": c, "lead": d, "words": e} for hits in rows for a, b, c, d, e in hits]
-    kind = pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("lead", pa.int32()), ("words", pa.list_(pa.string()))])
+    names = ("fp", "key", "n", "pos", "lead", "words")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+    flat = [dict(zip(names, hit, strict=True)) for hits in rows for hit in hits]
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.struct(list(zip(names, kinds, strict=True)))))
 
 
 def _reader(lengths: list[int], window: int, gram: int, filtered, bits: int, whole: bool) -> Callable:
@@ -86,24 +102,25 @@ def _reader(lengths: list[int], window: int, gram: int, filtered, bits: int, who
 
 
 def _extended(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Hits whose k-gram extends over equal words, left and right, to a whole window (or is a whole shorter item)."""
     for batch in batches:
         keep: list[tuple] = []
         rows = zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
-        for row, item, n, pos, lead, words, item_lead, item_words in rows:
+        for row, context, n, pos, lead, words, their_lead, their_words in rows:
             size = abs(n)
-            if words[lead : lead + size] != item_words[item_lead : item_lead + size]:
+            if words[lead : lead + size] != their_words[their_lead : their_lead + size]:
                 continue
             left = right = 0
-            while left < min(lead, item_lead) and words[lead - left - 1] == item_words[item_lead - left - 1]:
+            while left < min(lead, their_lead) and words[lead - left - 1] == their_words[their_lead - left - 1]:
                 left += 1
-            room = min(len(words) - lead, len(item_words) - item_lead) - size
-            while right < room and words[lead + size + right] == item_words[item_lead + size + right]:
+            room = min(len(words) - lead, len(their_words) - their_lead) - size
+            while right < room and words[lead + size + right] == their_words[their_lead + size + right]:
                 right += 1
             if n < 0 or left + size + right >= window:
-                keep.append((row, item, pos - left, pos + size + right))
+                keep.append((row, context, pos + lead - left, pos + lead + size + right))
         cols = list(zip(*keep, strict=True)) if keep else [[], [], [], []]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["_doc", "_item", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["_doc", "_context", "start", "end"])
 
 
 def item_fingerprints(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -118,13 +135,14 @@ def item_fingerprints(items: DataFrame, window: int = WINDOW, gram: int = GRAM)
     plain = stage(plain.where("text != ''").withColumn("_item", F.sha2("text", 256)), "items")
     texts = plain.groupBy("_item").agg(F.first("text").alias("text"))
     prints = texts.mapInArrow(_reader([], window, gram, None, 0, True), f"_item string, n_words long, hits {HITS}")
-    return stage(prints.select("_item", F.inline("hits")), "item-prints"), plain.select("_item", "item_id")
+    context = F.sha2(F.concat_ws(" ", "n", "lead", F.concat_ws(" ", "words")), 256).alias("_context")
+    return stage(prints.select("_item", F.inline("hits")).select("*", context), "item-prints"), plain.select("_item", "item_id")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """Documents with their word counts, and the spans that items share with them.
 
-    ``docs`` has ``doc_id, text``; ``items`` has ``item_id, text``. The first result has a row ``_doc, doc_id, n_words``
+    ``docs`` has ``doc_id, text``, the id of any type; ``items`` has ``item_id, text``. The first result has a row ``_doc, doc_id, n_words``
     per input row (``_doc`` tells repeated ids apart), the second ``_doc, item_id, start, end`` per hit, in words, end
     exclusive. Words are runs of letters, digits and non-ASCII characters, A to Z lower-cased. NULL and wordless texts
     have no words and no hits; an item of fewer words than a window occurs where all of them do; items with equal words
@@ -132,22 +150,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     """
     prints, ids = item_fingerprints(items, window, gram)
     lengths = sorted(-r["n"] for r in prints.where("n < 0").select("n").distinct().collect())  # at most window - 1
-    table = docs.sparkSession.sparkContext.broadcast(bloom.build(prints, "fp", bits))
-    read = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    looked_up = prints.select(F.explode(F.array("fp", "key")).alias("hash")).distinct()
+    table = docs.sparkSession.sparkContext.broadcast(bloom.build(looked_up, "hash", bits))
+    read = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
         _reader(lengths, window, gram, table, bits, False),
-        f"doc_id long, n_words long, hits {HITS}",
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, hits {HITS}",
     )
     read = stage(read.withColumn("_doc", F.monotonically_increasing_id()), "doc-prints")
-    theirs = prints.select("_item", "fp", "n", F.col("lead").alias("_lead"), F.col("words").alias("_words"))
-    met = read.select("_doc", F.inline("hits")).join(theirs, ["fp", "n"])
+    contexts = prints.groupBy("_context").agg(
+        *[F.first(c).alias(c) for c in ("fp", "key", "n")], F.first("lead").alias("_lead"), F.first("words").alias("_words")
+    )
+    met = read.select("_doc", F.inline("hits")).join(contexts, ["fp", "key", "n"])
     spans = (
-        met.select("_doc", "_item", "n", "pos", "lead", "words", "_lead", "_words")
-        .mapInArrow(lambda batches: _extended(batches, window), "_doc long, _item string, start long, end long")
+        met.select("_doc", "_context", "n", "pos", "lead", "words", "_lead", "_words")
+        .mapInArrow(lambda batches: _extended(batches, window), "_doc long, _context string, start long, end long")
         .distinct()
     )
     spans = stage(spans, "doc-spans")
+    of_item = stage(prints.select("_context", "_item").distinct().join(ids, "_item").select("_context", "item_id").distinct(), "item-contexts")
     unstage(prints)
-    return read.select("_doc", "doc_id", "n_words"), spans.join(ids, "_item").select("_doc", "item_id", "start", "end")
+    return read.select("_doc", "doc_id", "n_words"), spans.join(of_item, "_context").select("_doc", "item_id", "start", "end")
 
 
 def covered(spans: DataFrame) -> DataFrame:
@@ -165,16 +187,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     ``items_sha256`` is the digest of the ids of the items met, sorted as strings and joined by commas (of the empty
     string if there are none); NULL item ids are not listed.
     """
-    read, spans = decontaminate(docs, items, window, gram, bits)
-    met = spans.select("_doc", "item_id").distinct().groupBy("_doc").agg(
-        F.count("item_id").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_set("item_id"))).alias("_ids")
-    )
-    found = covered(spans).join(met, "_doc")
-    return read.join(found, "_doc", "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("_ids", F.lit("")), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-    )
+    with working() as keep:
+        read, spans = decontaminate(docs.select(F.col("doc_id").cast("long"), "text"), items, window, gram, bits)
+        met = spans.select("_doc", "item_id").distinct().groupBy("_doc").agg(
+            F.count("item_id").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_set("item_id"))).alias("_ids")
+        )
+        found = covered(spans).join(met, "_doc")
+        out = read.join(found, "_doc", "left").select(
+            "doc_id",
+            "n_words",
+            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+            F.sha2(F.coalesce("_ids", F.lit("")), 256).alias("items_sha256"),
+            (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        )
+        return keep(stage(out, "contamination"))

@@ -12,30 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, neardup, sharding, toxicity, winnow
-from tidemark.runtime import stage
+from tidemark.llm.places import free_name, placed
+from tidemark.runtime import stage, unstage, working
 
 SHARDS = 8
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """``name``, or the same with underscores before it if the table has such a column."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
-def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """The rows, written once, with a number of their own, and the name of its column: ids may be NULL or repeated."""
-    name = _free(docs, "place")
-    return stage(docs.withColumn(name, F.monotonically_increasing_id()), label), name
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose probability of toxicity is below one half; NULL and wordless texts stay. Learned from ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.train_part(docs), toxicity.train_part(labels))
-    name = _free(docs, "toxicity")
+    name = free_name(docs, "toxicity")
     return toxicity.score(spark, docs, model, name).where(F.col(name) < 0.5).drop(name)
 
 
@@ -46,22 +33,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the one with the smallest stays; of rows that repeat it, or have none, the one whose text has the smallest SHA-256.
     A row with an id is thus no reason to drop one without, nor the other way round. Texts without words all stay.
     """
-    rows, place = _numbered(docs, "single-rows")
-    found = neardup.near_duplicates(rows.select(F.col(place).alias("doc_id"), "text"))
-    id_ = F.col("doc_id").cast("long").alias("id")
-    keys = rows.select(F.col(place).alias("_place"), id_, F.sha2(F.col("text").cast("string"), 256).alias("digest"))
-    placed = found.select(F.col("doc_id").alias("_place"), "component_id").join(keys, "_place")
-    first = placed.groupBy("component_id", F.col("id").isNull()).agg(F.min(F.struct("id", "digest", "_place")).alias("_first"))
-    chosen = stage(first.select(F.col("_first._place").alias(place)), "single")
-    return rows.join(chosen, place, "left_semi").select(*docs.columns)
+    rows, place = placed(docs, "single-rows")
+    with working() as keep:
+        text = F.col("text").cast("string")
+        keyed = rows.select(F.col(place).alias("place"), F.col("doc_id").cast("long").alias("id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
+        found = neardup.linked(keyed).where("component IS NOT NULL").select("place", "id", "digest", "component")
+        found = stage(found, "single-groups")
+        of_group = found.groupBy("component", F.col("id").isNull().alias("no_id"))
+        first = of_group.agg(F.min(F.struct("id", "digest", "place")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        first = first.select(F.col("component").alias("_group"), "no_id", F.col("_first.place").alias("_kept"))
+        same = (F.col("component") == F.col("_group")) & (F.col("id").isNull() == F.col("no_id"))
+        copies = found.join(first, same).where("place != _kept").select(F.col("place").alias(place))
+        copies = keep(stage(copies, "single-copies"))
+    return rows.join(copies, place, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a benchmark window, each judged by its own text whatever its id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows, place = _numbered(docs, "clean-rows")
-    read, spans = winnow.decontaminate(rows.select(F.col(place).alias("doc_id"), "text"), items)
-    hit = stage(read.join(spans.select("_doc").distinct(), "_doc", "left_semi").select(F.col("doc_id").alias(place)), "contaminated")
+    rows, place = placed(docs, "clean-rows")
+    with working() as keep:
+        read, spans = winnow.decontaminate(rows.select(F.col(place).alias("doc_id"), "text"), items)
+        hit = read.join(spans.select("_doc").distinct(), "_doc", "left_semi").select(F.col("doc_id").alias(place))
+        hit = keep(stage(hit, "contaminated"))
     return rows.join(hit, place, "left_anti").select(*docs.columns)
 
 
@@ -76,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with ``shard`` and ``slot``, equal texts together."""
     placed = sharding.shard_documents(docs, SHARDS, carry=True)
-    new = [F.col(n).alias(_free(docs, n)) for n in ("shard", "slot")]
+    new = [F.col(n).alias(free_name(docs, n)) for n in ("shard", "slot")]
     return placed.select("row.*", *new)
 
 
@@ -92,8 +86,12 @@ ORACLE_SQL = None  # a trained classifier and signatures have no SQL; the tests
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. Only the last table is left staged: a stage's input and working tables are dropped
+    once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, work in STAGES:
-        docs = stage(work(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with working() as keep:
+            docs = keep(stage(work(spark, before, sf_dir), name.replace(" ", "-")))
+        unstage(before)
     return docs

@@ -80,3 +80,52 @@ def test_awkward_rows_and_reruns(spark):
     assert mixing.mix(rows.docs(spark, [])).count() == 0
     nothing = mixing.mix(rows.docs(spark, [(1, None), (2, "")])).collect()
     assert [r.taken for r in nothing] == [0, 0]
+
+
+def test_shards_get_their_quotas(spark):
+    docs, sizes = table(spark, 20)
+    want = targets(sizes, (5, 2, 1), 1.5, 2.0)
+    out = mixing.mix(docs, block=8, shards=4).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    got = defaultdict(int)
+    for r in out:
+        assert sum(p.words for p in r.shards) == r.taken and all(p.words > 0 for p in r.shards)
+        for p in r.shards:
+            got[source[r.doc_id], p.shard] += p.words
+    total = sum(want.values()) / 8
+    for h in range(4):
+        now, before = seats(want, round(total * (h + 1) / 4)), seats(want, round(total * h / 4))
+        for s in sizes:
+            assert got[s, h] == 8 * (now[s] - before[s]) or sum(got[s, k] for k in range(4)) == 2 * sizes[s]  # but for the cap
+
+
+def test_reruns_agree_on_rows_however_they_are_dealt(spark):
+    """Equal sizes, half the ids NULL, some repeated: the texts' hashes decide."""
+    words = [f"w{k} " * 5 for k in range(150)]
+    table_ = [(None if k % 2 else k % 11, words[k], "ab"[k % 2]) for k in range(150)]
+    runs = set()
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(table_, "doc_id long, text string, source string").repartition(parts)
+        out = mixing.mix(docs, block=4, carry=True).select("row.doc_id", "row.text", "taken").collect()
+        runs.add(tuple(sorted(map(tuple, out), key=str)))
+    assert len(runs) == 1 and len(next(iter(runs))) == 150
+
+
+def test_equal_rows_do_not_share_a_range(spark, monkeypatch):
+    """Half of the rows have neither id nor text."""
+    monkeypatch.setattr(mixing, "ordered", spy := Spy(mixing.ordered))
+    rows_ = spark.range(8000).selectExpr("if(id % 2 = 0, id, NULL) AS doc_id", "if(id % 2 = 0, concat('t', id), NULL) AS text", "'s' AS source")
+    mixing.mix(rows_.repartition(6)).count()
+    assert max(spy.sizes["mix-rows"]) <= 2 * 8000 / len(spy.sizes["mix-rows"])
+
+
+class Spy:
+    """Counts the rows of each range of the ordered tables."""
+
+    def __init__(self, work):
+        self.work, self.sizes = work, {}
+
+    def __call__(self, df, order, label):
+        out = self.work(df.repartition(8), order, label)
+        self.sizes[label] = [r["count"] for r in out.groupBy("_part").count().collect()]
+        return out

@@ -65,3 +65,12 @@ def test_carries_rows(spark):
     out = sharding.shard_documents(rows.docs(spark), 4, carry=True).select("row.*")
     assert out.columns == rows.docs(spark).columns
     assert sorted(map(str, out.collect())) == sorted(map(str, rows.docs(spark).collect()))
+
+
+def test_equal_rows_do_not_share_a_range(spark, monkeypatch):
+    from tests.llm.test_mixing import Spy
+
+    monkeypatch.setattr(sharding, "ordered", spy := Spy(sharding.ordered))
+    rows_ = spark.range(8000).selectExpr("if(id % 2 = 0, id, NULL) AS doc_id", "if(id % 2 = 0, concat('t', id), NULL) AS text")
+    out = sharding.shard_documents(rows_.repartition(6), 4)
+    assert out.count() == 8000 and max(spy.sizes["shard-rows"]) <= 2 * 8000 / len(spy.sizes["shard-rows"])

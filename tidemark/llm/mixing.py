@@ -18,8 +18,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.order import ordered, with_position, with_running
+from tidemark.llm.places import placed
 from tidemark.llm.text import word_count
-from tidemark.runtime import stage, unstage
+from tidemark.runtime import stage, unstage, working
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -116,51 +117,72 @@ def mix(
 ) -> DataFrame:
     """How many words the mix takes of each row of ``docs``.
 
-    Size is the number of words of the text (NULL: 0). Returns ``doc_id, size, source_size, target, blocks, taken`` and,
-    with ``carry``, ``row``: all input columns as a struct. A source's taken words are its blocks times ``block``, so
+    Size is the number of words of the text (NULL: 0). Returns ``doc_id, size, source_size, target, blocks, taken, shards``
+    and, with ``carry``, ``row``: all input columns as a struct. A source's taken words are its blocks times ``block``, so
     within half a block of its target unless the cap ends them; a row is taken whole as often as its source goes round,
-    and once more as far as the last round reaches. NULL sources are one source; a row without words has 0 taken; equal
-    rows are interchangeable; no rows give no rows. Runs agree, since only ids, sizes and the seed decide.
+    and once more as far as the last round reaches. ``shards`` lists ``(shard, words)``: the output shards that take the row
+    and how much of it, so that a shard gets its quota of blocks from each source. The order is seeded by id and text, and
+    rows equal in both are interchangeable, so runs agree however the rows are dealt, NULL and repeated ids included. NULL
+    sources are one source; a row without words has 0 taken; no rows give no rows. Only ids, sizes and hashes are put in
+    order; with ``carry`` the rows themselves are joined to the result once.
     """
-    rows = docs.select(
-        "doc_id", "source", word_count("text").alias("size"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else [])
-    )
-    dice = F.xxhash64(F.lit(seed), "doc_id")
-    rows = ordered(rows.withColumn("_dice", dice), [F.col("source").isNull(), "source", "_dice", "doc_id", "size"], "mix-rows")
-    targets = source_targets(rows, weights, share, cap)
-    quotas = shard_quotas(targets, block, shards)
-    blocks = quotas.groupBy("source").agg(F.sum("quota").alias("blocks"))
-    plan = targets.join(blocks, targets["source"].eqNullSafe(blocks["source"]), "left").select(
-        targets["source"].alias("_source"),
-        F.col("total").alias("source_size"),
-        "rank",
-        "target",
-        F.coalesce("blocks", F.lit(0)).cast("long").alias("blocks"),
-    )
-    plan = ordered(plan, ["rank"], "mix-plan")
-    plan = with_running(plan, "source_size", "_end").select(
-        "_source", "source_size", "target", "blocks", (F.col("_end") - F.col("source_size")).alias("_start")
-    )
-    plan = stage(plan, "mix-starts")
-    words = F.least(F.col("blocks") * block, F.floor(cap * F.col("source_size"))).cast("long")
-    low = F.col("_upto") - F.col("size") - F.col("_start")
-    joined = (
-        with_running(rows, "size", "_upto")
-        .join(plan, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumns({"_words": words, "_low": low})
-        .withColumn("_rounds", F.when(F.col("source_size") > 0, F.floor(F.col("_words") / F.col("source_size"))).otherwise(0))
-        .withColumn("_rest", F.col("_words") - F.col("_rounds") * F.col("source_size"))
-    )
-    reached = F.least(F.col("_low") + F.col("size"), F.col("_rest")) - F.least(F.col("_low"), F.col("_rest"))
-    return joined.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        "blocks",
-        (F.col("_rounds") * F.col("size") + reached).cast("long").alias("taken"),
-        *(["row"] if carry else []),
-    )
+    docs_, place = placed(docs, "mix-input")
+    with working() as keep:
+        read = docs_.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("_digest"), F.col(place).alias("_place"))
+        dice = F.xxhash64(F.lit(seed), "doc_id", "_digest")
+        order = [F.col("source").isNull(), "source", "_dice", "doc_id", "_digest", "_place"]
+        rows = ordered(read.withColumn("_dice", dice), order, "mix-rows")
+        targets = source_targets(rows, weights, share, cap)
+        quotas = shard_quotas(targets, block, shards)
+        up_to = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
+        blocks = quotas.withColumn("_upto", F.sum("quota").over(up_to)).groupBy("source").agg(
+            F.sum("quota").alias("blocks"), F.array_sort(F.collect_list(F.struct("shard", F.col("_upto").alias("upto")))).alias("_ends")
+        )
+        plan = targets.join(blocks, targets["source"].eqNullSafe(blocks["source"]), "left").select(
+            targets["source"].alias("_source"),
+            F.col("total").alias("source_size"),
+            "rank",
+            "target",
+            F.coalesce("blocks", F.lit(0)).cast("long").alias("blocks"),
+            "_ends",
+        )
+        plan = ordered(plan, ["rank"], "mix-plan")
+        plan = with_running(plan, "source_size", "_end").select(
+            "_source", "source_size", "target", "blocks", "_ends", (F.col("_end") - F.col("source_size")).alias("_start")
+        )
+        plan = stage(plan, "mix-starts")
+        words = F.least(F.col("blocks") * block, F.floor(cap * F.col("source_size"))).cast("long")
+        low = F.col("_upto") - F.col("size") - F.col("_start")
+
+        def within(taken: Column) -> Column:
+            """Words of the row among the first ``taken`` of its source, going round."""
+            round_ = F.nullif(F.col("source_size"), F.lit(0))
+            rest = F.pmod(taken, round_)
+            reached = F.least(F.col("_low") + F.col("size"), rest) - F.least(F.col("_low"), rest)
+            return F.coalesce(F.floor(taken / round_) * F.col("size") + reached, F.lit(0))
+
+        cut = lambda end: F.least(end["upto"] * block, F.col("_words"))
+        ends = F.transform("_ends", lambda e: F.struct(e["shard"].cast("int").alias("shard"), within(cut(e)).alias("upto")))
+        parts = F.transform(
+            "_cuts",
+            lambda e, i: F.struct(
+                e["shard"].alias("shard"),
+                (e["upto"] - F.when(i > 0, F.get(F.col("_cuts"), i - 1)["upto"]).otherwise(0)).cast("long").alias("words"),
+            ),
+        )
+        joined = (
+            with_running(rows, "size", "_upto")
+            .join(plan, F.col("source").eqNullSafe(F.col("_source")))
+            .withColumns({"_words": words, "_low": low})
+            .withColumn("_cuts", ends)
+            .withColumn("shards", F.coalesce(F.filter(parts, lambda p: p["words"] > 0), F.array().cast("array<struct<shard:int,words:bigint>>")))
+        )
+        out = joined.select("_place", "doc_id", "size", "source_size", "target", "blocks", within(F.col("_words")).cast("long").alias("taken"), "shards")
+        out = keep(stage(out, "mixed"))
+    if carry:
+        whole = docs_.select(F.col(place).alias("_place"), F.struct(*[docs_[c] for c in docs.columns]).alias("row"))
+        out = out.join(whole, "_place")
+    return out.drop("_place")
 
 
 def copies(taken: Column, size: Column) -> Column:

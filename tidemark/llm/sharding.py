@@ -5,7 +5,8 @@ small as any such cut can make it. The capacity is found by binary search, sever
 ``PROBES`` evenly spaced capacities at once, and a greedy step of all of them is one aggregate over the written running
 totals, bounded to the stretch where the next cuts can lie. The driver holds capacities and cuts, never groups.
 
-Everything is DataFrame expressions; no group of equal texts is ever gathered, since the order's last key is the row id.
+Everything is DataFrame expressions; no group of equal texts is ever gathered, since the order's last key is a mark of the
+row itself, and only sizes and digests are put in order.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.order import ordered, with_position, with_running
-from tidemark.runtime import stage, unstage
+from tidemark.llm.places import placed
+from tidemark.runtime import stage, unstage, working
 
 PROBES = 31
 
@@ -93,9 +95,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, carry: bool = False) -> Da
     """Each row's shard and slot, by law ``bytes``: shard sizes as even as groups of equal texts allow.
 
     Size is the text's UTF-8 bytes plus 1; a NULL text has none and goes with the empty ones. Groups are ordered by the
-    SHA-256 of their text, rows of a group by ``doc_id``, so a shard is a range of that order, and slots count from 0
-    within it. Returns ``doc_id, size, text_crc32, law, shard, slot`` and, with ``carry``, ``row``: all columns of the
-    input as a struct, so that columns named alike do not clash. NULL ids sort first; repeated rows each get a slot;
+    SHA-256 of their text, rows of a group by ``doc_id`` and then where they lie, so a shard is a range of that order, and
+    slots count from 0 within it. Returns ``doc_id, size, text_crc32, law, shard, slot`` and, with ``carry``, ``row``: all
+    columns of the input as a struct, so that columns named alike do not clash. NULL ids sort first; repeated rows each get a slot;
     rows that are equal in id and text are interchangeable. No rows give no rows; fewer groups than shards leave
     shards empty.
     """
@@ -106,25 +108,31 @@ def shard_documents(docs: DataFrame, shards: int = 8, carry: bool = False) -> Da
         F.crc32(text).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("_group"),
     ]
-    rows = docs.select(*wanted, *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []))
-    rows = ordered(rows, ["_group", "doc_id"], "shard-rows")
-    groups = ordered(rows.groupBy("_group").agg(F.sum("size").alias("size")), ["_group"], "shard-groups")
-    totals = stage(with_running(groups, "size").select("_group", "size", "upto"), "shard-totals", sort=["upto"])
-    cuts = minimax_cuts(totals, shards)
-    last = {r["upto"]: r["_group"] for r in totals.where(F.col("upto").isin(list(set(cuts.ends)))).collect()}  # at most `shards`
-    unstage(groups)
-    unstage(totals)
-    lowest = F.lit(0)
-    for end in cuts.ends[:-1]:
-        lowest = lowest + (F.col("_group") > F.lit(bytes(last[end]))).cast("int") if end in last else lowest + 1
-    placed = with_position(rows).withColumn("shard", lowest)
-    starts = placed.groupBy("shard").agg(F.min("position").alias("_start"))  # at most `shards` rows
-    return placed.join(F.broadcast(starts), "shard").select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("position") - F.col("_start")).alias("slot"),
-        *(["row"] if carry else []),
-    )
+    docs_, place = placed(docs, "shard-input")
+    with working() as keep:
+        rows = ordered(docs_.select(*wanted, F.col(place).alias("_place")), ["_group", "doc_id", "_place"], "shard-rows")
+        groups = ordered(rows.groupBy("_group").agg(F.sum("size").alias("size")), ["_group"], "shard-groups")
+        totals = stage(with_running(groups, "size").select("_group", "size", "upto"), "shard-totals", sort=["upto"])
+        cuts = minimax_cuts(totals, shards)
+        last = {r["upto"]: r["_group"] for r in totals.where(F.col("upto").isin(list(set(cuts.ends)))).collect()}  # at most `shards`
+        unstage(groups)
+        unstage(totals)
+        lowest = F.lit(0)
+        for end in cuts.ends[:-1]:
+            lowest = lowest + (F.col("_group") > F.lit(bytes(last[end]))).cast("int") if end in last else lowest + 1
+        numbered = with_position(rows).withColumn("shard", lowest)
+        starts = numbered.groupBy("shard").agg(F.min("position").alias("_start"))  # at most `shards` rows
+        out = numbered.join(F.broadcast(starts), "shard").select(
+            "_place",
+            "doc_id",
+            "size",
+            "text_crc32",
+            F.lit("bytes").alias("law"),
+            "shard",
+            (F.col("position") - F.col("_start")).alias("slot"),
+        )
+        out = keep(stage(out, "sharded"))
+    if carry:
+        whole = docs_.select(F.col(place).alias("_place"), F.struct(*[docs_[c] for c in docs.columns]).alias("row"))
+        out = out.join(whole, "_place")
+    return out.drop("_place")

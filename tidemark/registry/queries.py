@@ -339,19 +339,16 @@ def hashed_features(spark, folder):
 
 
 def hashed_feature_sums(spark, folder):
-    """Whatever the hash: each row's vector adds up to its number of columns, and equal rows have equal vectors. In as many
-    slots as here no two single values share one (``n_alike``: values with the same vector)."""
+    """Whatever the hash: each row's vector adds up to its number of columns, and equal rows have equal vectors. With enough
+    slots no two values share one (``n_alike_...``: values with the same vector)."""
     names = ["supplier", "sub_category"]
     products = standin.products(spark, folder, "sparse")
+    hashed = features.hash_categories(products, names, width=32).select(*names, vector_to_array("hashed_vec").alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-
-    def vectors(columns):
-        hashed = features.hash_categories(products, columns, width=1 << 16)
-        return hashed.select(*columns, vector_to_array("hashed_vec").alias("v"))
-
-    rows = vectors(names).groupBy(*names).agg(F.max(total).alias("total"), F.count_distinct("v").alias("n_vectors"))
+    rows = hashed.groupBy(*names).agg(F.max(total).alias("total"), F.count_distinct("v").alias("n_vectors"))
     for c in names:
-        alike = vectors([c]).groupBy("v").agg(F.collect_set(c).alias("_values"))
+        values = features.hash_categories(products.select(c).distinct(), [c], width=4096)
+        alike = values.groupBy(vector_to_array("hashed_vec").alias("v")).agg(F.collect_set(c).alias("_values"))
         alike = alike.select(F.explode("_values").alias(c), F.size("_values").cast("long").alias(f"n_alike_{c}"))
         rows = rows.join(alike, c)
     return rows.select(*names, "total", "n_vectors", *[f"n_alike_{c}" for c in names])

@@ -90,3 +90,41 @@ def test_components_of_paths_loops_and_repeats(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def template_texts(n):
+    """Texts that share 120 of 190 words, below the threshold."""
+    shared = " ".join(f"s{k}" for k in range(120))
+    return [(i, shared + " " + " ".join(f"own{i}x{k}" for k in range(70))) for i in range(n)]
+
+
+def test_templates_below_the_threshold_are_not_paired(spark, monkeypatch):
+    seen = []
+    real = neardup.stage
+    monkeypatch.setattr(neardup, "stage", lambda df, label: seen.append((label, out := real(df, label))) or out)
+    with neardup.working():
+        found = neardup.linked(spark.createDataFrame(template_texts(400), "doc_id long, text string"), "doc_id")
+        assert found.where("component != doc_id").count() == 0
+    assert dict(seen)["dup-live"] is not None and [label for label, _ in seen].count("dup-able-prefix") == 1
+
+
+def test_unlike_texts_of_one_id_do_not_hide_each_other(spark):
+    """What one text of an id has to itself does not count for its other text."""
+    base = " ".join(f"t{k}" for k in range(40))
+    near = base.replace("t20", "other")
+    check(spark, [(5, base), (5, " ".join(f"x{k}" for k in range(300))), (6, near), (7, near + " end"), (6, "x1 x2 x3 x4 x5 x6 x7 x8 x9")])
+
+
+def test_own_shingles_are_those_of_one_text(spark):
+    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [3, 4]), (3, [3, 5, 6, 7])], "_doc long, shingles array<long>")
+    assert {r._doc: r.own for r in neardup.own_shingles(sets).collect()} == {1: 2, 2: 1, 3: 3}
+
+
+def test_no_link_is_lost_beside_an_exact_join(spark):
+    """All documents of sf0.1 against the prefix-filter join, which can lose none."""
+    from tidemark.llm.ngramjoin import ngram_join
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    ours = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    exact = {r.doc_id: r.component_id for r in ngram_join(docs, width=5, least=75).collect()}
+    assert ours == exact and len(ours) == 10_000 and sum(i != c for i, c in exact.items()) > 500

@@ -20,6 +20,7 @@ such pairs misses ``MATCHES``; one in 200,000 misses ``SHARED``. More similar pa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +33,13 @@ from pyspark.sql import functions as F
 from tidemark.llm import bloom
 from tidemark.llm.graph import components
 from tidemark.llm.text import WordHashes, gram_hashes, spaced_words
-from tidemark.runtime import stage, unstage
+from tidemark.runtime import stage, unstage, working
 
 SHINGLE = 5
 COORDINATES, MATCHES = 768, 529
 POSTED, SHARED = 24, 8
 BLOCK = 256
-READ = "doc_id long, n_shingles long, key binary, posted array<long>"
-LIVE_BITS = 23  # of the Bloom filter of documents that may have partners: 1 MB
+FILTERED = 10_000_000  # documents that a Bloom filter of 16 MB tells apart; beyond it all sets go to the join
 
 
 def shingle_set(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -76,23 +76,28 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    functions = hash_functions(POSTED)
-    places = np.arange(POSTED, dtype=np.uint64) << np.uint64(32)
-    seen = WordHashes()
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for first in range(0, len(ids), 500):
-            counts, keys, posted = [], [], []
-            for text in texts.slice(first, 500):
-                shingles = shingle_set(seen.of(spaced_words(text.as_py())))
-                counts.append(len(shingles))
-                keys.append(_key(shingles) if len(shingles) else None)
-                posted.append(places | signature(shingles, functions) if len(shingles) else np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, 500), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), _lists(posted)],
-                names=["doc_id", "n_shingles", "key", "posted"],
-            )
+def _reader(names: list[str]):
+    """Arrow batches with the text last to batches with its number of shingles, key and posted coordinates instead."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        functions = hash_functions(POSTED)
+        places = np.arange(POSTED, dtype=np.uint64) << np.uint64(32)
+        seen = WordHashes()
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                counts, keys, posted = [], [], []
+                for text in part.column(part.num_columns - 1):
+                    shingles = shingle_set(seen.of(spaced_words(text.as_py())))
+                    counts.append(len(shingles))
+                    keys.append(_key(shingles) if len(shingles) else None)
+                    posted.append(places | signature(shingles, functions) if len(shingles) else np.empty(0, np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), _lists(posted)],
+                    names=[*names, "n_shingles", "key", "posted"],
+                )
+
+    return read
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -117,7 +122,7 @@ def _cell_pairs(cell: pa.Table) -> list[tuple[int, int]]:
     comps = cell.column("component").to_numpy()
     if len(nodes) < 2 or (comps == comps[0]).all():
         return []
-    sizes = cell.column("n_shingles").to_numpy()
+    sizes, own = cell.column("n_shingles").to_numpy(), cell.column("own").to_numpy()
     block = cell.column("block").to_numpy()
     prefixes = cell.column("prefix").to_pylist()
     marks = _signatures(cell.column("signature"))
@@ -126,6 +131,8 @@ def _cell_pairs(cell: pa.Table) -> list[tuple[int, int]]:
         others = np.flatnonzero(block == second)
         others = others[(comps[others] != comps[i]) & (others > i if first == second else True)]
         others = others[4 * np.minimum(sizes[others], sizes[i]) >= 3 * np.maximum(sizes[others], sizes[i])]
+        most = np.minimum(sizes[others] - own[others], sizes[i] - own[i])
+        others = others[7 * most >= 3 * (sizes[others] + sizes[i])]
         for j in others[(marks[others] == marks[i]).sum(axis=1) >= MATCHES]:
             if _met_first(prefixes[i], prefixes[j], key):
                 out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
@@ -153,39 +160,58 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sets(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """``node, n_shingles, signature, shingles`` of the documents in ``live`` (node, key), from a second pass over the texts.
+    """``_doc, node, n_shingles, signature, shingles`` of the documents in ``live`` (_doc, node, key), from a second pass.
 
-    Keeping every document's set from the first pass would take more room than the texts, and few are needed.
+    Keeping every document's set from the first pass would take more room than the texts, and few are needed: sets whose
+    key is in ``live``, each once a task, before one join by key. The filter of the keys grows with their number.
     """
-    hashes = live.select(F.xxhash64("node").alias("hash"))
-    table = docs.sparkSession.sparkContext.broadcast(bloom.build(hashes, "hash", LIVE_BITS))
+    n = live.count()
+    bits = max(16, math.ceil(math.log2(12 * n + 1)))
+    hashes = live.select(F.xxhash64("key").alias("hash"))
+    table = docs.sparkSession.sparkContext.broadcast(bloom.build(hashes, "hash", bits)) if n <= FILTERED else None
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, functions = WordHashes(), hash_functions(COORDINATES)
+        sent: set[bytes] = set()
 
         def short(shingles: np.ndarray) -> bytes:
             least = signature(shingles, functions)
             return (least ^ (least >> np.uint32(16))).astype(np.uint16).tobytes()
 
         for batch in batches:
-            batch = batch.filter(pa.array(bloom.passes(table.value, LIVE_BITS, batch.column(2).to_numpy().view(np.uint64))))
             for first in range(0, batch.num_rows, 500):
-                rows = [shingle_set(seen.of(spaced_words(t.as_py()))) for t in batch.column(1).slice(first, 500)]
+                found = [shingle_set(seen.of(spaced_words(t.as_py()))) for t in batch.column(0).slice(first, 500)]
+                keyed = {_key(r): r for r in found if len(r)}
+                if table is not None and keyed:
+                    hashes = np.array([xxhash.xxh64_intdigest(k, seed=42) for k in keyed], np.uint64)  # Spark's xxhash64
+                    passed = bloom.passes(table.value, bits, hashes)
+                    keyed = {k: r for (k, r), p in zip(keyed.items(), passed, strict=True) if p}
+                keyed = {k: r for k, r in keyed.items() if k not in sent}
+                if len(sent) > 200_000:
+                    sent.clear()
+                sent.update(keyed)
+                rows = list(keyed.values())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, 500),
-                        pa.array([_key(r) for r in rows], pa.binary()),
+                        pa.array(list(keyed), pa.binary()),
                         pa.array([len(r) for r in rows], pa.int64()),
                         pa.array([short(r) for r in rows], pa.binary()),
                         _lists(rows),
                     ],
-                    names=["node", "key", "n_shingles", "signature", "shingles"],
+                    names=["key", "n_shingles", "signature", "shingles"],
                 )
 
-    node = F.col("doc_id").cast("long")
-    read = docs.where(node.isNotNull()).select(node.alias("node"), "text", F.xxhash64(node).alias("hash"))
-    read = read.mapInArrow(sets, "node long, key binary, n_shingles long, signature binary, shingles array<long>")
-    return read.join(live.select("node", "key"), ["node", "key"]).drop("key")
+    read = docs.select(F.col("text").cast("string"))
+    read = read.mapInArrow(sets, "key binary, n_shingles long, signature binary, shingles array<long>")
+    whole = read.join(live.select("_doc", "node", "key"), "key").groupBy("key")
+    return whole.agg(*[F.first(c).alias(c) for c in ("_doc", "node", "n_shingles", "signature", "shingles")]).drop("key")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """``_doc, own``: how many shingles of a text are in no other one of ``sets``; counts merge before the shuffle."""
+    shingles = sets.select("_doc", F.explode("shingles").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.min("_doc").alias("_doc"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    return alone.groupBy("_doc").agg(F.count(F.lit(1)).alias("own"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,6 +222,101 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= 75 * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct()
 
 
+def linked(docs: DataFrame, node: str | None = None) -> DataFrame:
+    """All columns of ``docs`` but ``text``, and ``n_shingles, class_node, component`` of the text.
+
+    Nodes of the graph are the rows, numbered as they are read, or the values of the column ``node``: rows that share one
+    are one document, and those where it is NULL are not linked. ``class_node`` is the smallest node with the same set,
+    ``component`` the smallest that links reach; both are NULL where nothing can be linked.
+    """
+    names = [c for c in docs.columns if c != "text"]
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+    with working() as keep:
+        read = docs.select(*names, F.col("text").cast("string"))
+        read = read.mapInArrow(_reader(names), f"{kinds}n_shingles long, key binary, posted array<long>")
+        read = stage(read.withColumn("_doc", F.monotonically_increasing_id()), "dup-read")
+        node_of = F.col(node or "_doc")
+        usable = read.where(F.col("key").isNotNull() & node_of.isNotNull()).withColumn("node", node_of)
+        classes = usable.groupBy("key").agg(F.min(F.struct("node", "_doc")).alias("_rep"), F.count(F.lit(1)).alias("_n"))
+        classes = stage(classes.select("key", F.col("_rep.node").alias("class_node"), F.col("_rep._doc").alias("_doc"), "_n"), "dup-classes")
+
+        reps = usable.select("_doc", "node", "posted").join(classes.select("_doc"), "_doc")
+        posts = stage(reps.select("_doc", "node", F.explode("posted").alias("key")), "dup-posts")
+        shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        of_doc = W.partitionBy("_doc")
+        ranked = (
+            posts.join(shared, "key")
+            .withColumns(
+                {
+                    "_have": F.count(F.lit(1)).over(of_doc),
+                    "_weight": F.sum("n").over(of_doc),
+                    "_rank": F.row_number().over(of_doc.orderBy(F.desc("n"), F.desc("key"))),
+                }
+            )
+            .where((F.col("_have") >= SHARED) & (F.col("_rank") >= SHARED))
+        )
+        prefix = stage(ranked.select("_doc", "node", "key", "_weight"), "dup-prefix")
+        unstage(posts)
+        live = prefix.groupBy("_doc").agg(F.first("node").alias("node"), F.array_sort(F.collect_list("key")).alias("prefix"))
+        live = stage(live.join(usable.select("_doc", "key"), "_doc"), "dup-live")
+
+        sets = stage(shingle_sets(docs, live), "dup-sets")
+        own = sets.select("_doc", "n_shingles").join(own_shingles(sets), "_doc", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        able = stage(own.where(4 * F.col("own") <= F.col("n_shingles")).select("_doc", "own"), "dup-able")
+        whole, prefix = prefix, stage(prefix.join(able.select("_doc"), "_doc"), "dup-able-prefix")
+        unstage(whole)
+
+        centre = prefix.groupBy("key").agg(F.max(F.struct("_weight", (-F.col("node")).alias("_o"), "node")).alias("_c"), F.count(F.lit(1)).alias("n"))
+        stars = (
+            prefix.join(centre.where("n > 1").select("key", F.col("_c.node").alias("b")), "key")
+            .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+            .where("a != b")
+            .distinct()
+        )
+        marks = lambda k: sets.select(F.col("node").alias(k), F.col("signature").alias(f"m_{k}"))
+        stars = stars.join(marks("a"), "a").join(marks("b"), "b").select("a", "b", "m_a", "m_b").mapInArrow(_enough, "a long, b long")
+        links = stage(confirmed(stars.distinct(), sets), "dup-links")
+        first = stage(components(links, "dup-first"), "dup-first")
+
+        named = prefix.join(first, "node", "left").select("_doc", "node", "key", F.coalesce("component", "node").alias("component"))
+        named = stage(named, "dup-named")
+        mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+        mixed = mixed.where("_lo != _hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks"))
+        blocks = (
+            named.join(mixed, "key")
+            .withColumn("block", F.pmod(F.xxhash64("key", "_doc"), F.col("_blocks")).cast("int"))
+            .join(live.select("_doc", "prefix"), "_doc")
+            .join(sets.select("_doc", "n_shingles", "signature"), "_doc")
+            .join(able, "_doc")
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+            .select(
+                "key",
+                F.least("block", "_other").alias("first"),
+                F.greatest("block", "_other").alias("second"),
+                "block",
+                "node",
+                "component",
+                "n_shingles",
+                "own",
+                "signature",
+                "prefix",
+            )
+        )
+        cells = blocks.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
+        rest = stage(cells.mapInArrow(_cells, "a long, b long").distinct(), "dup-rest")
+        more = stage(confirmed(rest, sets), "dup-more")
+        grouped = stage(components(links.union(more), "dup-groups"), "dup-groups")
+        for t in (prefix, live, sets, able, links, first, named, rest, more):
+            unstage(t)
+
+        copies = classes.where("_n > 1").select("key", F.col("class_node").alias("_class"))
+        out = read.withColumns({"_node": F.when(F.col("key").isNotNull(), node_of), "key": F.when(node_of.isNotNull(), F.col("key"))})
+        out = out.join(copies, "key", "left").withColumn("class_node", F.coalesce("_class", "_node"))
+        out = out.join(grouped.select(F.col("node").alias("class_node"), "component"), "class_node", "left")
+        out = out.select(*names, "n_shingles", "class_node", F.coalesce("component", "class_node").alias("component"))
+        return keep(stage(out, "dup-result"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row per input row: ``doc_id, n_shingles, class_id, component_id, kept``.
 
@@ -205,84 +326,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is its own. Texts that are NULL, empty or white space have no shingles and no links. Rows that repeat an id are one
     document; a NULL id is never linked and is kept. Other columns are ignored; no rows give no rows.
     """
-    read = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_read, READ)
-    read = stage(read.withColumn("_doc", F.monotonically_increasing_id()), "dup-read")
-    usable = read.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = usable.groupBy("key").agg(F.min(F.struct("doc_id", "_doc")).alias("_rep"), F.count(F.lit(1)).alias("_n"))
-    classes = stage(classes.select("key", F.col("_rep.doc_id").alias("class_id"), F.col("_rep._doc").alias("_doc"), "_n"), "dup-classes")
-
-    reps = usable.select("_doc", F.col("doc_id").alias("node"), "posted").join(classes.select("_doc"), "_doc")
-    posts = stage(reps.select("_doc", "node", F.explode("posted").alias("key")), "dup-posts")
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    of_doc = W.partitionBy("_doc")
-    ranked = (
-        posts.join(shared, "key")
-        .withColumns(
-            {
-                "_have": F.count(F.lit(1)).over(of_doc),
-                "_weight": F.sum("n").over(of_doc),
-                "_rank": F.row_number().over(of_doc.orderBy(F.desc("n"), F.desc("key"))),
-            }
-        )
-        .where((F.col("_have") >= SHARED) & (F.col("_rank") >= SHARED))
-    )
-    prefix = stage(ranked.select("_doc", "node", "key", "_weight"), "dup-prefix")
-    unstage(posts)
-    live = prefix.groupBy("_doc").agg(F.first("node").alias("node"), F.array_sort(F.collect_list("key")).alias("prefix"))
-    live = stage(live.join(usable.select("_doc", "key"), "_doc"), "dup-live")
-
-    sets = stage(shingle_sets(docs, live), "dup-sets")
-
-    centre = prefix.groupBy("key").agg(F.max(F.struct("_weight", (-F.col("node")).alias("_o"), "node")).alias("_c"), F.count(F.lit(1)).alias("n"))
-    stars = (
-        prefix.join(centre.where("n > 1").select("key", F.col("_c.node").alias("b")), "key")
-        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        .where("a != b")
-        .distinct()
-    )
-    marks = lambda k: sets.select(F.col("node").alias(k), F.col("signature").alias(f"m_{k}"))
-    stars = stars.join(marks("a"), "a").join(marks("b"), "b").select("a", "b", "m_a", "m_b").mapInArrow(_enough, "a long, b long")
-    links = stage(confirmed(stars.distinct(), sets), "dup-links")
-    first = stage(components(links, "dup-first"), "dup-first")
-
-    named = prefix.join(first, "node", "left").select("_doc", "node", "key", F.coalesce("component", "node").alias("component"))
-    named = stage(named, "dup-named")
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    mixed = mixed.where("_lo != _hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks"))
-    blocks = (
-        named.join(mixed, "key")
-        .withColumn("block", F.pmod(F.xxhash64("key", "_doc"), F.col("_blocks")).cast("int"))
-        .join(live.select("_doc", "prefix"), "_doc")
-        .join(sets.select("node", "n_shingles", "signature"), "node")
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select(
-            "key",
-            F.least("block", "_other").alias("first"),
-            F.greatest("block", "_other").alias("second"),
-            "block",
-            "node",
-            "component",
-            "n_shingles",
-            "signature",
-            "prefix",
-        )
-    )
-    cells = blocks.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
-    rest = stage(cells.mapInArrow(_cells, "a long, b long").distinct(), "dup-rest")
-    more = stage(confirmed(rest, sets), "dup-more")
-    grouped = stage(components(links.union(more), "dup-groups"), "dup-groups")
-    for t in (prefix, live, sets, links, first, named, rest, more):
-        unstage(t)
-
-    copies = classes.where("_n > 1").select("key", F.col("class_id").alias("_class"))
-    out = read.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(copies, "key", "left")
-    out = out.withColumn("class_id", F.coalesce("_class", "doc_id"))
-    out = out.join(grouped.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    component = F.coalesce("component", "class_id")
-    return out.select(
+    found = linked(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
+    component = F.coalesce("component", "doc_id")
+    return found.select(
         "doc_id",
         "n_shingles",
-        "class_id",
+        F.coalesce("class_node", "doc_id").alias("class_id"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )

@@ -84,30 +84,31 @@ def test_links_reach_along_a_chain(spark):
     assert got == brute(rows, 3, 90) and {c for _, _, c in got} == {0}
 
 
-def test_lists_with_several_components_in_blocks(spark, monkeypatch):
-    """With stars that find nothing every link comes from the cells."""
+@pytest.mark.parametrize("block", [7, 1000])
+def test_lists_with_several_components_in_blocks(spark, monkeypatch, block):
+    """With stars that find nothing every link comes from the cells: enough of them, and fewer than members."""
     dice = random.Random(5)
     base = [f"b{k}" for k in range(120)]
     rows = [(i, " ".join(edited(dice, base, 0.008))) for i in range(80)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = ngramjoin.live_sets(frame, live_of(spark, rows), 3)
-    calls = []
-    real = ngramjoin.verified
-
-    def once(pairs, sets, least):
-        calls.append(1)
-        return real(pairs.limit(0) if len(calls) == 1 else pairs, sets, least)
-
-    monkeypatch.setattr(ngramjoin, "verified", once)
-    links = {(r["a"], r["b"]) for r in ngramjoin.links_of(sets, block=7).collect()}
+    sets = ngramjoin.live_sets(spark.createDataFrame(rows, "doc_id long, text string"), live_of(spark, rows), 3)
+    monkeypatch.setattr(ngramjoin, "verified", lambda pairs, sets, least: pairs.limit(0))
+    made = [(r["a"], r["b"]) for r in ngramjoin.links_of(sets, block=block).collect()]
     kept = {r["node"]: set(r["tokens"]) for r in sets.collect()}
-    want = {
-        (a, b)
-        for a in kept
-        for b in kept
-        if a < b and 100 * len(kept[a] & kept[b]) >= 90 * len(kept[a] | kept[b])
-    }
-    assert links == want and len(want) > 100
+    alike = lambda a, b: 100 * len(kept[a] & kept[b]) >= 90 * len(kept[a] | kept[b])
+    assert all(alike(a, b) for a, b in made)
+    parts = {frozenset(p) for p in joined(kept, made)}
+    assert parts == {frozenset(p) for p in joined(kept, [(a, b) for a in kept for b in kept if a < b and alike(a, b)])}
+    assert max(map(len, parts)) > 20
+
+
+def joined(nodes, links):
+    part = {n: {n} for n in nodes}
+    for a, b in links:
+        if part[a] is not part[b]:
+            part[a] |= part[b]
+            for n in part[b]:
+                part[n] = part[a]
+    return list({id(p): p for p in part.values()}.values())
 
 
 def live_of(spark, rows):

@@ -15,8 +15,10 @@ and only pairs that pass under every order are verified on their full sets. No p
 4. Every list elects the member with the fewest tokens of its own, the centre of a group of edited copies, and pairs each
    other member with it alone. Pairs that share prefix tokens under the other orders too are verified, and the links
    joined into first components.
-5. Only lists that still hold several components are gone through in full, in pairs of blocks of about ``BLOCK`` members.
-   A cell tests pairs from two components against sizes, own tokens and all orders, and what passes is verified.
+5. Only lists that still hold several components are gone through in full, in pairs of blocks of at most about ``BLOCK``
+   members and ``BLOCK_TOKENS`` tokens. A cell tests pairs from two components against sizes, own tokens and all orders,
+   each pair under its first common token alone, and verifies what passes on the full sets. A link joins two components
+   for the rest of the cell, so a cell hands on fewer links than it has members, however many of its pairs are alike.
 
 Links within a component add nothing to the result, so no group of copies is ever written out as pairs.
 """
@@ -43,7 +45,7 @@ from tidemark.runtime import stage, staging, unstage, working
 WIDTH, LEAST = 3, 90  # words to a token; similarity in hundredths
 ORDERS = 3
 SAMPLE = 4
-BLOCK = 256
+BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 FILTERED = 10_000_000  # classes that a filter of 16 MB tells apart; beyond it all sets go to the join
 
 
@@ -174,14 +176,15 @@ def _meeting(prefix: list[np.ndarray], mine: np.ndarray) -> np.ndarray:
     return np.bincount(owner[hit], minlength=len(prefix)) > 0
 
 
-def cell_pairs(least: int, others: list[str]) -> Callable[[pa.Table], pa.Table]:
-    """Candidates of one cell: from two components, of fit sizes, one met early enough, and met under the other orders."""
+def cell_links(least: int, others: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Links of one cell between components: candidates of fit sizes, met early enough and under all orders, verified."""
 
-    def pairs(cell: pa.Table) -> pa.Table:
+    def links(cell: pa.Table) -> pa.Table:
         node, n, own, block, comp = (cell.column(c).to_numpy() for c in ("node", "n", "own", "block", "component"))
-        early = cell.column("early").to_numpy(zero_copy_only=False)
-        prefix = {c: [np.array(x, np.int64) for x in cell.column(c).to_pylist()] for c in others}
-        first, second = cell.column("first")[0].as_py(), cell.column("second")[0].as_py()
+        comp, early = comp.copy(), cell.column("early").to_numpy(zero_copy_only=False)
+        numbers = lambda c: [x.values.to_numpy() for x in cell.column(c)]
+        prefix, first_order, tokens = {c: numbers(c) for c in others}, numbers("p0"), numbers("tokens")
+        token, first, second = (cell.column(c)[0].as_py() for c in ("token", "first", "second"))
         out: list[tuple[int, int]] = []
         for i in np.flatnonzero(block == first):
             j = np.flatnonzero(block == second)
@@ -191,10 +194,21 @@ def cell_pairs(least: int, others: list[str]) -> Callable[[pa.Table], pa.Table]:
             j = j[early[smaller] & (100 * np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i])) & ((100 + least) * most >= least * (n[j] + n[i]))]
             for c in others:
                 j = j[_meeting([prefix[c][k] for k in j], prefix[c][i])] if len(j) else j
-            out += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in j]
+            for k in j:
+                if comp[k] == comp[i]:
+                    continue
+                # a pair is tested under the first token at which the smaller set meets the larger early enough
+                small, large = (k, i) if (n[k], node[k]) < (n[i], node[i]) else (i, k)
+                reach = n[small] * (100 - least) // (100 + least) + 1 - own[small]
+                if first_order[small][:reach][np.isin(first_order[small][:reach], first_order[large])][0] != token:
+                    continue
+                shared = len(np.intersect1d(tokens[i], tokens[k], assume_unique=True))
+                if 100 * shared >= least * (n[i] + n[k] - shared):
+                    out.append((int(min(node[i], node[k])), int(max(node[i], node[k]))))
+                    comp[comp == comp[k]] = comp[i]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return pairs
+    return links
 
 
 def links_of(sets: DataFrame, least: int = LEAST, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
@@ -203,6 +217,8 @@ def links_of(sets: DataFrame, least: int = LEAST, orders: int = ORDERS, block: i
     with staging() as keep:
         prefix = keep(prefixes(sets, least, orders), "join-prefix")
         under = [F.array_sort(F.collect_list(F.when(F.col(f"r{k}") <= F.col("need"), F.col("token")))).alias(f"p{k}") for k in range(1, orders)]
+        by_rank = F.array_sort(F.collect_list(F.when(F.col("r0") <= F.col("need"), F.struct("r0", "token"))))
+        under.append(F.transform(by_rank, lambda x: x["token"]).alias("p0"))
         sides = prefix.groupBy("node").agg(F.first("n").alias("n"), F.first("own").alias("own"), *under)
         sides = keep(sides, "join-sides")
         early = F.col("own") + F.col("r0") <= F.expr(f"n * {100 - least} div {100 + least}") + 1
@@ -213,7 +229,7 @@ def links_of(sets: DataFrame, least: int = LEAST, orders: int = ORDERS, block: i
 
         stars = posts.join(lists, "token").where("node != centre")
         stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        side = lambda k: sides.select(*[F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in sides.columns])
+        side = lambda k: sides.select(*[F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in sides.columns if c != "p0"])
         met = able(*[F.col(c) for c in ("n_a", "own_a", "n_b", "own_b")], least)
         for c in others:
             met = met & F.arrays_overlap(f"{c}_a", f"{c}_b")
@@ -223,16 +239,16 @@ def links_of(sets: DataFrame, least: int = LEAST, orders: int = ORDERS, block: i
         first = keep(components(links, "join-first"), "join-components")
         named = posts.join(lists.select("token"), "token").join(first, "node", "left")
         named = keep(named.withColumn("component", F.coalesce("component", "node")), "join-named")
-        mixed = named.groupBy("token").agg(size, F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        mixed = mixed.where("_lo != _hi").select("token", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+        mixed = named.groupBy("token").agg(size, F.sum("n").alias("_all"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+        blocks = F.ceil(F.greatest(F.col("_n") / block, F.col("_all") / BLOCK_TOKENS)).cast("int")
+        mixed = mixed.where("_lo != _hi").select("token", blocks.alias("_blocks"))
         cells = named.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("token", "node"), F.col("_blocks")).cast("int"))
         cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         cells = cells.withColumns({"first": F.least("block", "_other"), "second": F.greatest("block", "_other")})
-        cells = cells.join(sides.select("node", *others), "node") if others else cells
-        cells = cells.select("token", "first", "second", "block", "node", "n", "own", "early", "component", *others)
-        rest = cells.groupBy("token", "first", "second").applyInArrow(cell_pairs(least, others), "a long, b long").distinct()
-        rest = keep(rest, "join-rest")
-        return stage(links.union(verified(rest, sets, least)), "join-all-links")
+        cells = cells.join(sides.select("node", "p0", *others), "node").join(sets.select("node", "tokens"), "node")
+        cells = cells.select("token", "first", "second", "block", "node", "n", "own", "early", "component", "p0", *others, "tokens")
+        rest = cells.groupBy("token", "first", "second").applyInArrow(cell_links(least, others), "a long, b long")
+        return stage(links.union(rest.distinct()), "join-all-links")
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, least: int = LEAST, orders: int = ORDERS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:

@@ -110,8 +110,3 @@ def test_audit_of_no_rows(spark, tmp_path):
     raw = spark.createDataFrame([], "qty string, date string, id int")
     accepted, rejected, audit = cleaning.write_cleaned(raw, str(tmp_path / "none"), ["qty"])
     assert accepted.count() == rejected.count() == 0 and {r.n_rows for r in audit.collect()} == {0}
-
-
-@pytest.mark.parametrize("name", ["panel_refreshed", "fit_refreshed", "audited_write", "accepted_rows"])
-def test_registered(spark, folder, name):
-    assert queries.QUERIES[name](spark, folder).count() > 0

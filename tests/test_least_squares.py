@@ -106,6 +106,50 @@ def test_too_many_columns(trio, flagged, monkeypatch):
     assert {r.model for r in got.collect()} == {"baseline", "linear", "forest_indexed"}
 
 
+def test_widest_category_solved_apart(trio, flagged, monkeypatch):
+    """A design too wide for one solve: the widest category is eliminated slot by slot, the predictions are the same."""
+    spec = FeatureSpec(numeric=("month", "day_of_week", "years_open"), store_categories=("region", "store_code"), product_categories=("category", "product_name"))
+    rows = panel.enrich(flagged.where("is_train"), *trio[1:], AS_OF_YEAR)
+    whole = least_squares.design(rows, *trio[1:], spec)
+    widest = max(r["count"] for r in whole.slots.groupBy("feature").count().collect())
+    monkeypatch.setattr(least_squares, "WIDEST", whole.width - widest)
+    made = least_squares.design(rows, *trio[1:], spec)
+    assert whole.apart == (0, 0) and made.apart[1] - made.apart[0] == widest and made.narrow == whole.width - widest
+    got = least_squares.fit_linear(flagged, *trio[1:], spec, AS_OF_YEAR).predict(rows).toPandas()
+    x, y = dense(got, spec), got["qty"].to_numpy(float)
+    np.testing.assert_allclose(got["linear"], x @ np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-8)
+
+
+APART = FeatureSpec(numeric=("day_of_week",), store_categories=("region",), product_categories=("category", "code"))
+
+
+def test_apart_with_nulls_and_unseen_values(spark, monkeypatch):
+    rows, stores, products = small(spark)
+    names = [(k, "pq"[k % 2], None if k == 5 else f"c{k}") for k in range(7)]
+    products = spark.createDataFrame(names, "product_id int, category string, code string")
+    rows = rows.withColumn("product_id", F.dayofyear("date") % 6)  # product 6 is never sold
+    flagged = rows.withColumn("is_train", F.lit(True))
+    monkeypatch.setattr(least_squares, "WIDEST", 6)
+    model = least_squares.fit_linear(flagged, stores, products, APART, 2021)
+    got = model.predict(panel.enrich(flagged, stores, products, 2021)).toPandas()
+    cats = [got.region == "N", got.region == "S", got.category == "p", *[got.code == f"c{k}" for k in range(5)]]
+    x, y = np.column_stack([np.ones(len(got)), got.day_of_week, *cats]).astype(float), got.qty.to_numpy(float)
+    np.testing.assert_allclose(got.linear, x @ np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-8)
+    nothing = least_squares.fit_linear(rows.withColumn("is_train", F.lit(False)), stores, products, APART, 2021)
+    assert nothing.predict(panel.enrich(rows, stores, products, 2021)).agg(F.max(F.abs("linear"))).first()[0] == 0
+
+
+def test_folds_with_a_category_apart(spark, monkeypatch):
+    rows, stores, products = small(spark, 400)
+    products = spark.createDataFrame([(k, "pq"[k % 2], f"c{k}") for k in range(7)], "product_id int, category string, code string")
+    rows = rows.withColumn("product_id", (F.crc32(F.col("date").cast("string")) % 7).cast("int"))
+    folds = {"n_folds": 2, "test_days": 50, "gap_days": 20}
+    want = {r.fold: r for r in least_squares.rolling_linear_scores(rows, stores, products, APART, **folds, as_of_year=2021).collect()}
+    monkeypatch.setattr(least_squares, "WIDEST", 6)
+    got = {r.fold: r for r in least_squares.rolling_linear_scores(rows, stores, products, APART, **folds, as_of_year=2021).collect()}
+    assert set(got) == set(want) and all(got[k].rmse == pytest.approx(want[k].rmse, rel=1e-9) and got[k].n_scored == 50 for k in want)
+
+
 def test_folds_from_running_sums(spark):
     """Each fold's scores are those of a fit on its own past, made anew."""
     rows, stores, products = small(spark, 400)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 
-from tidemark.operators import series
+from tidemark.operators import panel, series
 
 
 def monthly(spark, values, key="a", start=(2010, 1), skip=()):
@@ -180,3 +180,17 @@ def test_autocorrelation_fills_gaps_or_counts_rows(spark):
     assert r(gapped, "zero") == r(filled, "refuse")
     closed = unbroken(spark, [v for i, v in enumerate(values) if i not in (5, 20)])
     assert r(gapped, "row") == r(closed, "refuse")
+
+
+def test_short_series_are_dealt_by_rows(spark, monkeypatch):
+    """Totals by series and month and the windows after them share one shuffle, whose partitions follow the rows."""
+    keys = ["store_id", "product_id"]
+    sales = spark.range(3000).selectExpr("date_add(DATE'2020-01-01', int(id % 900)) AS date", "id % 7 AS store_id", "id % 50 AS product_id", "double(id % 4) AS qty")
+    monkeypatch.setattr(panel, "SERIES_ROWS", 100)
+    dealt = panel.by_series(sales, keys)
+    assert dealt.rdd.getNumPartitions() == -(-sales.count() // 100) > 16
+    got, want = panel.monthly_totals(dealt, keys), panel.monthly_totals(sales, keys)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    found = series.series_issues(got, keys)
+    assert found.groupBy("issue").count().collect() == series.series_issues(want, keys).groupBy("issue").count().collect()
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.dates import date_parts, month_end, month_start, years_open
 from tidemark.runtime import stage
 
+SERIES_ROWS = 250_000
 PANEL_KEYS = ("date", "store_id", "product_id")
 
 
@@ -26,6 +27,16 @@ def monthly_totals(sales: DataFrame, keys: Sequence[str] = (), measures: Sequenc
     return totals(sales, by, measures).withColumn("month_end", month_end(F.col("month_start")))
 
 
+def by_series(sales: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows dealt by series to partitions of about ``SERIES_ROWS`` rows, however many rows there are.
+
+    For very many short series, whose totals hardly merge before a shuffle: totals by these and further keys and windows
+    over a series then follow in place, and a task holds the months of its own series alone. With few long series, totals
+    that merge before the shuffle are the better way.
+    """
+    return sales.repartition(max(16, -(-sales.count() // SERIES_ROWS)), *keys)
+
+
 def monthly_store_totals(sales: DataFrame, stores: DataFrame) -> DataFrame:
     """Monthly quantity per store with the store's columns; stores without a dimension row are left out."""
     return monthly_totals(sales, ["store_id"]).join(stores, "store_id")

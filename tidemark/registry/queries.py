@@ -226,8 +226,9 @@ def decompose_by_store_issues(spark, folder):
 
 
 def decompose_refused(spark, folder):
-    months = panel.monthly_totals(standin.sales(spark, folder, "sparse"), ["store_id", "product_id"])
-    return series.series_issues(months, ["store_id", "product_id"]).groupBy("issue").agg(F.count("*").alias("n_series"))
+    keys = ["store_id", "product_id"]
+    months = panel.monthly_totals(panel.by_series(standin.sales(spark, folder, "sparse"), keys), keys)
+    return series.series_issues(months, keys).groupBy("issue").agg(F.count("*").alias("n_series"))
 
 
 def autocorrelation_daily(spark, folder):

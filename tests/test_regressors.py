@@ -3,7 +3,10 @@ import datetime as dt
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.operators import lags, panel
 from tidemark.operators.features import FeatureSpec
@@ -249,3 +252,30 @@ def test_each_series_has_its_own_autoregression(spark, days, order):
         assert part.date.iloc[0] == days("2020-01-01", len(made[k]) + 1)[-1]
     np.testing.assert_allclose(got[got.k == 5].prediction, 4.0)
     assert got[got.k == 6].prediction.isna().all() == (order > 1)
+
+
+def test_sums_of_dense_and_sparse_vectors(spark):
+    rows = [Vectors.sparse(5, [1, 4], [2.0, -1.0]), Vectors.dense([1.0, 0.5, 0.0, 0.0, 3.0]), Vectors.sparse(5, [], []), None]
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(rows)], StructType([StructField("k", IntegerType()), StructField("v", VectorUDT())]))
+    got = {r.slot: r.total for r in regressors.vector_sums(table, "v").collect()}
+    assert got == {0: 1.0, 1: 2.5, 2: 0.0, 3: 0.0, 4: 2.0}
+
+
+def test_fits_read_a_bounded_number_of_rows_a_task(spark, monkeypatch):
+    """Small files of vectors are not packed into one task of a fit."""
+    seen = []
+
+    class Probe(RandomForestRegressor):
+        def fit(self, dataset, params=None):
+            seen.append(max(dataset.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()))
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(regressors, "ROWS_PER_FILE", 50)
+    stores = spark.createDataFrame([(k, f"r{k}", 2000) for k in range(3)], "store_id int, region string, opened_year int")
+    products = spark.createDataFrame([(0, "p"), (1, "q")], "product_id int, category string")
+    rows = spark.range(900).selectExpr("date_add(DATE'2020-01-01', int(id)) AS date", "int(id % 3) AS store_id", "int(id % 2) AS product_id", "double(id % 7) AS qty")
+    flagged = stage(rows.withColumn("is_train", F.lit(True)), "probe")
+    spec = FeatureSpec(numeric=("month",), store_categories=("region",), product_categories=("category",))
+    model = Probe(featuresCol="tree_features", labelCol="qty", predictionCol="probe", numTrees=1, maxDepth=1)
+    regressors.train(flagged, stores, products, [model], spec, 2021, partitions=2)
+    assert seen and seen[0] <= 50

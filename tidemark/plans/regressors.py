@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ from tidemark.operators.split import flag_split
 from tidemark.operators.stats import rmse
 from tidemark.plans import least_squares
 from tidemark.plans.baseline import predict
-from tidemark.runtime import stage, unstage, working
+from tidemark.runtime import file_by_file, stage, unstage, working
 
 
 def encoders(
@@ -83,6 +84,15 @@ def _encoded(flagged, stores, products, stages, inputs, spec, as_of_year) -> Dat
     return rows.select(*spec.ids, target, "is_train", *needed)
 
 
+def vector_sums(table: DataFrame, column: str) -> DataFrame:
+    """``(slot, total)``: the sum of each slot that any vector of the column fills, merged before one shuffle by slot."""
+    v = F.unwrap_udt(column)
+    cell = lambda i, x: F.struct(i.cast("int").alias("slot"), x.alias("total"))
+    dense = F.transform(v["values"], lambda x, i: cell(i, x))
+    cells = F.when(v["type"] == 0, F.zip_with(v["indices"], v["values"], cell)).otherwise(dense)
+    return table.select(F.inline(cells)).groupBy("slot").agg(F.sum("total").alias("total"))
+
+
 def slot_names(stages: Sequence, spec: FeatureSpec) -> DataFrame:
     """``(slot, name)`` of the one-hot input vector that the stages of :func:`encoders` lead to: numbers by their name,
     categories as ``feature=value``. The last value of a category has no slot. Hashed categories are not named."""
@@ -103,6 +113,8 @@ def slot_names(stages: Sequence, spec: FeatureSpec) -> DataFrame:
 
 
 ROWS_PER_PARTITION = 250_000
+ROWS_PER_FILE = 500_000  # of a model table, which is as many as a task of a fit holds
+SCALED_BY = 32  # tasks of a scaler's fit: each sends a number per slot to one task, times the moments
 
 
 def fit_partitions(staged: DataFrame) -> int:
@@ -162,7 +174,8 @@ def train(
     """Fit regressors on the train rows of a staged, flagged panel.
 
     Each input vector is assembled once and written, in the order of the ids; the scaler and every fit then read one
-    column. The standard deviations come from the train rows, or from all rows with ``scale_on="all"``.
+    column. Fits hold their rows, so of a table larger than ``ROWS_PER_FILE`` they read each file by a task of its own:
+    vectors are small on disk, and a task would otherwise get as many files as make 128 MB. The standard deviations come from the train rows, or from all rows with ``scale_on="all"``.
     """
     spread = flagged.repartition(partitions or fit_partitions(flagged), *spec.ids)
     trees = any(m.getFeaturesCol() == "tree_features" for m in models)
@@ -179,11 +192,14 @@ def train(
         models = [m.copy({m.maxBins: bins}) if m.getFeaturesCol() == "tree_features" else m for m in models]
     names = [a.getOutputCol() for a in assemblers]
     assembled = PipelineModel(stages=assemblers).transform(rows).select(*spec.ids, spec.target, "is_train", *names)
-    table = stage(assembled, "model-table", sort=list(spec.ids))
+    table = stage(assembled, "model-table", sort=list(spec.ids), rows_per_file=ROWS_PER_FILE)
     known = table.where("is_train")
-    scalers = [unit_scaler("features_raw").fit(known if scale_on == "train" else table)] if vectors else []
-    scaled = PipelineModel(stages=scalers).transform(known)
-    scorer = PipelineModel(stages=[*scalers, *[m.fit(scaled) for m in models]])
+    spark = table.sparkSession
+    with file_by_file(spark) if table.count() > ROWS_PER_FILE else nullcontext():
+        seen = known if scale_on == "train" else table
+        scalers = [unit_scaler("features_raw").fit(seen.coalesce(SCALED_BY))] if vectors else []
+        scaled = PipelineModel(stages=scalers).transform(known)
+        scorer = PipelineModel(stages=[*scalers, *[m.fit(scaled) for m in models]])
     return Trained(table, scorer, PipelineModel(stages=[*stages, *assemblers, *scorer.stages]))
 
 

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -477,9 +476,10 @@ def assembled_vector_sums(spark, folder):
         flagged = stage(split.flag_split(panel.daily_panel(sales)).where("is_train"), "panel")
         spec = features.FeatureSpec()
         trained = regressors.train(flagged, stores, products, [regressors.linear().setMaxIter(1)], spec, AS_OF_YEAR)
-        sums = trained.table.select(Summarizer.sum(F.col("features_raw")).alias("v")).select(F.posexplode(vector_to_array("v")).alias("slot", "total"))
+        sums = regressors.vector_sums(trained.table, "features_raw")
         names = regressors.slot_names(trained.pipeline.stages, spec)
-        return _out(keep(stage(sums.join(names, "slot", "full").select("name", "total"), "vector-sums")), "total")
+        totals = sums.join(names, "slot", "full").select("name", F.coalesce("total", F.lit(0.0)).alias("total"))
+        return _out(keep(stage(totals, "vector-sums")), "total")
 
 
 MONTH_SPEC = features.FeatureSpec(numeric=("month",), store_categories=(), product_categories=())

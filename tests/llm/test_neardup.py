@@ -57,6 +57,21 @@ def edited(dice, words, share):
     return " ".join(w if dice.random() > share else f"e{dice.randrange(10**6)}" for w in words)
 
 
+def test_a_large_component_is_a_row_a_member(spark, monkeypatch):
+    """In a list of one large component and few others, members of the large one meet the others' blocks alone."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    table = [(k, k, 7, 0) for k in range(640)] + [(700 + k, 700 + k, 7, 700 + k) for k in range(3)] + [(k, k, 8, 0) for k in range(9)]
+    got = neardup.blocks_met(spark.createDataFrame(table, "_doc long, node long, key long, component long")).collect()
+    assert len(got) == 643 and sum(len(r["_others"]) for r in got) == 640 + 3 * 81
+    met = {frozenset((r.block, o)) for r in got for o in r["_others"]}
+    assert all(frozenset((a.block, b.block)) in met for a in got for b in got[-40:] if a.component != b.component)
+
+
+def test_lists_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    test_groups_of_edited_copies_and_a_common_passage(spark, 5)
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_groups_of_edited_copies_and_a_common_passage(spark, seed):
     dice = random.Random(seed)

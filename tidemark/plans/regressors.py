@@ -32,7 +32,8 @@ from tidemark.operators.split import flag_split
 from tidemark.operators.stats import rmse
 from tidemark.plans import least_squares
 from tidemark.plans.baseline import predict
-from tidemark.runtime import file_by_file, stage, unstage, working
+from tidemark.plans.vector_fit import VectorRegression
+from tidemark.runtime import file_by_file, files_of, stage, unstage, working
 
 
 def encoders(
@@ -79,9 +80,63 @@ def model_rows(
 
 def _encoded(flagged, stores, products, stages, inputs, spec, as_of_year) -> DataFrame:
     rows = PipelineModel(stages=stages).transform(enrich(flagged, stores, products, as_of_year))
-    needed = dict.fromkeys(c for names in inputs for c in names)
+    return _model_columns(rows, [c for names in inputs for c in names], spec)
+
+
+def _model_columns(rows: DataFrame, inputs: Sequence[str], spec: FeatureSpec) -> DataFrame:
     target = F.col(spec.target).cast("double").alias(spec.target)
-    return rows.select(*spec.ids, target, "is_train", *needed)
+    return rows.select(*spec.ids, target, "is_train", *dict.fromkeys(inputs))
+
+
+def _inputs_of(stage_) -> set[str]:
+    return set(stage_.getOrDefault("columns") if isinstance(stage_, TableEncoder) else stage_.getInputCols())
+
+
+def _encoded_dimensions(flagged, stores, products, stages, spec) -> tuple[list[DataFrame], list]:
+    """Both dimensions after those of the stages that take their categories, and the stages that are left.
+
+    A NULL category is an error only where a row has it, so of a dimension with some only the rows that are met are encoded.
+    """
+    out, left = [], list(stages)
+    for dim, key, columns in ((stores, "store_id", spec.store_categories), (products, "product_id", spec.product_categories)):
+        columns = [c for c in columns if c not in spec.hashed]
+        names = {x for c in columns for x in (c, index_name(c))}
+        own = [s for s in left if _inputs_of(s) <= names]
+        left = [s for s in left if s not in own]
+        if columns and spec.invalid == "error" and not dim.where(" OR ".join(f"`{c}` IS NULL" for c in columns)).isEmpty():
+            met = flagged.join(stores.select("store_id"), "store_id", "left_semi").join(products.select("product_id"), "product_id", "left_semi")
+            dim = dim.join(met.select(key).distinct(), key, "left_semi")
+        out.append(PipelineModel(stages=own).transform(dim))
+    return out, left
+
+
+def _one_hot_rows(flagged, stores, products, stages, inputs, spec, as_of_year) -> DataFrame:
+    """Rows with ``features_raw``, assembled from the numbers, a vector per dimension and hashed categories.
+
+    Categories are encoded in their dimension, once a store or product, and rows get its vector by the joins of :func:`enrich`.
+    Vectors say how many slots they have, not what each slot is: that would be in the footer of every file.
+    """
+    dims, late = _encoded_dimensions(flagged, stores, products, stages, spec)
+    parts, found = [], []
+    for dim, columns in zip(dims, (spec.store_categories, spec.product_categories)):
+        vectors = [vector_name(c) for c in columns if vector_name(c) in inputs]
+        if vectors:
+            name = f"_vector{len(parts)}"
+            dim = _sized(VectorAssembler(inputCols=vectors, outputCol=name).transform(dim), name)
+            parts.append(name)
+        found.append(dim.drop(*[x for c in columns if c not in (*spec.hashed, *spec.numeric) for x in (c, index_name(c), vector_name(c))]))
+    rows = PipelineModel(stages=late).transform(enrich(flagged, *found, as_of_year))
+    extra = [c for c in inputs if c not in spec.numeric and c not in map(vector_name, (*spec.store_categories, *spec.product_categories))]
+    columns = [*spec.numeric, *parts, *extra]
+    made = VectorAssembler(inputCols=columns, outputCol="features_raw").transform(_model_columns(rows, columns, spec))
+    return _sized(made, "features_raw")
+
+
+def _sized(rows: DataFrame, vector: str) -> DataFrame:
+    """The column's metadata cut to its number of slots."""
+    known = rows.schema[vector].metadata.get("ml_attr", {})
+    size = known.get("num_attrs", sum(map(len, known.get("attrs", {}).values())))
+    return rows.withColumn(vector, F.col(vector).alias(vector, metadata={"ml_attr": {"num_attrs": size}}))
 
 
 def vector_sums(table: DataFrame, column: str) -> DataFrame:
@@ -126,8 +181,10 @@ def fit_partitions(staged: DataFrame) -> int:
 def linear(
     label: str = "qty", features: str = "features", prediction: str = "linear", solver: str = "l-bfgs"
 ) -> LinearRegression:
-    """Least squares by one named solver: ``l-bfgs`` for any width, ``normal`` (exact) up to 4,096 features."""
-    return LinearRegression(featuresCol=features, labelCol=label, predictionCol=prediction, solver=solver)
+    """Least squares by one named solver: ``l-bfgs`` for any width (by blocks of vectors, :class:`VectorRegression`), ``normal``
+    (exact) up to 4,096 features."""
+    kind = VectorRegression if solver == "l-bfgs" else LinearRegression
+    return kind(featuresCol=features, labelCol=label, predictionCol=prediction, solver=solver)
 
 
 def forest(
@@ -151,6 +208,12 @@ def _widest_category(rows: DataFrame, columns: Sequence[str]) -> int:
     return max((rows.schema[c].metadata.get("ml_attr", {}).get("num_vals", 0) for c in columns), default=0)
 
 
+def _widest_key(stages: Sequence, spec: FeatureSpec) -> str:
+    """The key of the dimension whose categories have more slots."""
+    slots = lambda columns: sum(s.slots(c) for s in stages if isinstance(s, TableEncoder) for c in s.getOrDefault("columns") if c in columns)
+    return "product_id" if slots(spec.product_categories) > slots(spec.store_categories) else "store_id"
+
+
 @dataclass
 class Trained:
     """``table``: the staged model rows, scored by ``scorer``; ``pipeline``: from enriched rows (:func:`enrich`), seen in
@@ -174,27 +237,37 @@ def train(
     """Fit regressors on the train rows of a staged, flagged panel.
 
     Each input vector is assembled once and written, in the order of the ids; the scaler and every fit then read one
-    column. Fits hold their rows, so of a table larger than ``ROWS_PER_FILE`` they read each file by a task of its own:
-    vectors are small on disk, and a task would otherwise get as many files as make 128 MB. The standard deviations come from the train rows, or from all rows with ``scale_on="all"``.
+    column. For linear models alone, rows are dealt and put in order by store or product, whichever has more slots, so that rows of
+    one fit block share their slots. Fits hold their rows, so of a table larger than ``ROWS_PER_FILE`` they read each file
+    by a task of its own: vectors are small on disk, and a task would otherwise get as many files as make 128 MB. The
+    standard deviations come from the train rows, or from all rows with ``scale_on="all"``.
     """
-    spread = flagged.repartition(partitions or fit_partitions(flagged), *spec.ids)
+    spark = flagged.sparkSession
+    n = partitions or fit_partitions(flagged)
     trees = any(m.getFeaturesCol() == "tree_features" for m in models)
     vectors = any(m.getFeaturesCol() != "tree_features" for m in models)
     stages, inputs = encoders(stores, products, spec, flagged.where("is_train") if trees else None)
-    kinds = ["one_hot"] * vectors + ["indexed"] * trees
-    rows = _encoded(spread, stores, products, stages, [inputs[k] for k in kinds], spec, as_of_year)
     assemblers = []
     if vectors:
         assemblers.append(VectorAssembler(inputCols=inputs["one_hot"], outputCol="features_raw"))
     if trees:
         assemblers.append(VectorAssembler(inputCols=inputs["indexed"], outputCol="tree_features"))
-        bins = max(32, spec.tree_bins, _widest_category(rows, inputs["indexed"]))
-        models = [m.copy({m.maxBins: bins}) if m.getFeaturesCol() == "tree_features" else m for m in models]
     names = [a.getOutputCol() for a in assemblers]
-    assembled = PipelineModel(stages=assemblers).transform(rows).select(*spec.ids, spec.target, "is_train", *names)
-    table = stage(assembled, "model-table", sort=list(spec.ids), rows_per_file=ROWS_PER_FILE)
+    order = list(spec.ids)
+    if all(isinstance(m, VectorRegression) for m in models):
+        order = list(dict.fromkeys([_widest_key(stages, spec), *order]))
+        rows = _one_hot_rows(flagged, stores, products, stages, inputs["one_hot"], spec, as_of_year)
+        assembled = rows.select(*spec.ids, spec.target, "is_train", *names).repartition(n, order[0])
+    else:
+        kinds = ["one_hot"] * vectors + ["indexed"] * trees
+        rows = _encoded(flagged.repartition(n, *spec.ids), stores, products, stages, [inputs[k] for k in kinds], spec, as_of_year)
+        if trees:
+            bins = max(32, spec.tree_bins, _widest_category(rows, inputs["indexed"]))
+            models = [m.copy({m.maxBins: bins}) if m.getFeaturesCol() == "tree_features" else m for m in models]
+        assembled = PipelineModel(stages=assemblers).transform(rows).select(*spec.ids, spec.target, "is_train", *names)
+    with files_of(spark, ROWS_PER_FILE):
+        table = stage(assembled, "model-table", sort=order)
     known = table.where("is_train")
-    spark = table.sparkSession
     with file_by_file(spark) if table.count() > ROWS_PER_FILE else nullcontext():
         seen = known if scale_on == "train" else table
         scalers = [unit_scaler("features_raw").fit(seen.coalesce(SCALED_BY))] if vectors else []

@@ -64,15 +64,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, sort: Sequence[str] = (), rows_per_file: int = 0) -> DataFrame:
+def stage(df: DataFrame, label: str, sort: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
     For inputs that several jobs read (splits, model fits, scoring): columnar, so each reader takes only its columns,
     and safe against the loss of executors, which a cached copy is not. ``sort`` orders the rows of each file, so
-    that later filters on those columns skip row groups. ``rows_per_file``: a partition of more rows becomes several files.
+    that later filters on those columns skip row groups. In a block of :func:`files_of` a partition of more rows becomes
+    several files.
     """
     path = scratch_path(df.sparkSession, label)
-    (df.sortWithinPartitions(*sort) if sort else df).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     for held in _open.get()[-1:]:
@@ -130,6 +131,11 @@ def session_options(spark: SparkSession, **options: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def files_of(spark: SparkSession, rows: int):
+    """A block in which files that are written have at most ``rows`` rows."""
+    return session_options(spark, spark__sql__files__maxRecordsPerFile=str(rows))
+
+
 def file_by_file(spark: SparkSession):
     """A block in which each file of up to 128 MB is read by a task of its own, where Spark would pack small files together."""
     size = str(128 << 20)
